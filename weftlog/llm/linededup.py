@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import let
+
 #: Lines in the rolling window, average lines between hits, words of a line that is a chunk of its own, words that a
 #: repeated run has to have.
 WINDOW, DIVISOR, LONG, LEAST = 2, 3, 20, 20
@@ -41,27 +43,24 @@ def rolling(hashes: Column, i: Column, window: int) -> Column:
     return total
 
 
-def chunked(docs: DataFrame, text: str, window: int, divisor: int, long: int) -> DataFrame:
-    """docs with lines, and ends: the number of each chunk's last line."""
-    own = docs.withColumn("lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    own = own.withColumn("_hash", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("_long", F.transform("lines", lambda x: word_count(x) >= long))
-
-    def ends_chunk(i: Column) -> Column:
-        last = i == F.size("lines") - 1
-        beside = F.element_at("_long", i + 1) | F.when(~last, F.element_at("_long", F.least(i + 2, F.size("lines")))).otherwise(F.lit(False))
-        return last | beside | (F.pmod(rolling(F.col("_hash"), i, window), F.lit(divisor)) == 0)
-
-    return own.withColumn("ends", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), ends_chunk)).drop("_hash", "_long")
+def chunk_texts(text: Column, window: int, divisor: int, long: int) -> Column:
+    """The text of each chunk, in order; null of null."""
 
+    def ends_chunk(lines: Column, facts: Column, i: Column) -> Column:
+        last = i == F.size(lines) - 1
+        beside = F.element_at(facts["long"], i + 1) | F.element_at(facts["long"], F.least(i + 2, F.size(lines)))
+        return last | beside | (F.pmod(rolling(facts["hash"], i, window), F.lit(divisor)) == 0)
 
-def chunk_texts() -> Column:
-    """The text of each chunk, from lines and ends."""
+    def piece(lines: Column, ends: Column, end: Column, k: Column) -> Column:
+        start = F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(k, F.lit(1))) + 1)
+        return F.array_join(F.slice(lines, start + 1, end - start + 1), "\n")
 
-    def piece(end: Column, k: Column) -> Column:
-        start = F.when(k == 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))) + 1)
-        return F.array_join(F.slice("lines", start + 1, end - start + 1), "\n")
+    def of(lines: Column) -> Column:
+        facts = F.struct(F.transform(lines, lambda x: F.xxhash64(x)).alias("hash"), F.transform(lines, lambda x: word_count(x) >= long).alias("long"))
+        ends = let(facts, lambda known: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ends_chunk(lines, known, i)))
+        return let(ends, lambda ends: F.transform(ends, lambda end, k: piece(lines, ends, end, k)))
 
-    return F.transform("ends", piece)
+    return F.when(text.isNotNull(), let(F.split(text, "\n", -1), of))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, divisor: int = DIVISOR, long: int = LONG, least: int = LEAST) -> DataFrame:
@@ -69,7 +68,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     new = ("n_lines", "n_removed", "emptied")
     source = docs.select(*[c for c in docs.columns if c not in new or c in (id_col, text_col)])
     own = source.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    chunks = chunked(own, "_text", window, divisor, long).select("_id", "_key", F.posexplode(chunk_texts()).alias("k", "piece")).where("piece <> ''").withColumn("hash", F.xxhash64("piece"))
+    chunks = own.select("_id", "_key", F.posexplode(chunk_texts(F.col("_text"), window, divisor, long)).alias("k", "piece")).where("piece <> ''").withColumn("hash", F.xxhash64("piece"))
     place = F.struct("_id", "_key", "k")
     groups = chunks.groupBy("hash", "piece").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     same_hash = groups.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("first").alias("first"))
@@ -89,23 +88,45 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def _without_runs(both: DataFrame, text_col: str, window: int, divisor: int, long: int, least: int) -> DataFrame:
     """Take out the marked chunks that stand in long enough runs; texts without marks pass as they are."""
-    marked = F.coalesce(F.size("marks"), F.lit(0)) > 0
-    own = chunked(both.withColumn("_cut", F.when(marked, F.col(text_col))), "_cut", window, divisor, long)
-    own = own.withColumn("pieces", F.when(marked, chunk_texts()))
-    hit = F.transform("pieces", lambda p, k: F.exists("marks", lambda m: (m["k"] == k) & (m["piece"].isNull() | (m["piece"] == p))))
-    own = own.withColumn("_hit", hit).withColumn("_words", F.transform("pieces", lambda p: F.aggregate(F.split(p, "\n", -1), F.lit(0), lambda a, x: a + word_count(x))))
-    # A run's words, seen from both sides: those up to a chunk, and those from it on.
-    running = lambda flags, words: F.aggregate(
-        F.arrays_zip(flags.alias("h"), words.alias("w")),
-        F.array().cast("array<int>"),
-        lambda a, x: F.concat(a, F.array(F.when(x["h"], x["w"] + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))).otherwise(F.lit(0)))),
-    )
-    own = own.withColumn("_up", running(F.col("_hit"), F.col("_words"))).withColumn("_down", F.reverse(running(F.reverse("_hit"), F.reverse("_words"))))
-    gone = F.transform("_hit", lambda h, k: h & (F.element_at("_up", k + 1) + F.element_at("_down", k + 1) - F.element_at("_words", k + 1) >= least))
-    own = own.withColumn("_gone", gone)
-    kept = F.array_join(F.filter("pieces", lambda p, k: ~F.element_at("_gone", k + 1)), "\n")
-    lost = F.aggregate(F.filter("pieces", lambda p, k: F.element_at("_gone", k + 1)), F.lit(0).cast("long"), lambda a, p: a + F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + 1)
-    text = F.col(text_col)
-    lines = F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    own = own.withColumn("n_lines", lines).withColumn("n_removed", F.when(marked, lost).otherwise(F.lit(0)).cast("long")).withColumn("_kept", F.when(marked, kept).otherwise(text))
-    return own.withColumn("emptied", F.coalesce((F.col("n_removed") > 0) & (F.trim("_kept") == ""), F.lit(False))).withColumn(text_col, F.col("_kept"))
+    text, marks = F.col(text_col), F.col("marks")
+    chunks = let(marks, lambda known: F.transform(chunk_texts(text, window, divisor, long), lambda p, k: _chunk(p, k, known)))
+    done = let(chunks, lambda own: let(_runs(own), lambda runs: _parted(own, runs, least)))
+    own = both.withColumn("_done", F.when(marks.isNotNull(), done))
+    lines = F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(breaks(text) + 1).cast("long")
+    own = own.withColumn("n_lines", lines).withColumn("n_removed", F.coalesce("_done.lost", F.lit(0)).cast("long"))
+    kept = F.when(F.col("_done").isNotNull(), F.col("_done.kept")).otherwise(text)
+    return own.withColumn("emptied", F.coalesce((F.col("n_removed") > 0) & (F.trim(kept) == ""), F.lit(False))).withColumn(text_col, kept)
+
+
+def breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _chunk(piece: Column, k: Column, marks: Column) -> Column:
+    """A chunk's text, words, and whether it is a repeat."""
+    words = F.aggregate(F.split(piece, "\n", -1), F.lit(0), lambda a, x: a + word_count(x))
+    hit = F.exists(marks, lambda m: (m["k"] == k) & (m["piece"].isNull() | (m["piece"] == piece)))
+    return F.struct(piece.alias("text"), words.alias("words"), hit.alias("hit"))
+
+
+def _runs(chunks: Column) -> Column:
+    """Words of the run of repeats up to each chunk, and of that from each chunk on."""
+
+    def running(own: Column) -> Column:
+        def step(sums: Column, c: Column) -> Column:
+            return F.concat(sums, F.array(F.when(c["hit"], c["words"] + F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0))).otherwise(F.lit(0))))
+
+        return F.aggregate(own, F.array().cast("array<int>"), step)
+
+    return F.struct(running(chunks).alias("up"), F.reverse(running(F.reverse(chunks))).alias("down"))
+
+
+def _parted(chunks: Column, runs: Column, least: int) -> Column:
+    """The text that stays, and the lines that go."""
+
+    def goes(c: Column, k: Column) -> Column:
+        return c["hit"] & (F.element_at(runs["up"], k + 1) + F.element_at(runs["down"], k + 1) - c["words"] >= least)
+
+    kept = F.array_join(F.transform(F.filter(chunks, lambda c, k: ~goes(c, k)), lambda c: c["text"]), "\n")
+    lost = F.aggregate(F.filter(chunks, goes), F.lit(0).cast("long"), lambda a, c: a + breaks(c["text"]) + 1)
+    return F.struct(kept.alias("kept"), lost.alias("lost"))

@@ -17,11 +17,14 @@ repeated rows stay. An output column replaces one of its name.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import let
+
 
 def either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -82,12 +85,12 @@ def _weight(count: Column, width: int) -> Column:
 def high_windows(run: Column, cls: CharacterClass) -> Column:
     """First and last offset in run at which a window has the class's entropy, as struct first, last (-1: none)."""
     most = (math.log2(cls.width) - cls.bits) * cls.width  # the sum of c * log2(c) may not be above this
-    spots = F.transform(F.split(run, ""), lambda c: F.call_function("instr", F.lit(cls.letters), c))
+    letters = F.transform(F.split(run, ""), lambda c: F.call_function("instr", F.lit(cls.letters), c))
     zero = F.array_repeat(F.lit(0), len(cls.letters))
     start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
     places = F.sequence(F.lit(0), F.length(run) - 1)
 
-    def step(state: Column, i: Column) -> Column:
+    def step(spots: Column, state: Column, i: Column) -> Column:
         enters = F.element_at(spots, i + 1)
         leaves = F.when(i >= cls.width, F.element_at(spots, F.greatest(i - cls.width + 1, F.lit(1)))).otherwise(F.lit(0))
         had_out = F.when(leaves > 0, F.element_at(state["counts"], F.greatest(leaves, F.lit(1)))).otherwise(F.lit(0))
@@ -98,11 +101,14 @@ def high_windows(run: Column, cls: CharacterClass) -> Column:
         at = i - (cls.width - 1)
         return F.struct(counts.alias("counts"), total.alias("sum"), F.when(high & (state["first"] < 0), at).otherwise(state["first"]).alias("first"), F.when(high, at).otherwise(state["last"]).alias("last"))
 
-    return F.aggregate(places, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    def slide(spots: Column) -> Column:
+        return F.aggregate(places, start, lambda state, i: step(spots, state, i), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+    return let(letters, slide)
 
 
-def entropy_spans(text: Column, candidates: Column, base: Column, cls: CharacterClass, kind: int, allowed: tuple[str, ...]) -> Column:
-    """candidates: spans of the class's runs."""
+def entropy_spans(text: Column, candidates: Column, cls: CharacterClass, kind: int, allowed: tuple[str, ...], base: Column) -> Column:
+    """candidates: spans of the class's runs; base: spans of known formats."""
 
     def fits(c: Column) -> Column:
         run = F.substring(text, c["start"] + 1, c["end"] - c["start"])
@@ -123,6 +129,10 @@ def entropy_spans(text: Column, candidates: Column, base: Column, cls: Character
     return F.transform(F.filter(F.transform(F.filter(candidates, fits), span), lambda h: h["first"] >= 0), placed)
 
 
+def _given(*known) -> Callable[[Column], Column]:
+    return lambda base: entropy_spans(*known, base)
+
+
 def find_secrets(docs: DataFrame, text_col: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """docs with base_spans (known formats) and secret_spans (these and those by entropy): arrays of start, kind, end, by
     start, then kind; kinds are numbers in names_of(classes)."""
@@ -134,7 +144,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", classes: tuple[Charact
     for k, cls in enumerate(classes):
         own = own.withColumn(f"_c{k}", matches(F.col("_text"), cls.run, 0, cls.width, k))
     for k, cls in enumerate(classes):
-        own = own.withColumn(f"_e{k}", F.when(F.size(f"_c{k}") > 0, entropy_spans(F.col("_text"), F.col(f"_c{k}"), F.col("base_spans"), cls, len(KINDS) + k, allowed)).otherwise(F.array().cast(f"array<{_SPAN}>")))
+        own = own.withColumn(f"_e{k}", F.when(F.size(f"_c{k}") > 0, let(F.col("base_spans"), _given(F.col("_text"), F.col(f"_c{k}"), cls, len(KINDS) + k, allowed))).otherwise(F.array().cast(f"array<{_SPAN}>")))
     spans = F.array_sort(F.concat(F.col("base_spans"), *[F.col(f"_e{k}") for k in range(len(classes))]))
     return own.withColumn("secret_spans", spans).drop("_text", *[f"_k{k}" for k in range(len(KINDS))], *[f"_{x}{k}" for x in "ce" for k in range(len(classes))])
 
