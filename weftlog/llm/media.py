@@ -352,20 +352,36 @@ def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     def make():
         def compute(batch):
-            out: list[list] = [[] for _ in READ]
-            for data in utf8(batch.column(media_col)):
-                m = parse(data)
-                payload = payload_of(data, m)
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(data, m, payload), m.ok)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            return out
+            rows = [_digests(data) for data in utf8(batch.column(media_col))]
+            return [[r[k] for r in rows] for k in range(len(READ))]
 
         return compute
 
     return append_columns(df, READ, make)
 
 
+def digest_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with n_bytes and what read_media() gives of the file that store_texts() makes of each text, in one pass: files
+    are made, parsed and forgotten batch by batch."""
+    bound_batches(df.sparkSession)
+
+    def make():
+        def compute(batch):
+            raw = utf8(batch.column(text_col))
+            rows = [_digests(mux(padded(x))) for x in raw]
+            return [[len(x) for x in raw], *([r[k] for r in rows] for k in range(len(READ)))]
+
+        return compute
+
+    return append_columns(df, [T.StructField("n_bytes", T.LongType()), *READ], make)
+
+
+def _digests(data: bytes) -> tuple:
+    m = parse(data)
+    payload = payload_of(data, m)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(data, m, payload), m.ok
+
+
 def feature(data: bytes, m: Media, payload: bytes) -> str:
     wave = np.frombuffer(payload, np.uint8).astype(np.int32) - 128
     crossings = int(np.count_nonzero((wave[1:] < 0) != (wave[:-1] < 0)))

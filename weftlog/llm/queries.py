@@ -29,8 +29,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return media.read_media(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.digest_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
