@@ -208,3 +208,160 @@ query("page_violated", _DEEP_SQL + " SELECT o1, 0 AS violation FROM (SELECT 'c-'
 plain("cel_predicate", tree(box({0: ["place order"]}, {0: ["order"]}, [o2e(0, 0), {"type": "BasicFilterCEL", "cel": 'e1.attr("total") > 100000.0 && e1.attr("priority").startsWith("1") || o1.id() == "o-3"'}])), " SELECT 'po-' || o_orderkey AS e1, 'o-' || o_orderkey AS o1 FROM orders WHERE (o_totalprice > 100000 AND starts_with(o_orderpriority, '1')) OR o_orderkey = 3")
 plain("cel_labels", tree(box({0: ["place order"]}, {0: ["order"]}, [o2e(0, 0)], labels=[{"label": "big", "cel": 'e1.attr("total") >= 150000.0'}, {"label": "tag", "cel": 'big ? e1.attr("status") + "!" : e1.type()'.replace('e1.attr("status") + "!"', 'string(e1.attr("status"))')}])), " SELECT 'po-' || o_orderkey AS e1, 'o-' || o_orderkey AS o1, o_totalprice >= 150000 AS big, CASE WHEN o_totalprice >= 150000 THEN o_orderstatus ELSE 'place order' END AS tag FROM orders")
 plain("cel_child_aggregate", tree(box(objects={0: ["order"]}, sizes=[{"type": "AdvancedCEL", "cel": 'A.map(x, x.q).sum() >= 100.0 && A.exists(x, x.satisfied)'}], labels=[{"label": "n", "cel": "A.size()"}], children=[1]), box({0: ["ship item"]}, filters=[o2e(0, 0)], labels=[{"label": "q", "cel": 'double(e1.attr("quantity"))'}]), edges={(0, 1): "A"}), " SELECT 'o-' || l_orderkey AS o1, count(*) AS n FROM li GROUP BY l_orderkey HAVING sum(l_quantity) >= 100")
+
+
+# Log filtering, export, neighbourhoods.
+from .operators import anonymity, declare, discover, export, extract, filterlog, graph, paths, translate  # noqa: E402
+
+_KEEP = tree(box({0: ["place order"]}, {0: ["order"], 1: ["customer"]}, [o2e(0, 0, "order", "INCLUDED"), o2e(1, 0, "buyer", "INCLUDED"), o2o(0, 1, "placed_by", "INCLUDED"), ev_attr(0, "total", number("Float", 200000.0, None))], ev_labels={"0": "INCLUDED"}, ob_labels={"0": "INCLUDED", "1": "INCLUDED"}))
+query("filter_log_events", " SELECT 'po-' || o_orderkey AS ev_id, 'place order' AS ev_type FROM orders WHERE o_totalprice >= 200000")(lambda log: filterlog.filter_log(log, _KEEP).events.select("ev_id", "ev_type"))
+query("filter_log_objects", " SELECT 'o-' || o_orderkey AS ob_id, 'order' AS ob_type FROM orders WHERE o_totalprice >= 200000 UNION SELECT 'c-' || o_custkey, 'customer' FROM orders WHERE o_totalprice >= 200000")(lambda log: filterlog.filter_log(log, _KEEP).objects)
+query("filter_log_e2o", " SELECT r.ev_id, r.ob_id, r.qualifier FROM e2o r JOIN orders ON r.ev_id = 'po-' || o_orderkey WHERE o_totalprice >= 200000")(lambda log: filterlog.filter_log(log, _KEEP).e2o.select("ev_id", "ob_id", "qualifier"))
+query("filter_log_o2o", " SELECT r.src_id, r.tgt_id, r.qualifier FROM o2o r JOIN orders ON r.src_id = 'o-' || o_orderkey WHERE o_totalprice >= 200000")(lambda log: filterlog.filter_log(log, _KEEP).o2o.select("src_id", "tgt_id", "qualifier"))
+_DROP = tree(box({0: ["error"]}, ev_labels={"0": "EXCLUDED"}))
+query("filter_log_excluded", " SELECT ev_type, count(*) AS n FROM ev WHERE ev_type <> 'error' GROUP BY 1")(lambda log: filterlog.filter_log(log, _DROP).events.groupBy("ev_type").agg(F.count("*").alias("n")))
+_ORDERS = tree(box({0: ["place order"]}, {0: ["customer"]}, [o2e(0, 0), ev_attr(0, "total", number("Float", 250000.0, None))], constraints=[{"type": "Filter", "filter": ev_attr(0, "status", {"type": "String", "is_in": ["O"]})}]))
+query("export_wide_table", " SELECT 'c-' || c_custkey AS o1, c_mktsegment AS o1_segment, 'po-' || o_orderkey AS e1, o_orderpriority AS e1_priority, o_orderstatus AS e1_status, o_orderstatus = 'O' AS \"Satisfied\" FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice >= 250000")(lambda log: export.wide_table(log, evaluate(_ORDERS, log)).drop("o1_acctbal", "e1_total"))
+query("graph_neighbourhood", """, l AS (SELECT ev_id AS a, ob_id AS b FROM e2o UNION SELECT ob_id, ev_id FROM e2o UNION SELECT src_id, tgt_id FROM o2o UNION SELECT tgt_id, src_id FROM o2o),
+d1 AS (SELECT b FROM l WHERE a = 'o-10'), d2 AS (SELECT DISTINCT l.b FROM l JOIN d1 ON l.a = d1.b),
+r AS (SELECT 'o-10' AS id, 0 AS distance UNION ALL SELECT b, 1 FROM d1 UNION ALL SELECT b, 2 FROM d2)
+SELECT id, min(distance) AS distance FROM r GROUP BY id""")(lambda log: graph.neighbourhood(log, "o-10", 2))
+query("graph_spanning_tree")(lambda log: graph.graph_edges(log, graph.neighbourhood(log, "o-10", 2), spanning_tree=True))
+
+# Translation: the engine's bindings; the SQL is what the translator writes, over the log's tables.
+_VALUES = """, event_attrs AS (SELECT 'po-' || o_orderkey AS ev_id, 'total' AS name, 0 AS seq, NULL::VARCHAR AS s, NULL::BIGINT AS i, o_totalprice AS d, NULL::BOOLEAN AS b, NULL::TIMESTAMP AS ts FROM orders UNION ALL SELECT 'po-' || o_orderkey, 'status', 0, o_orderstatus, NULL, NULL, NULL, NULL FROM orders)
+"""
+for _name, _tree in (
+    ("translate_relations", tree(box({0: ["place order"]}, {0: ["order"]}, [o2e(0, 0, "order"), ev_attr(0, "total", number("Float", 300000.0, None))], constraints=[{"type": "Filter", "filter": ev_attr(0, "status", {"type": "String", "is_in": ["O"]})}]))),
+    ("translate_windows", tree(box({0: ["purchase"], 1: ["error"]}, filters=[between(0, 1, 0, 30)]))),
+):
+    query(_name, _VALUES + translate.to_sql(_tree, "duckdb", {"events": "ev", "objects": "ob"}))(lambda log, t=_tree: bindings(log, t))
+
+# Declarative constraints.
+query("declare_objects_per_event", " SELECT ob_type, n, count(*) AS events FROM (SELECT ob_type, ev_id, count(*) AS n FROM e2o WHERE ev_type = 'ship item' GROUP BY 1, 2) t GROUP BY 1, 2")(lambda log: declare.objects_per_event(log, "ship item"))
+query("declare_events_per_object", """, n AS (SELECT ob_id, count(DISTINCT ev_id) AS n FROM e2o WHERE ev_type = 'ship item' GROUP BY 1)
+SELECT o.ob_type, coalesce(n.n, 0) AS n, count(*) AS objects FROM ob o LEFT JOIN n USING (ob_id) WHERE o.ob_type IN ('order', 'part', 'supplier') GROUP BY 1, 2""")(lambda log: declare.events_per_object(log, "ship item"))
+_ARC = declare.Arc("place order", "ship item", "EF", "each", "order")
+query("declare_conformance", """, s AS (SELECT a.ev_id, a.ob_id, count(DISTINCT b.ev_id) AS n FROM e2o a LEFT JOIN e2o b ON a.ob_id = b.ob_id AND b.ev_type = 'ship item' AND b.ev_time > a.ev_time WHERE a.ev_type = 'place order' AND a.ob_type = 'order' GROUP BY 1, 2)
+SELECT count(*) AS obligations, count(*) FILTER (n > 0) AS satisfied, count(*) FILTER (n > 0) / count(*) AS fraction FROM s""")(lambda log: declare.conformance(log, _ARC))
+query("declare_conformance_directly", """, e AS (SELECT DISTINCT ob_id, ev_id, ev_type, ev_time FROM e2o WHERE ob_type = 'user'),
+s AS (SELECT a.ob_id, a.ev_id, (SELECT min(ev_time) FROM e WHERE e.ob_id = a.ob_id AND e.ev_time > a.ev_time) AS nxt FROM e a WHERE a.ev_type = 'view'),
+n AS (SELECT s.ob_id, s.ev_id, count(b.ev_id) AS n FROM s LEFT JOIN e b ON b.ob_id = s.ob_id AND b.ev_time = s.nxt AND b.ev_type = 'click' GROUP BY 1, 2)
+SELECT count(*) AS obligations, count(*) FILTER (n > 0) AS satisfied, count(*) FILTER (n > 0) / count(*) AS fraction FROM n""")(lambda log: declare.conformance(log, declare.Arc("view", "click", "DF", "each", "user")))
+query("declare_edge_durations", " SELECT a.ev_id AS s, CAST(trunc((epoch_us(min(b.ev_time)) - epoch_us(a.ev_time)) / 1000) AS BIGINT) AS ms FROM e2o a JOIN e2o b ON a.ob_id = b.ob_id AND b.ev_type = 'ship item' AND b.ev_time > a.ev_time WHERE a.ev_type = 'place order' AND a.ob_type = 'order' GROUP BY a.ev_id, a.ob_id, a.ev_time")(lambda log: declare.edge_durations(log, _ARC))
+query("declare_duration_histogram")(lambda log: declare.histogram(declare.edge_durations(log, _ARC), "ms"))
+query("declare_discovery")(lambda log: log.spark.createDataFrame([(a.source, a.target, a.arrow, a.object_type, f) for a, f in declare.discover(log, 0.6, arrows=("EF",), activities=["place order", "ship item"])], "source string, target string, arrow string, object_type string, fraction double"))
+
+# Path schemas.
+query("path_type_graph", " SELECT 'e2o' AS relation, ev_type AS source, ob_type AS target, qualifier, count(*) AS n FROM e2o GROUP BY 2, 3, 4 UNION ALL SELECT 'o2o', src_type, tgt_type, qualifier, count(*) FROM o2o GROUP BY 2, 3, 4")(lambda log: paths.type_graph(log))
+query("path_enumerate")(lambda log: log.spark.createDataFrame([(len(p), " > ".join([p[0].ends[0]] + [s.ends[1] for s in p]), str(p)) for p in paths.enumerate_schemas(log, "order", "region", 3)], "length int, types string, steps string"))
+_TO_REGION = (paths.Step("o2o", "order", "customer", "placed_by"), paths.Step("o2o", "customer", "nation", "lives_in"), paths.Step("o2o", "nation", "region", "part_of"))
+_SHIPPED = (paths.Step("e2o", "place order", "order", "order"), paths.Step("e2o", "ship item", "order", "order", True))
+query("path_connections", " SELECT a.src_id AS source, c.tgt_id AS target FROM o2o a JOIN o2o b ON a.tgt_id = b.src_id JOIN o2o c ON b.tgt_id = c.src_id WHERE a.src_type = 'order' AND c.tgt_type = 'region'")(lambda log: paths.connections(log, _TO_REGION).drop("seconds"))
+query("path_connections_first", " SELECT source, target, seconds FROM (SELECT a.ev_id AS source, b.ev_id AS target, (epoch_us(b.ev_time) - epoch_us(a.ev_time)) / 1000000 AS seconds, row_number() OVER (PARTITION BY a.ev_id ORDER BY b.ev_time, b.ev_id) AS n FROM e2o a JOIN e2o b ON a.ob_id = b.ob_id AND b.ev_time >= a.ev_time WHERE a.ev_type = 'place order' AND b.ev_type = 'ship item' AND a.ob_type = 'order') t WHERE n = 1")(lambda log: paths.connections(log, _SHIPPED, "forward", selection="first"))
+query("path_connections_closest", " SELECT source, target, seconds FROM (SELECT a.ev_id AS source, b.ev_id AS target, (epoch_us(b.ev_time) - epoch_us(a.ev_time)) / 1000000 AS seconds, row_number() OVER (PARTITION BY a.ev_id ORDER BY abs(epoch_us(b.ev_time) - epoch_us(a.ev_time)), b.ev_id) AS n FROM e2o a JOIN e2o b ON a.ob_id = b.ob_id WHERE a.ev_type = 'place order' AND b.ev_type = 'ship item' AND a.ob_type = 'order') t WHERE n = 1")(lambda log: paths.connections(log, _SHIPPED, selection="closest"))
+query("path_measures", """, p AS (SELECT a.ev_id AS s, b.ev_id AS t, (epoch_us(b.ev_time) - epoch_us(a.ev_time)) / 1000000 AS sec FROM e2o a JOIN e2o b ON a.ob_id = b.ob_id AND b.ev_time >= a.ev_time WHERE a.ev_type = 'place order' AND b.ev_type = 'ship item' AND a.ob_type = 'order'),
+n AS (SELECT (SELECT count(*) FROM ev WHERE ev_type = 'place order') AS a, (SELECT count(*) FROM ev WHERE ev_type = 'ship item') AS b)
+SELECT count(*) AS support, count(*) AS path_count, count(DISTINCT s) / any_value(n.a) AS coverage, count(DISTINCT t) / any_value(n.b) AS reach, count(DISTINCT s) / count(*) AS selectivity, count(DISTINCT t) / count(*) AS exclusivity, count(*) = 0 AS is_dead, min(sec) AS min_s, max(sec) AS max_s, avg(sec) AS mean_s, median(sec) AS median_s FROM p, n""")(lambda log: paths.measures(log, _SHIPPED, temporal="forward"))
+query("path_degrees", """, p AS (SELECT src_id AS s, tgt_id AS t FROM o2o WHERE src_type = 'customer' AND tgt_type = 'nation'),
+a AS (SELECT ob_id, count(p.t) AS n FROM ob LEFT JOIN p ON p.s = ob_id WHERE ob_type = 'customer' GROUP BY 1), b AS (SELECT ob_id, count(p.s) AS n FROM ob LEFT JOIN p ON p.t = ob_id WHERE ob_type = 'nation' GROUP BY 1)
+SELECT 'source' AS side, n, count(*) AS elements FROM a GROUP BY 2 UNION ALL SELECT 'target', n, count(*) FROM b GROUP BY 2""")(lambda log: paths.degrees(log, (paths.Step("o2o", "customer", "nation", "lives_in"),)))
+
+# Discovery.
+query("discover_counts")(lambda log: log.spark.createDataFrame([(c.name, c.direction) for k, n in (("object", "order"), ("object", "customer"), ("event", "ship item")) for c in discover.count_constraints(log, k, n)], "name string, direction string"))
+query("discover_count_histogram", ", n AS (SELECT 'o-' || o_orderkey AS id, count(l.id) AS n FROM orders LEFT JOIN li l ON l.l_orderkey = o_orderkey GROUP BY 1) SELECT n, count(*) AS instances FROM n WHERE n > 0 GROUP BY 1")(lambda log: discover.symmetric(log, "object").where("direction = 'e2o reversed' and related = 'ship item' and id like 'o-%'").groupBy("id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("instances")))
+query("discover_delays", """, e AS (SELECT DISTINCT ob_id, ev_id, ev_type, ev_time FROM e2o WHERE ob_type = 'order')
+SELECT a.ev_type AS first, b.ev_type AS "then", a.ob_id, a.ev_id, min(floor((epoch_us(b.ev_time) - epoch_us(a.ev_time)) / 1000) / 1000) AS seconds FROM e a JOIN e b ON a.ob_id = b.ob_id AND a.ev_id <> b.ev_id AND b.ev_time >= a.ev_time GROUP BY 1, 2, 3, 4""")(lambda log: discover.delays(log, "order"))
+query("discover_follows")(lambda log: log.spark.createDataFrame([(c.name, c.low, c.high) for c in discover.follow_constraints(log, "order", 0.4)], "name string, low double, high double"))
+query("discover_or")(lambda log: log.spark.createDataFrame([(n,) for n, _ in discover.or_constraints(log, "object", "supplier", 0.9)], "name string"))
+
+
+# Extraction from the tables themselves.
+def etl(name: str, blueprint: dict, pick: Callable[[Log], DataFrame], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sources = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("customer", "orders", "lineitem", "nation", "events", "supplier")}
+        return pick(extract.extract(spark, blueprint, sources)[0])
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+def column(c: str) -> dict:
+    return {"type": "column", "column": c}
+
+
+def constant(v: str) -> dict:
+    return {"type": "constant", "value": v}
+
+
+def template(v: str) -> dict:
+    return {"type": "template", "template": v}
+
+
+def virtual(name: str, **operation) -> dict:
+    return {"name": name, "operation": operation}
+
+
+def _objects(source: str, **more) -> dict:
+    return {"source": source, "usages": [{"mode": "object", "object_id": template("C{c_custkey}"), "object_type": constant("customer"), **more}]}
+
+
+_BUILDING = {"type": "column-equals", "column": "c_mktsegment", "value": "BUILDING"}
+etl("etl_filter", {"virtual_tables": [virtual("v", type="filter", source="customer", condition={"type": "AND", "conditions": [_BUILDING, {"type": "column-matches", "column": "c_name", "pattern": "[02468]$"}]})], "tables": [_objects("v")]}, lambda log: log.objects, "SELECT 'C' || c_custkey AS ob_id, 'customer' AS ob_type FROM customer WHERE c_mktsegment = 'BUILDING' AND regexp_matches(c_name, '[02468]$')")
+etl("etl_conditions", {"tables": [_objects("customer", filter={"type": "OR", "conditions": [{"type": "column-not-equals", "column": "c_mktsegment", "value": "BUILDING"}, {"type": "column-equals", "column": "c_custkey", "value": "7"}]})]}, lambda log: log.objects, "SELECT 'C' || c_custkey AS ob_id, 'customer' AS ob_type FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_custkey = 7")
+etl("etl_join", {"virtual_tables": [virtual("v", type="join", left="customer", right="nation", join_type="inner", on=[["c_nationkey", "n_nationkey"]])], "tables": [{"source": "v", "usages": [{"mode": "object", "object_id": template("{n_name}/{c_custkey}"), "object_type": column("n_name")}]}]}, lambda log: log.objects, "SELECT n_name || '/' || c_custkey AS ob_id, n_name AS ob_type FROM customer JOIN nation ON c_nationkey = n_nationkey")
+etl("etl_union", {"virtual_tables": [virtual("a", type="filter", source="customer", condition=_BUILDING), virtual("b", type="filter", source="customer", condition={"type": "column-equals", "column": "c_mktsegment", "value": "MACHINERY"}), virtual("v", type="union", sources=["a", "b"])], "tables": [_objects("v")]}, lambda log: log.objects, "SELECT 'C' || c_custkey AS ob_id, 'customer' AS ob_type FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+_EVENTS_OF = {"mode": "event", "event_type": constant("placed"), "id": template("E-{o_orderkey}"), "timestamp": {"type": "column", "column": "o_orderdate"}, "attributes": [{"attribute": "prio", "column": "o_orderpriority"}], "inline_objects": [{"object_id": template("C{o_custkey}"), "object_type": constant("customer"), "qualifier": constant("by")}]}
+etl("etl_template", {"tables": [{"source": "orders", "usages": [_EVENTS_OF]}]}, lambda log: log.events.select("ev_id", "ev_type", F.date_format("ev_time", "yyyy-MM-dd").alias("day")), "SELECT 'E-' || o_orderkey AS ev_id, 'placed' AS ev_type, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+etl("etl_inline_refs", {"tables": [{"source": "orders", "usages": [_EVENTS_OF]}]}, lambda log: log.e2o.select("ev_id", "ob_id", "ob_type", "qualifier"), "SELECT 'E-' || o_orderkey AS ev_id, 'C' || o_custkey AS ob_id, 'customer' AS ob_type, 'by' AS qualifier FROM orders")
+etl("etl_change_events", {"tables": [{"source": "orders", "usages": [{"mode": "change-table", "timestamp": {"type": "column", "column": "o_orderdate"}, "rules": [{"condition": {"type": "column-equals", "column": "o_orderstatus", "value": "F"}, "event_type": "finish", "id": template("f{o_orderkey}")}, {"condition": {"type": "column-matches", "column": "o_orderpriority", "pattern": "^1"}, "event_type": "urgent", "id": template("u{o_orderkey}")}]}]}]}, lambda log: log.events.select("ev_id", "ev_type"), "SELECT CASE WHEN o_orderstatus = 'F' THEN 'f' ELSE 'u' END || o_orderkey AS ev_id, CASE WHEN o_orderstatus = 'F' THEN 'finish' ELSE 'urgent' END AS ev_type FROM orders WHERE o_orderstatus = 'F' OR starts_with(o_orderpriority, '1')")
+etl("etl_object_history", {"tables": [{"source": "events", "usages": [{"mode": "object", "object_id": template("u{user_id}"), "object_type": constant("user"), "timestamp": {"type": "column", "column": "ts"}, "attributes": {"type": "static", "mappings": [{"attribute": "last", "column": "event_type"}]}}]}]}, lambda log: log.object_attrs.groupBy("ob_id", "name", "v.s").agg(F.count("*").alias("n")), "SELECT 'u' || user_id AS ob_id, 'last' AS name, event_type AS s, count(*) AS n FROM events GROUP BY 1, 3")
+etl("etl_relations", {"tables": [_objects("customer"), {"source": "nation", "usages": [{"mode": "object", "object_id": column("n_name"), "object_type": constant("nation")}]}, {"source": "v", "usages": [{"mode": "o2o-relation", "source_id": template("C{c_custkey}"), "target_id": column("n_name"), "qualifier": constant("in")}]}], "virtual_tables": [virtual("v", type="join", left="customer", right="nation", on=[["c_nationkey", "n_nationkey"]])]}, lambda log: log.o2o.select("src_id", "tgt_id", "qualifier"), "SELECT 'C' || c_custkey AS src_id, n_name AS tgt_id, 'in' AS qualifier FROM customer JOIN nation ON c_nationkey = n_nationkey")
+
+
+def _timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_format(F.col("o_orderdate").cast("timestamp"), "dd.MM.yyyy HH:mm").alias("t"))
+    return orders.select("o_orderkey", F.date_format(extract.parse_time(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("at"), F.date_format(extract.parse_time(F.col("t"), {"type": "format-string", "format": "%d.%m.%Y %H:%M"}), "yyyy-MM-dd HH:mm:ss").alias("by_format"))
+
+
+QUERIES["etl_timestamps"] = _timestamps
+SQL["etl_timestamps"] = "SELECT o_orderkey, strftime(date_trunc('minute', o_orderdate), '%Y-%m-%d %H:%M:%S') AS at, strftime(date_trunc('minute', o_orderdate), '%Y-%m-%d %H:%M:%S') AS by_format FROM orders"
+
+
+def _multivalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.concat_ws(" ,", "o_orderpriority", F.lit(""), "o_orderstatus").alias("t"))
+    return orders.select("o_orderkey", F.explode(extract.split_values(F.col("t"), {"delimiter": ","})).alias("value"))
+
+
+QUERIES["etl_multivalue"] = _multivalue
+SQL["etl_multivalue"] = "SELECT o_orderkey, trim(o_orderpriority) AS value FROM orders UNION ALL SELECT o_orderkey, o_orderstatus FROM orders"
+
+# Anonymity: customers by the market segment, and by the days and priorities of their orders.
+from .model import Box, event, obj  # noqa: E402
+
+_ANON_BOX = Box(new_events={0: ["place order"]}, new_objects={0: ["customer"]}, filters=[o2e(0, 0)])
+_ANON_PATTERN = Box(new_events={0: ["place order"]}, new_objects={0: ["customer"]}, filters=[o2e(0, 0)])
+
+
+def _policy(k: int, diversity: int, t: float) -> anonymity.Policy:
+    return anonymity.Policy([anonymity.QuasiIdentifier(_ANON_PATTERN, obj(0), event(0), "status")], ["segment"], k, diversity, t)
+
+
+def _check(log: Log, k: int = 3, diversity: int = 2, t: float = 0.5) -> anonymity.Check:
+    return anonymity.Check(_policy(k, diversity, t), _ANON_BOX, log)
+
+
+_ANON_SQL = """WITH v AS (SELECT o_custkey AS c, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2),
+f AS (SELECT c, string_agg(s || n, ',' ORDER BY s) AS fp FROM v GROUP BY 1),
+m AS (SELECT f.c, f.fp, c_mktsegment AS seg FROM f JOIN customer ON c_custkey = f.c),
+k AS (SELECT fp, count(*) AS size, count(DISTINCT seg) AS distinct_sensitive FROM m GROUP BY 1),
+l AS (SELECT fp, seg, count(*) AS n FROM m GROUP BY 1, 2), g AS (SELECT seg, count(*) / (SELECT count(*) FROM m) AS p FROM m GROUP BY 1),
+e AS (SELECT l.fp, round(1 - sum(least(l.n / k.size, g.p)), 12) AS emd FROM l JOIN k USING (fp) JOIN g USING (seg) GROUP BY 1)
+"""
+QUERIES["anon_classes"] = lambda spark, sf_dir: _check(star_log(spark, sf_dir)).classes().select("size", "distinct_sensitive", F.round("emd", 9).alias("emd"))
+SQL["anon_classes"] = _ANON_SQL + "SELECT k.size, k.distinct_sensitive, round(e.emd, 9) AS emd FROM k JOIN e USING (fp)"
+QUERIES["anon_verdict"] = lambda spark, sf_dir: _check(star_log(spark, sf_dir)).verdict().withColumns({c: F.round(c, 9) for c in ("t_min", "t_max_emd")})
+SQL["anon_verdict"] = _ANON_SQL + "SELECT true AS activated, CAST(sum(size) AS BIGINT) AS protected, count(*) AS classes, bool_and(size >= 3) AS k_ok, bool_and(distinct_sensitive >= 2) AS l_ok, bool_and(emd <= 0.5) AS t_ok, min(size) AS k_max, min(distinct_sensitive) AS l_max, round(min(emd), 9) AS t_min, round(max(emd), 9) AS t_max_emd FROM k JOIN e USING (fp)"
+QUERIES["anon_risk"] = lambda spark, sf_dir: _check(star_log(spark, sf_dir)).at_risk()
+SQL["anon_risk"] = _ANON_SQL + "SELECT 'c-' || m.c AS id FROM m JOIN k USING (fp) WHERE size < 3"
+QUERIES["anon_sensitive_risk"] = lambda spark, sf_dir: _check(star_log(spark, sf_dir)).sensitive_at_risk()
+SQL["anon_sensitive_risk"] = _ANON_SQL + "SELECT DISTINCT 'segment' AS attribute, m.seg AS value FROM m JOIN k USING (fp) JOIN e USING (fp) WHERE distinct_sensitive < 2 OR emd > 0.5"
