@@ -3,16 +3,15 @@
 A document is its lines. A chunk ends after a line where a rolling hash over the hashes of that line and the ones before
 it hits a residue, so an edit moves only the boundaries near it; a line of LONG words or more is a chunk of its own, as
 a passage often stands in one line. Chunks are grouped by hash and bytes over the whole corpus: equal hashes alone do
-not make a repeat. Of each group that has more than one place the first place (by document id, then text hash, then
-position) stays. Elsewhere a run of neighbouring repeated chunks is removed if it has at least LEAST words, so short
+not make a repeat. Of each group that has more than one place the first place (by document id, then position) stays. Elsewhere a run of neighbouring repeated chunks is removed if it has at least LEAST words, so short
 lines that many documents share, such as a licence line, stay.
 
 Grouping is by partial aggregation, so a chunk that stands in a third of all documents is one row from each task. The
-hash's groups without text come back to the documents: bytes have been compared, and only where one hash has several
-texts are these sent along and compared once more in place.
+groups come back to the documents without text: bytes have been compared, and only where one hash has several texts does
+a digest say which of them is meant.
 
-Defined cases: null text stays null, empty text empty; rows that repeat with id and text are one document and get the
-same result; a line break at the end of a text is a last empty line; documents of which nothing is left get empty text
+Defined cases: null text stays null, empty text empty; rows that share an id are one document, whose places are no
+repeats of each other; a null id is one id, the least; a line break at the end of a text is a last empty line; documents of which nothing is left get empty text
 (see dedup_lines' emptied); no rows give no rows. Output columns replace those of their names.
 """
 
@@ -21,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import let
+from .base import let, settle
 
 #: Lines in the rolling window, average lines between hits, words of a line that is a chunk of its own, words that a
 #: repeated run has to have.
 WINDOW, DIVISOR, LONG, LEAST = 2, 3, 20, 20
 _LOW = 0xFFFFFF
+#: Chunks that a document has room for where its id and a chunk's number are one number.
+PLACES = 1_000_000_000
 
 
 def word_count(line: Column) -> Column:
@@ -67,22 +68,24 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """docs with the text that stays in text_col, n_lines, n_removed (lines) and emptied (had words, and none is left)."""
     new = ("n_lines", "n_removed", "emptied")
     source = docs.select(*[c for c in docs.columns if c not in new or c in (id_col, text_col)])
-    own = source.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    own = source.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
     chunks = own.select("_id", "_key", F.posexplode(chunk_texts(F.col("_text"), window, divisor, long)).alias("k", "piece")).where("piece <> ''").withColumn("hash", F.xxhash64("piece"))
-    place = F.struct("_id", "_key", "k")
-    groups = chunks.groupBy("hash", "piece").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    same_hash = groups.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("first").alias("first"))
-    single = same_hash.where("n > 1 and texts = 1").select("hash", "first", F.lit(None).cast("string").alias("piece"))
-    mixed = same_hash.where("n > 1 and texts > 1").select("hash").join(groups.where("n > 1"), "hash").select("hash", "first", "piece")
+    place = (F.coalesce("_id", F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(PLACES) + F.col("k")).cast("decimal(38,0)")
+    groups = chunks.withColumn("place", place).groupBy("hash", "piece").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    repeated = F.col("n") > 1
+    groups = settle(groups.select("hash", "n", F.when(repeated, F.col("first")).alias("first"), F.when(repeated, F.sha2("piece", 256)).alias("sha")), "chunks")
+    texts = groups.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("first").alias("first")).where("n > 1")
+    single = texts.where("texts = 1").select("hash", "first", F.lit(None).cast("string").alias("sha"))
+    mixed = texts.where("texts > 1").select("hash").join(groups.where("n > 1"), "hash").select("hash", "first", "sha")
     marks = (
-        chunks.select("_id", "_key", "k", "hash")
+        chunks.select("_id", "_key", "k", "hash", place.alias("place"))
         .join(single.unionByName(mixed), "hash")
-        .where(~place.eqNullSafe(F.col("first")))
+        .where("place <> first")
         .groupBy("_id", "_key")
-        .agg(F.collect_list(F.struct("k", "piece")).alias("marks"))
+        .agg(F.collect_list(F.struct("k", "sha")).alias("marks"))
     )
     keyed = source.withColumn("_key", F.xxhash64(text_col))
-    both = keyed.join(marks.hint("shuffle_hash"), keyed[id_col].eqNullSafe(marks["_id"]) & (keyed["_key"] == marks["_key"]), "left").select(keyed["*"], marks["marks"])
+    both = keyed.join(marks.hint("shuffle_hash"), keyed[id_col].cast("long").eqNullSafe(marks["_id"]) & (keyed["_key"] == marks["_key"]), "left").select(keyed["*"], marks["marks"])
     return _without_runs(both, text_col, window, divisor, long, least).select(*[c for c in source.columns], *new)
 
 
@@ -105,7 +108,7 @@ def breaks(text: Column) -> Column:
 def _chunk(piece: Column, k: Column, marks: Column) -> Column:
     """A chunk's text, words, and whether it is a repeat."""
     words = F.aggregate(F.split(piece, "\n", -1), F.lit(0), lambda a, x: a + word_count(x))
-    hit = F.exists(marks, lambda m: (m["k"] == k) & (m["piece"].isNull() | (m["piece"] == piece)))
+    hit = F.exists(marks, lambda m: (m["k"] == k) & (m["sha"].isNull() | (m["sha"] == F.sha2(piece, 256))))
     return F.struct(piece.alias("text"), words.alias("words"), hit.alias("hit"))
 
 
