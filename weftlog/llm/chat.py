@@ -8,7 +8,7 @@ whoever needs the whole reads the turns in order. Segment lengths, cumulative of
 arrays over a whole Arrow batch; headers, texts, escapes and ends are written into one buffer that is allocated once.
 
 Defined cases: null text or role is empty; turns are ordered by turn (null first), then role, then text, and repeated
-rows stay; a role other than the known ones is written after a backslash, escaped, with a backslash before each colon;
+rows stay; a role other than the known ones is written after ``\=``, escaped, with a backslash before each colon;
 conversations with a null id are one conversation; no rows give no rows.
 """
 
@@ -47,7 +47,7 @@ def unescape(raw: bytes) -> bytes:
 
 def header(role: bytes) -> bytes:
     known = ROLES.get(role.decode())
-    return b"### " + (known.encode() if known else b"\\" + escape(role).replace(b":", b"\\:")) + b": "
+    return b"### " + (known.encode() if known else b"\\=" + escape(role).replace(b":", b"\\:")) + b": "
 
 
 def _flat(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def read_turn(formatted: bytes) -> tuple[bytes, bytes]:
     m = _HEADER.match(formatted)
     if not m or not formatted.endswith(_TAIL):
         raise ValueError("not a formatted turn")
-    role = unescape(m[1][1:]) if m[1][:1] == b"\\" else _NAMES[m[1]]
+    role = unescape(m[1][2:]) if m[1][:2] == b"\\=" else _NAMES[m[1]]
     return role, unescape(formatted[m.end() : -len(_TAIL)])
 
 

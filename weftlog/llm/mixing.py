@@ -126,7 +126,7 @@ def _quotas(plan: dict, shards: dict, seed: int):
         own = {k: shards[s][k] for k in sorted(shards[s])}
         got = apportion({k: float(n) for k, n in own.items()}, quotas[s], {k: MOST_TIMES * blocks[s][k] for k in own})
         for k in own:
-            yield s, k, size, target, blocks[s][k], got[k], ((seed * 2654435761 + k * 40503 + len(s or "")) % 1009 + 0.5) / 1010
+            yield s, k, size, float(target), blocks[s][k], got[k], ((seed * 2654435761 + k * 40503 + len(s or "")) % 1009 + 0.5) / 1010
 
 
 def taken(start: Column, end: Column) -> Column:
