@@ -8,7 +8,7 @@ its postings, and asking for m shared shingles leaves fewer candidates to verify
 is taken. A pair has to share min(m, m') shingles of the prefixes for that number.
 
 Links are only needed as far as they join classes, so no group of near copies is expanded into all its pairs. First each
-posting list has its members verified against a few of its own (the hubs). Then only lists with members in different
+class is verified against one member of its posting lists, the hub that most of them have in common. Then only lists with members in different
 components are left. Short ones give their cross-component pairs, of which those with enough shared shingles are
 verified; long ones are cut into blocks, and each pair of blocks is verified in one task that emits no more than one link
 for each member. All pairs with enough similarity in different components are met in one of these ways, so components
@@ -33,10 +33,14 @@ from .base import append_columns, bound_batches, settle, utf8
 
 #: Hashed cells for document frequencies, and rows that one task's cells are sent in.
 CELLS, CELL_ROWS = 1 << 18, 64
-#: Largest m of a prefix; hubs of a posting list; members up to which a list gives pairs; shingles in a block of a longer one.
-MOST_SHARED, HUBS, SHORT, BLOCK_SHINGLES = 3, 2, 32, 1 << 21
-#: Cost of verifying a pair, in postings.
-VERIFY = 8.0
+#: Largest m of a prefix; members up to which a list gives pairs; shingles in a block of a longer one.
+MOST_SHARED, SHORT, BLOCK_SHINGLES = 4, 32, 1 << 21
+#: Members of a hub in one task; rows of pairs or ids up to which they are broadcast (24 bytes each), beyond which they
+#: are joined by a shuffle.
+MEMBERS, FEW = 2000, 400_000
+#: Costs of a posting and of verifying a pair; partners that a shingle has by chance.
+POSTING, VERIFY, CHANCE = 0.5, 8.0, 0.5
+_FACTORIAL = [1, 1, 2, 6, 24]
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -97,13 +101,14 @@ def ordered(own: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 
 def adaptive_prefix(own: np.ndarray, cells: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int, int]:
-    """Prefix, length of the shortest prefix (m = 1), and the m that is asked for."""
+    """Prefix, length of the shortest prefix (m = 1), and the m that is asked for: that of the least estimated cost, of
+    postings and of candidates, which fall with the factorial of m as shared shingles are mostly by chance."""
     n = len(own)
     base = n - least_shared(n, percent) + 1
     in_order = ordered(own, cells)[: base + MOST_SHARED - 1]
-    lists = np.maximum(0.0, cells[(in_order & np.uint64(CELLS - 1)).astype(np.int64)] - noise)
-    total = np.cumsum(lists)
-    costs = [total[min(base + m - 1, len(total)) - 1] * (1 + VERIFY / m) for m in range(1, MOST_SHARED + 1) if base + m - 1 <= n]
+    partners = np.maximum(CHANCE, cells[(in_order & np.uint64(CELLS - 1)).astype(np.int64)] - noise)
+    total = np.cumsum(partners)
+    costs = [POSTING * (base + m - 1) + VERIFY * total[base + m - 2] / _FACTORIAL[m] for m in range(1, MOST_SHARED + 1) if base + m - 1 <= n]
     m = int(np.argmin(costs)) + 1
     return in_order[: base + m - 1], base, m
 
@@ -181,10 +186,14 @@ def _pair_rows(batch: pa.RecordBatch, width: int, percent: int) -> list[bool]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b: classes) whose texts are similar enough."""
+    """Those of the pairs (a, b: classes; a table) whose texts are similar enough. Up to FEW pairs go to the texts, more
+    are joined with them."""
+    few = pairs.count() <= FEW
     one = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    if few:
+        two = two.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    both = one.join(F.broadcast(pairs) if few else pairs, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     checked = append_columns(both, [T.StructField("ok", T.BooleanType())], lambda: lambda batch: [_pair_rows(batch, width, percent)])
     return checked.where("ok").select("a", "b")
 
@@ -277,17 +286,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, text_
     classes = signed.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.first(F.struct("n", "base", "m", "prefix")).alias("s")).select("class", "least", "s.*")
     # A shingle's level is the least m whose prefix has it.
     postings = classes.select("class", "least", "n", "m", "base", F.posexplode("prefix").alias("place", "token"))
-    postings = settle(postings.select("class", "least", "n", "m", "token", F.greatest(F.lit(1), F.col("place") - F.col("base") + 2).alias("level")), "postings")
+    postings = postings.select("class", "least", "n", "m", "token", F.greatest(F.lit(1), F.col("place") - F.col("base") + 2).alias("level"))
     lists = postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
     shared = settle(postings.join(lists, "token"), "shared")
-    texts = _texts(own, shared, width)
-    links = settle(verified(_stars(shared, percent), texts, width, percent), "links")
+    stars = settle(_star_hubs(shared, percent), "stars")
+    texts = _texts(own, shared, stars.select("class").union(stars.select("hub")), width)
+    links = settle(_stars(texts.join(F.broadcast(stars) if stars.count() <= FEW else stars, "class", "left"), width, percent), "links")
     first = components(links)
-    located = shared.join(first, "class", "left").select("class", "n", "m", "token", "level", F.coalesce("component", "class").alias("component"))
+    located = shared.join(first, "class", "left").select("class", "least", "n", "m", "token", "level", F.coalesce("component", "class").alias("component"))
     apart = located.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "members")
     left = settle(located.join(apart, "token"), "apart")
-    more = verified(_cross_pairs(left.where(F.col("members") <= SHORT), percent), texts, width, percent)
-    dense = _blocks(left.where(F.col("members") > SHORT), texts).mapInArrow(lambda batches: _spanning(batches, width, percent), "a long, b long")
+    pairs = settle(_cross_pairs(left.where(F.col("members") <= SHORT), percent), "pairs")
+    long = left.where(F.col("members") > SHORT)
+    texts = _texts(own, shared, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(long.select("class")), width)
+    more = verified(pairs, texts, width, percent)
+    dense = _blocks(long, texts).mapInArrow(lambda batches: _spanning(batches, width, percent), "a long, b long")
     joined = components(links.union(settle(more.union(dense), "links")))
     by_class = classes.select("class", "least").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = by_class.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -301,20 +314,50 @@ def _fitting(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _texts(own: DataFrame, shared: DataFrame, width: int) -> DataFrame:
-    """class and text of each class that shares a shingle of its prefix: that of its least id's row."""
-    wanted = shared.select("class", "least").distinct()
-    found = own.join(wanted.hint("shuffle_hash"), own["id"].eqNullSafe(wanted["least"])).select("class", "text")
-    checked = append_columns(found, [T.StructField("own", T.LongType())], lambda: lambda b: [[class_of(shingles(x, width)) for x in utf8(b.column("text"))]])
-    return settle(checked.where("own = class").dropDuplicates(["class"]).select("class", "text"), "texts")
+def _star_hubs(shared: DataFrame, percent: int) -> DataFrame:
+    """class, hub: of the hubs of a class's posting lists (each list's member with the least hash) that which it shares
+    most lists with, if these are as many as the smaller m of the two asks for."""
+    hubs = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("class").alias("by"), F.col("n").alias("size"), F.col("m").alias("hub_m"), F.col("class").alias("hub"))).alias("h")).select("token", "h.size", "h.hub_m", "h.hub")
+    met = shared.select("token", "class", "n", "m").join(hubs, "token").where((F.col("class") != F.col("hub")) & _fitting("n", "size", percent))
+    counted = met.groupBy("class", "hub").agg(F.count("*").alias("lists"), F.min(F.least("m", "hub_m")).alias("asked")).where("lists >= asked")
+    return counted.groupBy("class").agg(F.max(F.struct("lists", "hub")).alias("h")).select("class", "h.hub")
+
 
+def _texts(own: DataFrame, shared: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """class and text of the classes: each has the text of its least id's row."""
+    wanted = settle(shared.select("class", "least").distinct().join(classes.select("class").distinct(), "class", "left_semi"), "wanted")
+    n = wanted.count()
+    found = own.join(F.broadcast(wanted) if n <= FEW else wanted.hint("shuffle_hash"), own["id"].eqNullSafe(wanted["least"])).select("class", "text")
+    checked = append_columns(found, [T.StructField("own", T.LongType())], lambda: lambda b: [[class_of(shingles(x, width)) for x in utf8(b.column("text"))]])
+    texts = settle(checked.where("own = class").select("class", "text"), "texts")
+    if texts.count() == n:
+        return texts
+    return settle(texts.dropDuplicates(["class"]), "texts")  # ids that several rows share
+
+
+def _stars(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between classes and their hubs. A hub's row comes first among its members' and is held while they pass; a
+    hub of many members is dealt over several tasks, with a copy of its own row for each."""
+    members = texts.where("hub is not null").groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"))
+    members = settle(members, "hubs")
+    members = F.broadcast(members) if members.count() <= FEW else members
+    part = F.pmod(F.xxhash64("class"), F.col("parts").cast("long")).cast("int")
+    rows = texts.join(members, "hub").select("hub", part.alias("part"), F.lit(1).alias("kind"), "class", "text")
+    heads = texts.select("class", "text").join(members, F.col("class") == F.col("hub")).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "class", "text")
+    dealt = rows.unionByName(heads).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
 
-def _stars(shared: DataFrame, percent: int) -> DataFrame:
-    """Each member of a posting list with the list's hubs, a few members by hash."""
-    seed = [F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("by"), F.col("n").alias("size"), F.col("class").alias("hub"))).alias(f"h{k}") for k in range(HUBS)]
-    hubs = shared.groupBy("token").agg(*seed).select("token", F.inline(F.array(*[F.col(f"h{k}") for k in range(HUBS)])))
-    both = shared.select("token", "class", "n").join(hubs.select("token", "hub", "size").distinct(), "token")
-    return both.where((F.col("class") != F.col("hub")) & _fitting("n", "size", percent)).select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
+    def run(batches):
+        held, key = None, None
+        for b in batches:
+            links = []
+            for *at, kind, cls, raw in zip(*[b.column(n).to_pylist() for n in ("hub", "part", "kind", "class")], utf8(b.column("text")), strict=True):
+                if kind == 0:
+                    held, key = shingles(raw, width), at
+                elif at == key and similar(held, shingles(raw, width), percent):
+                    links.append((cls, at[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _cross_pairs(short: DataFrame, percent: int) -> DataFrame:
