@@ -188,3 +188,9 @@ def test_declare_discover_paths_translate(log):
     with pytest.raises(ValueError):
         translate.to_sql({"nodes": [{"Box": [{"newEventVars": {"0": ["a"]}, "filters": [{"type": "BasicFilterCEL", "cel": "true"}]}, []]}], "edgeNames": []})
     assert translate.to_cypher(RELATED).startswith("MATCH (e1:Event), (o1:Object) WHERE")
+    tree = paths.to_tree(paths.enumerate_schemas(log, "pay", "ship", 2)[0], 1e6)
+    assert rows(evaluate(tree, log).node(0), "e1", "e2", "o1") == [("e1", "e2", "o1")]
+    assert paths.expand_types(log, {"pay"}) == {"pay", "order"} and declare.template_string([arc]) == "EF(each order, pay, ship, 1, *)"
+    assert paths.integer_bins(log.e2o.groupBy("ob_id").count(), "count").count() == 2
+    df, more = evaluate(RELATED, log).capped(0, 2)
+    assert df.count() == 2 and more

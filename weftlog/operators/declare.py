@@ -143,3 +143,9 @@ def discover(log: Log, noise: float = 0.2, how: tuple[str, ...] = ("each",), arr
                     if got["obligations"] and got["fraction"] >= 1 - noise:
                         out.append((arc, got["fraction"]))
     return out
+
+
+def template_string(arcs: list[Arc]) -> str:
+    """Arcs as text, a line each: ARROW(how type, source, target, low, high)."""
+    shown = lambda x: "*" if x is None else str(x)
+    return "\n".join(f"{a.arrow}({a.how} {a.object_type}, {a.source}, {a.target}, {shown(a.low)}, {shown(a.high)})" for a in arcs)

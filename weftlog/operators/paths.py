@@ -119,3 +119,48 @@ def degrees(log: Log, schema: tuple[Step, ...], **how) -> DataFrame:
 def rank(found: list[tuple[tuple[Step, ...], dict]], top: int | None = None) -> list[tuple[tuple[Step, ...], dict]]:
     """Schemas that connect something first, then by selectivity and support, greatest first."""
     return sorted(found, key=lambda x: (x[1]["is_dead"], -x[1]["selectivity"], -x[1]["support"]))[:top]
+
+
+def to_tree(schema: tuple[Step, ...], bound_seconds: float | None = None) -> dict:
+    """One box that binds the path's elements; consecutive events are at most bound_seconds apart, the earlier first."""
+    names: dict[str, tuple[str, int]] = {}
+    events: dict[str, list[str]] = {}
+    objects: dict[str, list[str]] = {}
+    order: list[str] = []
+    kinds = {t: "event" if s.relation == "e2o" and t == s.source else "object" for s in schema for t in (s.source, s.target)}
+    for t in [schema[0].ends[0]] + [s.ends[1] for s in schema]:
+        own = events if kinds[t] == "event" else objects
+        names[t] = (kinds[t], len(own))
+        own[str(len(own))] = [t]
+        order.append(t)
+    filters: list[dict] = []
+    for s in schema:
+        (_, a), (_, b) = names[s.source], names[s.target]
+        if s.relation == "e2o":
+            filters.append({"type": "O2E", "object": b, "event": a, "qualifier": s.qualifier})
+        else:
+            filters.append({"type": "O2O", "object": a, "other_object": b, "qualifier": s.qualifier})
+    path_events = [names[t][1] for t in order if kinds[t] == "event"]
+    for a, b in zip(path_events, path_events[1:], strict=False):
+        filters.append({"type": "TimeBetweenEvents", "from_event": a, "to_event": b, "min_seconds": 0, "max_seconds": bound_seconds})
+    return {"nodes": [{"Box": [{"newEventVars": events, "newObjectVars": objects, "filters": filters, "sizeFilters": [], "constraints": []}, []]}], "edgeNames": []}
+
+
+def expand_types(log: Log, types: set[str], hub_limit: int = 10, most: int = 50) -> set[str]:
+    """Types one edge away from the given ones; a type with more than hub_limit neighbours is not expanded."""
+    near: dict[str, set[str]] = {}
+    for r in type_graph(log).select("source", "target").distinct().toLocalIterator():
+        near.setdefault(r["source"], set()).add(r["target"])
+        near.setdefault(r["target"], set()).add(r["source"])
+    found = sorted(x for t in types if len(near.get(t, ())) <= hub_limit for x in near.get(t, ()))
+    return set(types) | set(list(dict.fromkeys(x for x in found if x not in types))[: max(0, most - len(types))])
+
+
+def integer_bins(values: DataFrame, column: str) -> DataFrame:
+    """low, high, n: a bin for each whole number in a range of up to 40, else as many as Sturges' rule gives."""
+    r = values.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n")).first()
+    if not r["n"]:
+        return values.select(F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).cast("bigint").alias("n")).limit(0)
+    width = 1 if r["high"] - r["low"] <= 40 else max(1, -(-(r["high"] - r["low"] + 1) // (int(r["n"]).bit_length() + 1)))
+    low = F.floor((F.col(column) - int(r["low"])) / width) * int(width) + int(r["low"])
+    return values.where(F.col(column).isNotNull()).groupBy(low.alias("low")).agg(F.count("*").alias("n")).select("low", (F.col("low") + int(width) - 1).alias("high"), "n")

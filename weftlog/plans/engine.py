@@ -564,8 +564,10 @@ class EvalResult:
         r = self.evaluation.results[i]
         return r.full.select(*[v.name for v in sorted(r.visible)], *r.label_kinds, "violation")
 
-    def root(self, i: int = 0) -> DataFrame:
-        return self.node(i)
+    def capped(self, i: int, most: int) -> tuple[DataFrame, bool]:
+        """At most so many of a node's bindings, and whether there are more. Nothing is capped unless asked."""
+        df = self.node(i)
+        return df.limit(most), df.limit(most + 1).count() > most
 
     def summary(self) -> DataFrame:
         """Situations and violated situations of each node."""
