@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -406,3 +407,17 @@ def test_ngram_join_rows(spark):
 
 def test_every_contract_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_quality_of_texts_unlike_all_learned_from():
+    """An input that never varied says nothing, and none counts further out than REACH."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (200, quality.DIMENSIONS + quality.PROPORTIONS))
+    x[:, -1] = 0.25
+    net = quality.train(x, (x[:, 0] > 0).astype(int))
+    odd = x[:5].copy()
+    odd[:, -1] = 9
+    assert np.allclose(net.score(odd), net.score(x[:5]))
+    odd[:, 1], far = 1e6, x[:5].copy()
+    far[:, 1] = net.mean[1] + quality.REACH * net.spread[1]
+    assert np.allclose(net.score(odd), net.score(far))

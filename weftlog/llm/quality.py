@@ -31,6 +31,8 @@ from .base import append_columns, bound_batches, utf8
 
 BUCKETS, DIMENSIONS, NONZERO, NEIGHBOURS = 1 << 14, 64, 4, 2
 SAMPLE, TASKS, HIDDEN, EPOCHS, SEED = 8000, 8, 32, 60, 7
+#: Standard deviations from the mean up to which an input counts.
+REACH = 4.0
 _MARKS = re.compile(rb"[^0-9A-Za-z\s\x80-\xff]")
 
 
@@ -104,8 +106,12 @@ class Network:
     second_bias: float
     temperature: float
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Standardised inputs, no further out than REACH: what is learned does not say more of texts unlike all learned from."""
+        return np.clip((x - self.mean) / self.spread, -REACH, REACH)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.mean) / self.spread @ self.first + self.first_bias) @ self.second + self.second_bias
+        return np.tanh(self.scaled(x) @ self.first + self.first_bias) @ self.second + self.second_bias
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
@@ -127,12 +133,13 @@ def train(x: np.ndarray, y: np.ndarray) -> Network:
         aside = np.zeros(len(y), bool)
     net = constant(0.5)
     own, target = x[~aside], y[~aside]
-    net.mean, net.spread = own.mean(0), own.std(0) + 1e-6
+    spread = own.std(0)
+    net.mean, net.spread = own.mean(0), np.where(spread > 1e-6, spread, np.inf)  # an input that never varied says nothing
     net.first, net.first_bias = rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN)
     net.second, bias = rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)
     parts = [net.first, net.first_bias, net.second, bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parts]
-    scaled, t = (own - net.mean) / net.spread, 0
+    scaled, t = net.scaled(own), 0
     for _ in range(EPOCHS):
         for at in np.array_split(rng.permutation(len(target)), max(1, len(target) // 64)):
             t += 1
