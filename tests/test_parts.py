@@ -194,3 +194,29 @@ def test_declare_discover_paths_translate(log):
     assert paths.integer_bins(log.e2o.groupBy("ob_id").count(), "count").count() == 2
     df, more = evaluate(RELATED, log).capped(0, 2)
     assert df.count() == 2 and more
+
+
+def test_listed_elements(log):
+    def kept(text):
+        box = {"newEventVars": {"0": ["pay", "ship"]}, "newObjectVars": {}, "filters": [{"type": "BasicFilterCEL", "cel": text}], "sizeFilters": [], "constraints": []}
+        return [r["e1"] for r in evaluate({"nodes": [{"Box": [box, []]}], "edgeNames": []}, log).node(0).orderBy("e1").collect()]
+
+    assert kept("events().size() == numEvents() && objects().size() == numObjects()") == ["e1", "e2"]
+    assert kept("events().exists(x, x.time() < e1.time())") == ["e2"]
+    assert kept("events().filter(x, x != e1).all(x, x.type() == 'pay')") == ["e2"]
+    assert kept("objects().exists(x, x.type() == 'order' && x.attr('price') == 2.5) && objects().map(x, x.id()).contains('c1')") == ["e1", "e2"]
+    with pytest.raises(ValueError, match="at most 1 "):
+        log.listed("events", 1)
+
+
+def test_discovered_schemas_and_report(spark, log):
+    got = paths.discover(log, "pay", None, 2).collect()
+    assert [r["schema"] for r in got] == ["pay -of-> order", "pay -of-> order -by-> customer", "pay -of-> order <-of- ship", "pay -of-> order <-too- ship"]
+    assert [r["equivalence"] for r in got][2:] == [got[2]["equivalence"]] * 2 and got[0]["support"] == 1
+    assert paths.discover(log, "pay", "nothing", 2).count() == 0 and paths.discover(log, "pay", None, 2, top=1).count() == 1
+    one = paths.detail(log, paths.enumerate_schemas(log, "pay", "ship", 2)[0], most_pairs=1)
+    assert rows(one.pairs, "source", "target") == [("e1", "e2")] and one.samples.count() == 1 and one.degrees.count() == 2
+    assert paths.connected_types(log, "order", 2) == ["ship", "customer"]
+    box = Box(new_events={0: ["ship"]}, new_objects={0: ["order"]}, filters=[{"type": "O2E", "object": 0, "event": 0, "qualifier": None}])
+    r = anonymity.check_policy(anonymity.Policy([anonymity.QuasiIdentifier(box, obj(0), obj(0), "Id")], ["price"], 2, 1, 0.4), box, log)
+    assert not r.holds and r.line() == "2 protected in 2 classes, k up to 1, l up to 1, t from 0.500; the policy is broken: k, t" and r.classes.count() == 2

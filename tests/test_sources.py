@@ -1,6 +1,11 @@
 """Connected sources and streamed ingestion."""
 
+import gzip
+import json
 import sqlite3
+from xml.etree import ElementTree
+
+import pytest
 
 from weftlog.sources.connect import connect, connect_all
 from weftlog.streaming.ingest import ingest, windowed_counts
@@ -28,3 +33,46 @@ def test_ingest(spark, tmp_path):
         q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "log/events")).count() == 2 and spark.read.parquet(str(tmp_path / "log/e2o")).count() == 2
     assert windowed_counts(events).count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from test_parts import LOG, RELATED
+
+    from weftlog import __main__ as cli
+
+    (tmp_path / "log.json").write_text(json.dumps(LOG))
+    (tmp_path / "q" / "related").mkdir(parents=True)
+    (tmp_path / "q" / "related" / "tree.json").write_text(json.dumps(RELATED))
+    tree, log, q, results = (str(tmp_path / x) for x in ("q/related/tree.json", "log.json", "q", "r.jsonl"))
+    shown = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    cli.main(["evaluate", "--log", log, "--tree", tree, "--out", str(tmp_path / "out")])
+    said = shown()[0]
+    assert said["nodes"] == [{"node": 0, "situations": 3, "violated": 0}] and spark.read.json(said["written"]).count() == 3
+    cli.main(["translate", "--tree", tree, "--target", "cypher"])
+    assert capsys.readouterr().out.startswith("MATCH")
+    cli.main(["bench", "--log", log, "--queries-dir", q, "-n", "2", "-l", "a", "-r", results])
+    cli.main(["bench-root", "--log", log, "--queries-dir", q, "-n", "1", "-w", "0", "-l", "b", "-r", results, "--only", "related"])
+    cli.main(["bench-summary", "-r", results])
+    (s,) = shown()
+    assert set(s["labels"]) == {"a", "b"} and s["labels"]["b"]["stddev"] == 0 and s["change_percent"] is not None
+    cli.main(["plan-profile", "--log", log, "--queries-dir", q])
+    assert [(r["step"], r["n"], r["factor"]) for r in shown()] == [(0, 2, None), (1, 3, 1.5)]
+    with pytest.raises(SystemExit):
+        cli.trees(q, ["none"])
+
+
+def test_xml_and_bytes(spark, tmp_path):
+    from test_parts import LOG, same
+
+    from weftlog.sources import files
+
+    odd = json.loads(json.dumps(LOG))
+    odd["objects"].append({"id": 'o"<&3', "type": "order", "attributes": [], "relationships": []})
+    data = json.dumps(odd).encode()
+    log = files.read_bytes(spark, gzip.compress(data), "json.gz", str(tmp_path))
+    files.write_log(log, str(tmp_path / "log.xml"))
+    same(log, files.read_log(spark, str(tmp_path / "log.xml")))
+    (written,) = (tmp_path / "log.xml").glob("part-*")
+    ElementTree.fromstring(written.read_text())
+    files.write_log(log, str(tmp_path / "log.sqlite"))
+    same(log, files.read_bytes(spark, (tmp_path / "log.sqlite").read_bytes(), "db", str(tmp_path)))

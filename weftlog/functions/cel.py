@@ -163,6 +163,7 @@ def attributes_in(text: str) -> set[tuple[str, str, str]]:
 @dataclass(frozen=True)
 class Typed:
     """A column and its type: int, double, string, bool, time, duration, value (tagged), null, event, object,
+    ("element", event or object: a struct of a listed one),
     ("list", type) or ("map", {name: type})."""
 
     col: Column
@@ -174,7 +175,7 @@ class Typed:
 @dataclass
 class Scope:
     """What an expression can name. attr(name, attribute) and attr_at(name, attribute, time) give tagged values; facts
-    (name, fact) the type, id or time of an element."""
+    (name, fact) the type, id or time of an element; listed(events or objects) an array of structs of all of them."""
 
     names: dict[str, Typed] = field(default_factory=dict)
     attr: Callable[[str, str], Column] | None = None
@@ -182,6 +183,7 @@ class Scope:
     attrs: Callable[[str], Column] | None = None
     fact: Callable[[str, str], Column] | None = None
     totals: Callable[[str], int] | None = None
+    listed: Callable[[str], Column] | None = None
 
 
 _MACROS = {"map", "filter", "all", "exists"}
@@ -216,6 +218,15 @@ def duration_seconds(text: str) -> float:
     return sum(float(n) * _SECONDS[u] for n, u in parts) * (-1 if text.startswith("-") else 1)
 
 
+def _listed(x: Typed) -> bool:
+    return isinstance(x.kind, tuple) and x.kind[0] == "element"
+
+
+def _handle(x: Typed) -> Typed:
+    """A listed element as its id, as a variable is."""
+    return Typed(x.col["id"], x.kind[1]) if _listed(x) else x
+
+
 class Compiler:
     def __init__(self, scope: Scope):
         self.scope = scope
@@ -249,7 +260,7 @@ class Compiler:
         return Typed(x.col[name], x.kind[1][name], f"{x.name}.{name}")
 
     def _op(self, sign: str, *args: tuple) -> Typed:
-        own = [self.run(a) for a in args]
+        own = [_handle(self.run(a)) for a in args]
         if sign == "?":
             cond, yes, no = own
             yes, no = self._same(yes, no)
@@ -354,17 +365,24 @@ class Compiler:
     # Functions, the target of a method first.
 
     def f_type(self, x: Typed) -> Typed:
+        if _listed(x):
+            return Typed(x.col["type"], "string")
         return Typed(self.scope.fact(x.name, "type"), "string")
 
     def f_id(self, x: Typed) -> Typed:
+        x = _handle(x)
         return Typed(x.col, "string")
 
     def f_time(self, x: Typed) -> Typed:
+        if x.kind == ("element", "event"):
+            return Typed(x.col["time"], "time")
         if x.kind != "event":
             raise CelError("only events have a time")
         return Typed(self.scope.fact(x.name, "time"), "time")
 
     def f_attr(self, x: Typed, name: Typed) -> Typed:
+        if _listed(x):
+            return Typed(F.try_element_at(x.col["attrs"], F.lit(_text(name))), "value")
         return Typed(self.scope.attr(x.name, _text(name)), "value")
 
     def f_attrAt(self, x: Typed, name: Typed, at: Typed) -> Typed:  # noqa: N802
@@ -379,6 +397,12 @@ class Compiler:
     def f_numObjects(self) -> Typed:  # noqa: N802
         return Typed(F.lit(self.scope.totals("objects")).cast("bigint"), "int")
 
+    def f_events(self) -> Typed:
+        return Typed(self.scope.listed("events"), ("list", ("element", "event")))
+
+    def f_objects(self) -> Typed:
+        return Typed(self.scope.listed("objects"), ("list", ("element", "object")))
+
     def _extreme(self, own: tuple[Typed, ...], of_list: Callable, of_many: Callable) -> Typed:
         if len(own) == 1:
             x = own[0]

@@ -32,6 +32,10 @@ def rendered(v: Column) -> Column:
     return F.coalesce(v["s"], v["i"].cast("string"), v["d"].cast("string"), v["b"].cast("string"), F.date_format(v["ts"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
 
 
+#: Events or objects that an expression may ask for as one list.
+MOST_LISTED = 100_000
+
+
 @dataclass
 class Log:
     events: DataFrame
@@ -121,6 +125,20 @@ class Log:
         rels = rels.groupBy(own).agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("relationships"))
         return base.join(attrs, own, "left").join(rels, own, "left")
 
+    def listed(self, what: str, most: int = MOST_LISTED) -> DataFrame:
+        """One row with elements: an array of id, type, time (null of objects) and attrs (each attribute's first listed
+        value) of all events or objects. An expression that asks for it has it beside every row, so more than most
+        elements are refused."""
+        events = what == "events"
+        base, key, kind = (self.events, "ev_id", "ev_type") if events else (self.objects, "ob_id", "ob_type")
+        if base.limit(most + 1).count() > most:
+            raise ValueError(f"{what}() lists at most {most} elements; count them with numEvents() or numObjects()")
+        values = self.event_attrs if events else self.object_attrs
+        first = values.groupBy(key, "name").agg(F.min_by("v", "seq").alias("v")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("attrs"))
+        at = F.col("ev_time") if events else F.lit(None).cast("timestamp")
+        own = base.join(first, key, "left").select(F.struct(F.col(key).alias("id"), F.col(kind).alias("type"), at.alias("time"), "attrs").alias("x"))
+        return own.agg(F.collect_list("x").alias("elements"))
+
     def persist(self) -> Log:
         for name in SCHEMAS:
             getattr(self, name).persist()

@@ -202,3 +202,29 @@ class Check:
             return rows.select(F.lit("").alias("attribute"), F.lit("").alias("value")).limit(0)
         pairs = F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(f"_s{i}").alias("value")) for i, n in enumerate(p.sensitive)])
         return rows.select(F.inline(pairs)).where("value is not null").distinct()
+
+
+@dataclass
+class Report:
+    """All that a check finds: the verdict's row, classes largest first, and who and what is at risk."""
+
+    verdict: dict
+    classes: DataFrame
+    at_risk: DataFrame
+    sensitive_at_risk: DataFrame
+
+    @property
+    def holds(self) -> bool:
+        return bool(self.verdict["k_ok"] and self.verdict["l_ok"] and self.verdict["t_ok"])
+
+    def line(self) -> str:
+        v = self.verdict
+        shown = "none" if v["t_min"] is None else f"{v['t_min']:.3f}"
+        state = "holds" if self.holds else "is broken: " + ", ".join(x for x in "klt" if not v[f"{x}_ok"])
+        return f"{v['protected']} protected in {v['classes']} classes, k up to {v['k_max']}, l up to {v['l_max']}, t from {shown}; the policy {state}" + ("" if v["activated"] else " (not active)")
+
+
+def check_policy(policy: Policy, box: Box, log: Log) -> Report:
+    """The report of a policy on what a box binds; only the verdict, one row, is computed at once."""
+    check = Check(policy, box, log)
+    return Report(check.verdict().first().asDict(), check.classes().orderBy(F.desc("size"), "fp"), check.at_risk(), check.sensitive_at_risk())

@@ -121,6 +121,47 @@ def rank(found: list[tuple[tuple[Step, ...], dict]], top: int | None = None) ->
     return sorted(found, key=lambda x: (x[1]["is_dead"], -x[1]["selectivity"], -x[1]["support"]))[:top]
 
 
+def describe(schema: tuple[Step, ...]) -> str:
+    """The types along a path, each step with its qualifier and direction."""
+    return schema[0].ends[0] + "".join(f" <-{s.qualifier}- {s.ends[1]}" if s.backwards else f" -{s.qualifier}-> {s.ends[1]}" for s in schema)
+
+
+def discover(log: Log, source: str, target: str | None = None, max_length: int = 3, through: set[str] | None = None, least_selectivity: float = 0.0, top: int | None = None, **how) -> DataFrame:
+    """schema, length, the measures of each, and equivalence (schemas that connect the same pairs have the same number),
+    for every path between the types: alive ones first, then by selectivity and support. Schemas below least_selectivity
+    are left out. There are as many rows as paths over the graph of types, each from its own aggregates."""
+    rows = None
+    for schema in enumerate_schemas(log, source, target, max_length, through):
+        pairs = connections(log, schema, **how).select("source", "target").distinct()
+        same = pairs.agg(F.count("*").alias("_n"), F.coalesce(F.bit_xor(F.xxhash64("source", "target")), F.lit(0)).alias("_x"))
+        one = measures(log, schema, **how).crossJoin(same).select(F.lit(describe(schema)).alias("schema"), F.lit(len(schema)).alias("length"), "*")
+        rows = one if rows is None else rows.union(one)
+    if rows is None:
+        none = measures(log, (Step("o2o", source, target or source, ""),), **how)
+        return none.select(F.lit("").alias("schema"), F.lit(0).alias("length"), "*", F.lit(0).alias("equivalence")).limit(0)
+    number = F.dense_rank().over(Window.orderBy("_n", "_x"))  # a row for each schema
+    rows = rows.withColumn("equivalence", number).drop("_n", "_x").where(F.col("selectivity") >= least_selectivity)
+    rows = rows.orderBy("is_dead", F.desc("selectivity"), F.desc("support"), "schema")
+    return rows if top is None else rows.limit(top)
+
+
+@dataclass
+class Detail:
+    """pairs: source, target, seconds; samples: seconds; degrees: as degrees() gives them."""
+
+    pairs: DataFrame
+    samples: DataFrame
+    degrees: DataFrame
+
+
+def detail(log: Log, schema: tuple[Step, ...], most_pairs: int = 2000, most_samples: int = 50_000, **how) -> Detail:
+    """What a page about one schema shows: the first pairs, an even sample of durations (those of the pairs with the least
+    hashes, so all are as likely and reruns agree), and the degrees of all elements. Both lists end where they are asked to."""
+    pairs = connections(log, schema, **how)
+    even = pairs.where("seconds is not null").orderBy(F.xxhash64("source", "target"), "source", "target").limit(most_samples).select("seconds")
+    return Detail(pairs.orderBy("source", "target").limit(most_pairs), even, degrees(log, schema, **how))
+
+
 def to_tree(schema: tuple[Step, ...], bound_seconds: float | None = None) -> dict:
     """One box that binds the path's elements; consecutive events are at most bound_seconds apart, the earlier first."""
     names: dict[str, tuple[str, int]] = {}
@@ -156,6 +197,14 @@ def expand_types(log: Log, types: set[str], hub_limit: int = 10, most: int = 50)
     return set(types) | set(list(dict.fromkeys(x for x in found if x not in types))[: max(0, most - len(types))])
 
 
+def connected_types(log: Log, start: str, top: int = 10) -> list[str]:
+    """The types most strongly connected with one: by relations between them, then by name."""
+    graph = type_graph(log)
+    both = graph.select(F.col("source").alias("a"), F.col("target").alias("b"), "n").union(graph.select("target", "source", "n"))
+    found = both.where((F.col("a") == start) & (F.col("b") != start)).groupBy("b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "b").limit(top)
+    return [r["b"] for r in found.toLocalIterator()]
+
+
 def integer_bins(values: DataFrame, column: str) -> DataFrame:
     """low, high, n: a bin for each whole number in a range of up to 40, else as many as Sturges' rule gives."""
     r = values.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n")).first()

@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cel
@@ -269,10 +269,16 @@ class Frame:
             self.df = self.df.join(own, v.name, "left")
             return F.transform(F.col(column), lambda x: F.struct(x["name"].alias("name"), x["v"].alias("value"), x["time"].alias("time")))
 
+        def listed(what: str) -> Column:
+            if (what,) not in self.values:
+                column = self.values[(what,)] = self.fresh()
+                self.df = self.df.crossJoin(F.broadcast(self.log.listed(what).select(F.col("elements").alias(column))))  # one row
+            return F.col(self.values[(what,)])
+
         def fact(name: str, what: str) -> Column:
             return F.col(f"_{'y' if what == 'type' else 't'}_{name}")
 
-        return cel.Scope({**names, **(labels or {}), **(sets or {})}, attr, attr_at, attrs, fact, lambda what: getattr(self.log, what).count())
+        return cel.Scope({**names, **(labels or {}), **(sets or {})}, attr, attr_at, attrs, fact, lambda what: getattr(self.log, what).count(), listed)
 
 
 def binding_order(box: Box, inherited: set[Variable]) -> list[tuple[Variable, dict | None]]:
@@ -318,6 +324,8 @@ class Evaluation:
     def __init__(self, tree: Tree, log: Log, seeds: DataFrame | None = None, seed_types: dict[Variable, list[str] | None] | None = None):
         self.tree, self.log, self.seeds, self.seed_types = tree, log, seeds, seed_types or {}
         self.results: dict[int, NodeResult] = {}
+        #: node, step, variable, how it is bound, and the frame after that step and the filters that it completes.
+        self.steps: list[tuple[int, int, str, str, DataFrame]] = []
         parents = tree.parents()
         for root in tree.roots:
             self._evaluate(root, dict(self.seed_types), seeds)
@@ -369,7 +377,7 @@ class Evaluation:
         df = start.select(*[c for v in refs for c in columns_of(v)]).distinct() if start is not None and refs else None
         frame = Frame(df, types, self.log)
         done: list[dict] = []
-        for v, f in binding_order(box, set(refs)):
+        for step, (v, f) in enumerate(binding_order(box, set(refs))):
             frame.types[v] = box.new_vars[v]
             if f is not None:
                 frame.bind_related(v, f)
@@ -378,6 +386,7 @@ class Evaluation:
                 windows = [w for w in box.filters if w["type"] == "TimeBetweenEvents" and v in vars_of(w) and len(vars_of(w)) == 2 and vars_of(w) - {v} <= set(frame.types)]
                 frame.bind(v, windows)
             self._filters(frame, box, done)
+            self.steps.append((i, step, v.name, f["type"] if f else "scan", frame.df))
         if frame.df is None:  # nothing is bound and nothing is used from above: one empty binding
             frame.df = self.log.spark.range(1).select()
         self._filters(frame, box, done)
@@ -574,6 +583,14 @@ class EvalResult:
         parts = [self.node(i).agg(F.count("*").alias("situations"), F.count("violation").alias("violated")).select(F.lit(i).alias("node"), "situations", "violated") for i in sorted(self.evaluation.results)]
         return reduce(DataFrame.union, parts)
 
+    def profile(self) -> DataFrame:
+        """node, step, variable, bound_by, n (rows after the step) and factor (n by that of the step before in the node)."""
+        counts = [df.agg(F.count("*").alias("n")).select(F.lit(i).alias("node"), F.lit(k).alias("step"), F.lit(v).alias("variable"), F.lit(how).alias("bound_by"), "n") for i, k, v, how, df in self.evaluation.steps]
+        if not counts:
+            return self.evaluation.log.spark.createDataFrame([], "node int, step int, variable string, bound_by string, n long, factor double")
+        before = F.lag("n").over(Window.partitionBy("node").orderBy("step"))  # a row a step
+        return reduce(DataFrame.union, counts).withColumn("factor", F.try_divide(F.col("n").cast("double"), before))
+
     def page(self, node: int, offset: int = 0, limit: int = 100, only: str | None = None, version: int | None = None, most: int = 1000) -> tuple[DataFrame, int]:
         """A page of a node's bindings in the order of its columns, and the total: all, only "violated" or "satisfied"."""
         if version is not None and version != self.version:

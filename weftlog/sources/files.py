@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sqlite3
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -103,6 +104,62 @@ def read_xml(spark: SparkSession, path: str) -> Log:
     return _assemble(spark, ev, ob, own(events).drop("time"), own(objects), links(events), links(objects), kinds("event-type", "event").union(kinds("object-type", "object")))
 
 
+def _escaped(c: Column) -> Column:
+    """Text inside an XML attribute or element; line ends are kept by reference."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#9;")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
+def _tag(name: str, attributes: dict[str, Column], *inside: Column) -> Column:
+    parts: list[Column] = [F.lit(f"<{name}")]
+    for k, v in attributes.items():
+        parts.append(F.coalesce(F.concat(F.lit(f' {k}="'), _escaped(v), F.lit('"')), F.lit("")))
+    return F.concat(*parts, F.lit(">"), *inside, F.lit(f"</{name}>")) if inside else F.concat(*parts, F.lit("/>"))
+
+
+def write_xml(log: Log, path: str) -> None:
+    """The XML form, a line for each type and element. All lines go through one task, as a document is one file, but as a
+    sorted stream: none is gathered with others."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    inside = lambda name, c: F.concat(F.lit(f"<{name}>"), F.array_join(F.coalesce(c, F.array().cast("array<string>")), ""), F.lit(f"</{name}>"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", c.alias("x")))), lambda x: x["x"])
+    ea = log.event_attrs.groupBy(F.col("ev_id").alias("id")).agg(in_order(_tag("attribute", {"name": F.col("name")}, _escaped(F.coalesce(rendered(F.col("v")), F.lit(""))))).alias("attrs"))
+    oa = log.object_attrs.groupBy(F.col("ob_id").alias("id")).agg(in_order(_tag("attribute", {"name": F.col("name"), "time": stamp(F.col("time"))}, _escaped(F.coalesce(rendered(F.col("v")), F.lit(""))))).alias("attrs"))
+    link = lambda df, key, other: df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(_tag("relationship", {"object-id": F.col(other), "qualifier": F.col("qualifier")}))).alias("links"))
+    body = lambda: (inside("attributes", F.col("attrs")), inside("objects", F.col("links")))
+    events = log.events.select(F.col("ev_id").alias("id"), F.col("ev_type").alias("type"), stamp(F.col("ev_time")).alias("time")).join(ea, "id", "left").join(link(log.e2o, "ev_id", "ob_id"), "id", "left")
+    objects = log.objects.select(F.col("ob_id").alias("id"), F.col("ob_type").alias("type")).join(oa, "id", "left").join(link(log.o2o, "src_id", "tgt_id"), "id", "left")
+    present = log.events.select(F.lit("event").alias("kind"), F.col("ev_type").alias("type_name")).union(log.objects.select(F.lit("object"), "ob_type")).distinct()
+    named = present.join(log.types.where("attr_name is not null"), ["kind", "type_name"], "left").groupBy("kind", "type_name").agg(F.array_sort(F.collect_list(F.when(F.col("attr_name").isNotNull(), _tag("attribute", {"name": F.col("attr_name"), "type": F.col("attr_type")})))).alias("attrs"))
+    lines = None
+    parts: list[tuple[str, DataFrame, Column]] = [(f"{k}-types", named.where(F.col("kind") == k), _tag(f"{k}-type", {"name": F.col("type_name")}, inside("attributes", F.col("attrs")))) for k in ("object", "event")]
+    parts += [("objects", objects, _tag("object", {"id": F.col("id"), "type": F.col("type")}, *body())), ("events", events, _tag("event", {"id": F.col("id"), "type": F.col("type"), "time": F.col("time")}, *body()))]
+    for i, (name, df, line) in enumerate(parts):
+        fixed = log.spark.createDataFrame([(2 * i - 0.5, ("<log>" if i == 0 else "") + f"<{name}>"), (2 * i + 0.5, f"</{name}>" + ("</log>" if i == len(parts) - 1 else ""))], "place double, value string")
+        own = fixed.union(df.select(F.lit(float(2 * i)).alias("place"), line.alias("value")))
+        lines = own if lines is None else lines.union(own)
+    lines.repartition(1).sortWithinPartitions("place", "value").select("value").write.mode("overwrite").text(path)
+
+
+def write_log(log: Log, path: str, kind: str | None = None) -> None:
+    {"json": write_json, "xml": write_xml, "sqlite": write_sqlite}[kind or format_of(path)](log, path)
+
+
+def read_bytes(spark: SparkSession, data: bytes, kind: str, folder: str) -> Log:
+    """A log from the bytes of a file, by its format token or ending (json, xml.gz, .db). The bytes are put in the given
+    folder first: one that all executors see, and that this process sees as well for a SQLite file."""
+    ending = "." + kind.lstrip(".")
+    path = f"{folder.rstrip('/')}/upload-{uuid.uuid4().hex}{ending}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    try:
+        out.write(data, 0, len(data))
+    finally:
+        out.close()
+    return read_log(spark, path, format_of(ending))
+
+
 def read_sqlite(spark: SparkSession, path: str) -> Log:
     """A SQLite file, which one process can read: tables event, object, event_object, object_object, and one a type."""
     db = sqlite3.connect(f"file:{Path(path.removeprefix('file://'))}?mode=ro", uri=True)
