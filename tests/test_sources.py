@@ -76,3 +76,38 @@ def test_xml_and_bytes(spark, tmp_path):
     ElementTree.fromstring(written.read_text())
     files.write_log(log, str(tmp_path / "log.sqlite"))
     same(log, files.read_bytes(spark, (tmp_path / "log.sqlite").read_bytes(), "db", str(tmp_path)))
+
+
+def test_sql_over_a_relational_log(spark, tmp_path):
+    from test_parts import LOG
+
+    from weftlog.operators.translate import Mappings, to_sql
+    from weftlog.plans.engine import evaluate
+    from weftlog.queries import AT, SOMETIME, box, childs, ev_attr, number, o2e, o2o, ob_attr, sized, tree
+    from weftlog.sources import files
+
+    (tmp_path / "log.json").write_text(json.dumps(LOG))
+    log = files.read_log(spark, str(tmp_path / "log.json"))
+    path = str(tmp_path / "log.sqlite")
+    files.write_sqlite(log, path)
+    maps = Mappings({"pay": "event_pay", "ship": "event_ship"}, {"order": "object_order", "customer": "object_customer"})
+    db, duck = sqlite3.connect(path), pytest.importorskip("duckdb").connect()
+    for (name,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'").fetchall():
+        columns = [(c[1], {"INTEGER": "BIGINT", "REAL": "DOUBLE"}.get(c[2], "VARCHAR")) for c in db.execute(f'PRAGMA table_info("{name}")')]
+        duck.execute(f'CREATE TABLE "{name}" ({", ".join(f"{n} {t}" for n, t in columns)})')
+        for r in db.execute(f'SELECT * FROM "{name}"').fetchall():
+            duck.execute(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(r))})', r)
+    whole = {"events": {0: ["pay", "ship"]}, "objects": {0: ["order"]}}
+    for t in (
+        tree(box(**whole, filters=[o2e(0, 0)])),
+        tree(box({0: ["pay"]}, {0: ["order"], 1: ["customer"]}, [o2e(0, 0, "of"), o2o(0, 1, "by"), ev_attr(0, "n", number("Integer", 4, None))])),
+        tree(box(objects={0: ["order"]}, filters=[ob_attr(0, "price", SOMETIME, number("Float", 3.0, None))])),
+        tree(box({0: ["pay"]}, {0: ["order"]}, [o2e(0, 0), ob_attr(0, "price", AT(0), number("Float", None, 3.0))])),
+        tree(box(objects={0: ["order"]}, constraints=[sized(childs("A", 1, None))], children=[1]), box({0: ["pay"]}, filters=[o2e(0, 0)]), edges={(0, 1): "A"}),
+    ):
+        df = evaluate(t, log).node(0)
+        want = sorted(tuple(map(str, r)) for r in df.select(*[c for c in df.columns if c != "violation"], "violation").collect())
+        assert want
+        for got, dialect in ((db.execute(to_sql(t, "sqlite", maps)).fetchall(), "sqlite"), (duck.execute(to_sql(t, "duckdb", maps)).fetchall(), "duckdb")):
+            assert sorted(tuple(map(str, r)) for r in got) == want, dialect
+    db.close()

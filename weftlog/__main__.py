@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .log import Log
-from .operators.translate import to_cypher, to_sql
+from .operators.translate import Mappings, to_cypher, to_sql
 from .plans.engine import EvalResult, evaluate
 from .sources.files import read_log
 from .sources.tables import star_log
@@ -113,7 +113,7 @@ def main(argv: list[str] | None = None) -> None:
         print(json.dumps({"written": dump(result, said.out), "nodes": [r.asDict() for r in result.summary().orderBy("node").toLocalIterator()]}))
     elif said.command == "translate":
         text = Path(said.tree).read_text()
-        tables = json.loads(Path(said.mappings).read_text()) if said.mappings else None
+        tables = Mappings(**(json.loads(Path(said.mappings).read_text()) if said.mappings else {}))
         made = to_cypher(text) if said.target == "cypher" else to_sql(text, said.target, tables)
         if said.output:
             Path(said.output).write_text(made)

@@ -202,6 +202,8 @@ tagged_rows("size_filter_drop_descendants", _DEEP, _DEEP_SQL + " SELECT 'po-' ||
 query("node_summary", _DEEP_SQL + """ SELECT 0 AS node, count(*) AS situations, count(*) FILTER (bad > 0) AS violated FROM top
 UNION ALL SELECT 1, count(*), count(*) FILTER (n = 0) FROM lvl JOIN top USING (o_custkey)
 UNION ALL SELECT 2, CAST(coalesce(sum(n), 0) AS BIGINT), 0 FROM lvl JOIN top USING (o_custkey)""")(lambda log: evaluate(_DEEP, log).summary())
+query("plan_profile", """, n AS (SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey) AS o, (SELECT count(*) FROM li JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE epoch_us(CAST(l_shipdate AS TIMESTAMP)) >= epoch_us(CAST(o_orderdate AS TIMESTAMP))) AS l)
+SELECT 0 AS node, 0 AS step, 'o1' AS variable, 'scan' AS bound_by, c AS n FROM n UNION ALL SELECT 1, 0, 'e1', 'O2E', o FROM n UNION ALL SELECT 1, 1, 'o2', 'O2E', o FROM n UNION ALL SELECT 2, 0, 'e2', 'O2E', l FROM n""")(lambda log: evaluate(_DEEP, log).profile().drop("factor"))
 query("page_violated", _DEEP_SQL + " SELECT o1, 0 AS violation FROM (SELECT 'c-' || o_custkey AS o1 FROM top WHERE bad > 0 ORDER BY o1 LIMIT 10 OFFSET 5) t")(lambda log: evaluate(_DEEP, log).page(0, 5, 10, "violated")[0])
 
 # The expression language.
@@ -263,6 +265,15 @@ query("path_connections_closest", " SELECT source, target, seconds FROM (SELECT
 query("path_measures", """, p AS (SELECT a.ev_id AS s, b.ev_id AS t, (epoch_us(b.ev_time) - epoch_us(a.ev_time)) / 1000000 AS sec FROM e2o a JOIN e2o b ON a.ob_id = b.ob_id AND b.ev_time >= a.ev_time WHERE a.ev_type = 'place order' AND b.ev_type = 'ship item' AND a.ob_type = 'order'),
 n AS (SELECT (SELECT count(*) FROM ev WHERE ev_type = 'place order') AS a, (SELECT count(*) FROM ev WHERE ev_type = 'ship item') AS b)
 SELECT count(*) AS support, count(*) AS path_count, count(DISTINCT s) / any_value(n.a) AS coverage, count(DISTINCT t) / any_value(n.b) AS reach, count(DISTINCT s) / count(*) AS selectivity, count(DISTINCT t) / count(*) AS exclusivity, count(*) = 0 AS is_dead, min(sec) AS min_s, max(sec) AS max_s, avg(sec) AS mean_s, median(sec) AS median_s FROM p, n""")(lambda log: paths.measures(log, _SHIPPED, temporal="forward"))
+query("path_discover", """, p AS (SELECT 'nation -part_of-> region' AS schema, src_id AS s, tgt_id AS t, 'region' AS kind FROM o2o WHERE qualifier = 'part_of'
+  UNION ALL SELECT 'nation <-lives_in- customer', tgt_id, src_id, 'customer' FROM o2o WHERE qualifier = 'lives_in'
+  UNION ALL SELECT 'nation <-based_in- supplier', tgt_id, src_id, 'supplier' FROM o2o WHERE qualifier = 'based_in'),
+n AS (SELECT ob_type, count(*) AS n FROM ob GROUP BY 1)
+SELECT schema, count(*) AS support, count(*) AS path_count, count(DISTINCT s) / (SELECT n FROM n WHERE ob_type = 'nation') AS coverage, count(DISTINCT t) / any_value(n.n) AS reach,
+ count(DISTINCT s) / count(*) AS selectivity, count(DISTINCT t) / count(*) AS exclusivity, count(*) = 0 AS is_dead FROM p JOIN n ON n.ob_type = p.kind GROUP BY 1""")(lambda log: paths.discover(log, "nation", None, 1).drop("length", "equivalence", "min_s", "max_s", "mean_s", "median_s"))
+query("path_detail_durations", " SELECT count(*) AS n, min(seconds) AS low, max(seconds) AS high FROM (SELECT a.ev_id AS s, b.ev_id AS t, min((epoch_us(b.ev_time) - epoch_us(a.ev_time)) / 1000000) AS seconds FROM e2o a JOIN e2o b ON a.ob_id = b.ob_id AND b.ev_time >= a.ev_time WHERE a.ev_type = 'place order' AND b.ev_type = 'ship item' AND a.ob_type = 'order' GROUP BY 1, 2) p")(
+    lambda log: paths.connections(log, _SHIPPED, "forward").agg(F.count("seconds").alias("n"), F.min("seconds").alias("low"), F.max("seconds").alias("high"))
+)
 query("path_degrees", """, p AS (SELECT src_id AS s, tgt_id AS t FROM o2o WHERE src_type = 'customer' AND tgt_type = 'nation'),
 a AS (SELECT ob_id, count(p.t) AS n FROM ob LEFT JOIN p ON p.s = ob_id WHERE ob_type = 'customer' GROUP BY 1), b AS (SELECT ob_id, count(p.s) AS n FROM ob LEFT JOIN p ON p.t = ob_id WHERE ob_type = 'nation' GROUP BY 1)
 SELECT 'source' AS side, n, count(*) AS elements FROM a GROUP BY 2 UNION ALL SELECT 'target', n, count(*) FROM b GROUP BY 2""")(lambda log: paths.degrees(log, (paths.Step("o2o", "customer", "nation", "lives_in"),)))

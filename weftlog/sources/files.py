@@ -224,6 +224,7 @@ def write_sqlite(log: Log, path: str) -> None:
                     rows = own.join(values, "ev_id", "left") if columns else own
                     fill(f"INSERT INTO {name(f'event_{table}')} VALUES ({', '.join('?' * (2 + len(columns)))})", rows.select("ev_id", stamp("ev_time"), *[F.col(f"`{c}`") for c, _ in columns]))
                 else:
+                    fill(f"INSERT INTO {name(f'object_{table}')} (ocel_id, ocel_time) VALUES (?, '1970-01-01T00:00:00.000000Z')", own.select("ob_id"))
                     for c, _ in columns:
                         changes = log.object_attrs.where((F.col("ob_type") == type_name) & (F.col("name") == c)).orderBy("ob_id", "time", "seq")
                         fill(f"INSERT INTO {name(f'object_{table}')} (ocel_id, ocel_time, ocel_changed_field, {name(c)}) VALUES (?, ?, ?, ?)", changes.select("ob_id", stamp("time"), F.lit(c), rendered(F.col("v"))))
