@@ -41,3 +41,25 @@ def test_stages(spark, tmp_path):
     assert set(mix) == set(leaks) and all(0 <= r["taken"] <= 3 * r["size"] for r in mix.values())
     again = {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, folder).collect()}
     assert again == {i: r["taken"] for i, r in mix.items()}
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, columns named like what stages add, no labels, no benchmark, no rows."""
+    folder = str(tmp_path)
+    words = " ".join(f"word{i} again" for i in range(40))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score string, n_hit string, emptied string, component_id string, taken string"
+    more = ("a", "b", "c", "d", "e")
+    rows = [(1, words, "en", "s", len(words), *more), (1, words, "en", "s", len(words), *more), (2, words + " more", None, None, None, *more), (None, "other text " * 30, "en", "s", 1, *more), (3, None, None, None, None, *[None] * 5), (4, "", "en", None, 0, *more), (5, "x" * 300_000, "en", "s", 5, *more)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, "!"), (None, "one two")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, df in (("full", spark.createDataFrame(rows, kind)), ("none", spark.createDataFrame([], kind))):
+        docs = df
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, folder).write.parquet(f"{folder}/{name}{k}")
+            before, docs = docs, spark.read.parquet(f"{folder}/{name}{k}")
+            assert docs.columns == before.columns or k == 4
+            if name == "full" and k == 0:
+                assert docs.count() == len(rows)  # without labels every score is 0.5, and nothing is rejected
+            if name == "full" and k == 2:
+                assert sorted((r["doc_id"] or 0) for r in docs.collect()).count(2) == 0
+        assert docs.count() == (6 if name == "full" else 0)
