@@ -238,6 +238,30 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_takes_whole_passages(spark):
+    """Passages of short lines go whole, whatever stands around them; repeated lines that never stood together stay."""
+    rng = random.Random(6)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows, passages = [], []
+    for p in range(40):
+        n, own = rng.choice([(6, 10), (4, 14), (3, 7), (10, 5), (7, 3)])
+        passage = [line(own) for _ in range(n)]
+        if p % 4 == 0:
+            passage.insert(2, "")
+        passages.append("\n".join(passage))
+        for _ in range(3):
+            rows.append((len(rows), [line(rng.randrange(3, 19)) for _ in range(rng.randrange(1, 4))], passage, [line(rng.randrange(3, 19)) for _ in range(rng.randrange(0, 4))]))
+    common = [line(8) for _ in range(4)]
+    n = len(rows)
+    rows += [(n + i, [line(12)], [c], [line(12)]) for i, c in enumerate(common)] + [(n + 4, [line(12)], common, [line(12)])]
+    df = spark.createDataFrame([(i, "\n".join(a + b + c)) for i, a, b, c in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(df).collect()}
+    for i, a, b, c in rows:
+        goes = i < n and i % 3 > 0
+        assert got[i]["text"] == "\n".join(a + ([] if goes else b) + c), i
+        assert got[i]["n_removed"] == (len(b) if goes else 0)
+
+
 # 6
 
 

@@ -1,18 +1,22 @@
 """Line dedup over content-defined chunks, in DataFrame functions alone.
 
 A document is its lines. A chunk ends after a line where a rolling hash over the hashes of that line and the ones before
-it hits a residue, so an edit moves only the boundaries near it; a line of LONG words or more is a chunk of its own, as
-a passage often stands in one line. Chunks are grouped by hash and bytes over the whole corpus: equal hashes alone do
-not make a repeat. Of each group that has more than one place the first place (by document id, then position) stays. Elsewhere a run of neighbouring repeated chunks is removed if it has at least LEAST words, so short
-lines that many documents share, such as a licence line, stay.
+it hits a residue; by default every line ends one, as with fewer boundaries a passage of few lines has no whole chunk
+between two of them. Chunks are grouped by hash and bytes over the whole corpus, and chunks of one text share a digest.
 
-Grouping is by partial aggregation, so a chunk that stands in a third of all documents is one row from each task. The
-groups come back to the documents without text: bytes have been compared, and only where one hash has several texts does
-a digest say which of them is meant.
+What goes is a run of neighbouring chunks, LEAST words long, that stands elsewhere before as a whole: from each chunk on,
+and up to each chunk, the shortest run with so many words is looked up by its chunks' digests. These runs overlap, so
+they cover a repeated passage from its first to its last line whatever stands around it, and short lines that many
+documents share, such as a licence line, stay. Of the places of a run the first (by document id, then position) stays.
+Blank chunks are passed over; those inside a run go with it.
+
+Grouping is by partial aggregation, so a chunk that stands in a third of all documents is one row from each task. Only
+places come back to the documents, and runs are made of repeated chunks only.
 
 Defined cases: null text stays null, empty text empty; rows that share an id are one document, whose places are no
-repeats of each other; a null id is one id, the least; a line break at the end of a text is a last empty line; documents of which nothing is left get empty text
-(see dedup_lines' emptied); no rows give no rows. Output columns replace those of their names.
+repeats of each other; a null id is one id, the least; a line break at the end of a text is a last empty line; copies
+that overlap each other (a short line repeated many times) count as copies; documents of which nothing is left get empty
+text (see dedup_lines' emptied); no rows give no rows. Output columns replace those of their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from .base import let, settle
 
 #: Lines in the rolling window, average lines between hits, words of a line that is a chunk of its own, words that a
 #: repeated run has to have.
-WINDOW, DIVISOR, LONG, LEAST = 2, 3, 20, 20
+WINDOW, DIVISOR, LONG, LEAST = 1, 1, 20, 20
 _LOW = 0xFFFFFF
 #: Chunks that a document has room for where its id and a chunk's number are one number.
 PLACES = 1_000_000_000
@@ -46,6 +50,8 @@ def rolling(hashes: Column, i: Column, window: int) -> Column:
 
 def chunk_texts(text: Column, window: int, divisor: int, long: int) -> Column:
     """The text of each chunk, in order; null of null."""
+    if divisor == 1:  # every hash hits
+        return F.split(text, "\n", -1)
 
     def ends_chunk(lines: Column, facts: Column, i: Column) -> Column:
         last = i == F.size(lines) - 1
@@ -69,67 +75,78 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     new = ("n_lines", "n_removed", "emptied")
     source = docs.select(*[c for c in docs.columns if c not in new or c in (id_col, text_col)])
     own = source.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    chunks = own.select("_id", "_key", F.posexplode(chunk_texts(F.col("_text"), window, divisor, long)).alias("k", "piece")).where("piece <> ''").withColumn("hash", F.xxhash64("piece"))
-    place = (F.coalesce("_id", F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(PLACES) + F.col("k")).cast("decimal(38,0)")
-    groups = chunks.withColumn("place", place).groupBy("hash", "piece").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    repeated = F.col("n") > 1
-    groups = settle(groups.select("hash", "n", F.when(repeated, F.col("first")).alias("first"), F.when(repeated, F.sha2("piece", 256)).alias("sha")), "chunks")
-    texts = groups.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("first").alias("first")).where("n > 1")
-    single = texts.where("texts = 1").select("hash", "first", F.lit(None).cast("string").alias("sha"))
-    mixed = texts.where("texts > 1").select("hash").join(groups.where("n > 1"), "hash").select("hash", "first", "sha")
-    marks = (
-        chunks.select("_id", "_key", "k", "hash", place.alias("place"))
-        .join(single.unionByName(mixed), "hash")
-        .where("place <> first")
-        .groupBy("_id", "_key")
-        .agg(F.collect_list(F.struct("k", "sha")).alias("marks"))
-    )
+    pieces = F.filter(F.transform(chunk_texts(F.col("_text"), window, divisor, long), lambda p, k: F.struct(k.alias("k"), p.alias("piece"))), lambda c: F.trim(c["piece"]) != "")
+    chunks = own.select("_id", "_key", F.posexplode(pieces).alias("o", "c")).select("_id", "_key", "o", "c.k", "c.piece").withColumn("hash", F.xxhash64("piece"))
+    groups = chunks.withColumn("place", _place(F.col("k"))).groupBy("hash", "piece").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    groups = settle(groups.select("hash", F.sha2("piece", 256).alias("sha"), "first"), "chunks")
+    mark = F.struct("o", "k", "words", "sha", (_place(F.col("k")) != F.col("first")).alias("hit"))
+    marks = chunks.select("_id", "_key", "o", "k", "hash", F.sha2("piece", 256).alias("sha"), _words(F.col("piece")).alias("words")).join(groups, ["hash", "sha"])
+    marks = settle(marks.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(mark)).alias("marks")), "marks")
+    runs = marks.select("_id", "_key", F.explode(_runs(F.col("marks"), least)).alias("r")).select("_id", "_key", "r.*").withColumn("place", _place(F.col("a")))
+    first = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").drop("n")
+    again = runs.join(first, "run").where("place <> first").select("_id", "_key", F.sequence("a", "b").alias("ks"))
+    alone = F.transform(F.filter("marks", lambda m: m["hit"] & (m["words"] >= least)), lambda m: m["k"])
+    gone = again.unionByName(marks.select("_id", "_key", alone.alias("ks")).where(F.size("ks") > 0))
+    marks = gone.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list("ks"))).alias("marks"))
     keyed = source.withColumn("_key", F.xxhash64(text_col))
     both = keyed.join(marks.hint("shuffle_hash"), keyed[id_col].cast("long").eqNullSafe(marks["_id"]) & (keyed["_key"] == marks["_key"]), "left").select(keyed["*"], marks["marks"])
-    return _without_runs(both, text_col, window, divisor, long, least).select(*[c for c in source.columns], *new)
+    return _without_runs(both, text_col, window, divisor, long).select(*[c for c in source.columns], *new)
 
 
-def _without_runs(both: DataFrame, text_col: str, window: int, divisor: int, long: int, least: int) -> DataFrame:
-    """Take out the marked chunks that stand in long enough runs; texts without marks pass as they are."""
-    text, marks = F.col(text_col), F.col("marks")
-    chunks = let(marks, lambda known: F.transform(chunk_texts(text, window, divisor, long), lambda p, k: _chunk(p, k, known)))
-    done = let(chunks, lambda own: let(_runs(own), lambda runs: _parted(own, runs, least)))
-    own = both.withColumn("_done", F.when(marks.isNotNull(), done))
-    lines = F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(breaks(text) + 1).cast("long")
-    own = own.withColumn("n_lines", lines).withColumn("n_removed", F.coalesce("_done.lost", F.lit(0)).cast("long"))
-    kept = F.when(F.col("_done").isNotNull(), F.col("_done.kept")).otherwise(text)
-    return own.withColumn("emptied", F.coalesce((F.col("n_removed") > 0) & (F.trim(kept) == ""), F.lit(False))).withColumn(text_col, kept)
+def _place(k: Column) -> Column:
+    return (F.coalesce("_id", F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(PLACES) + k).cast("decimal(38,0)")
 
 
-def breaks(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+def _words(piece: Column) -> Column:
+    return F.aggregate(F.split(piece, "\n", -1), F.lit(0), lambda a, x: a + word_count(x))
 
 
-def _chunk(piece: Column, k: Column, marks: Column) -> Column:
-    """A chunk's text, words, and whether it is a repeat."""
-    words = F.aggregate(F.split(piece, "\n", -1), F.lit(0), lambda a, x: a + word_count(x))
-    hit = F.exists(marks, lambda m: (m["k"] == k) & (m["sha"].isNull() | (m["sha"] == F.sha2(piece, 256))))
-    return F.struct(piece.alias("text"), words.alias("words"), hit.alias("hit"))
+def _runs(marks: Column, least: int) -> Column:
+    """a, b (first and last chunk) and run (its digest) of the shortest runs of several marked chunks that have enough
+    words: one from each chunk on, and one up to each."""
 
+    def reach(around: Column, m: Column) -> Column:
+        """How many of the chunks around, which begin with m and go away from it, make a run, and their words."""
 
-def _runs(chunks: Column) -> Column:
-    """Words of the run of repeats up to each chunk, and of that from each chunk on."""
+        def step(sofar: Column, c: Column) -> Column:
+            more = (sofar["words"] < least) & (F.abs(c["o"] - m["o"]) == sofar["n"])
+            return F.when(more, F.struct((sofar["n"] + 1).alias("n"), (sofar["words"] + c["words"]).alias("words"))).otherwise(sofar)
 
-    def running(own: Column) -> Column:
-        def step(sums: Column, c: Column) -> Column:
-            return F.concat(sums, F.array(F.when(c["hit"], c["words"] + F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0))).otherwise(F.lit(0))))
+        return F.aggregate(around, F.struct(F.lit(0).alias("n"), F.lit(0).alias("words")), step)
 
-        return F.aggregate(own, F.array().cast("array<int>"), step)
+    def run(own: Column, start: Column, n: Column) -> Column:
+        of = F.slice(own, start, n)
+        digest = F.sha2(F.array_join(F.transform(of, lambda m: m["sha"]), ""), 256)
+        return F.struct(F.element_at(of, 1)["k"].alias("a"), F.element_at(of, -1)["k"].alias("b"), digest.alias("run"))
 
-    return F.struct(running(chunks).alias("up"), F.reverse(running(F.reverse(chunks))).alias("down"))
+    def found(own: Column, m: Column, i: Column) -> Column:
+        low = F.greatest(i - least + 2, F.lit(1))
+        ahead, back = reach(F.slice(own, i + 1, F.lit(least)), m), reach(F.reverse(F.slice(own, low, i + 2 - low)), m)
+        of = lambda r, start: let(r, lambda r: F.when((r["words"] >= least) & (r["n"] > 1), run(own, start(r["n"]), r["n"])))
+        return F.when(m["words"] < least, F.array(of(ahead, lambda n: i + 1), of(back, lambda n: i + 2 - n)))
 
+    every = let(marks, lambda own: F.flatten(F.filter(F.transform(own, lambda m, i: found(own, m, i)), lambda x: x.isNotNull())))
+    return F.array_distinct(F.filter(every, lambda r: r.isNotNull()))
 
-def _parted(chunks: Column, runs: Column, least: int) -> Column:
-    """The text that stays, and the lines that go."""
 
-    def goes(c: Column, k: Column) -> Column:
-        return c["hit"] & (F.element_at(runs["up"], k + 1) + F.element_at(runs["down"], k + 1) - c["words"] >= least)
+def _without_runs(both: DataFrame, text_col: str, window: int, divisor: int, long: int) -> DataFrame:
+    """Take out the marked chunks; texts without marks pass as they are."""
+    text, marks = F.col(text_col), F.col("marks")
+    done = let(chunk_texts(text, window, divisor, long), lambda own: let(marks, lambda gone: _parted(own, gone)))
+    own = both.withColumn("_done", F.when(marks.isNotNull(), done))
+    lines = F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(breaks(text) + 1).cast("long")
+    own = own.withColumn("n_lines", lines).withColumn("n_removed", F.coalesce("_done.lost", F.lit(0)).cast("long"))
+    kept = F.when(F.col("_done").isNotNull(), F.col("_done.kept")).otherwise(text)
+    left = F.trim(F.replace(kept, F.lit("\n"), F.lit("")))
+    return own.withColumn("emptied", F.coalesce((F.col("n_removed") > 0) & (left == ""), F.lit(False))).withColumn(text_col, kept)
+
 
-    kept = F.array_join(F.transform(F.filter(chunks, lambda c, k: ~goes(c, k)), lambda c: c["text"]), "\n")
-    lost = F.aggregate(F.filter(chunks, goes), F.lit(0).cast("long"), lambda a, c: a + breaks(c["text"]) + 1)
+def breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _parted(chunks: Column, gone: Column) -> Column:
+    """The text that stays, and the lines that go."""
+    kept = F.array_join(F.filter(chunks, lambda c, k: ~F.array_contains(gone, k)), "\n")
+    lost = F.aggregate(F.filter(chunks, lambda c, k: F.array_contains(gone, k)), F.lit(0).cast("long"), lambda a, c: a + breaks(c) + 1)
     return F.struct(kept.alias("kept"), lost.alias("lost"))
