@@ -3,7 +3,7 @@
 import csv
 import json
 import zipfile
-from datetime import datetime
+from datetime import datetime, timezone
 from pathlib import Path
 
 import pytest
@@ -196,6 +196,40 @@ def test_declare_discover_paths_translate(log):
     assert df.count() == 2 and more
 
 
+def test_either_or_with_follows(spark, tmp_path):
+    """Half of the orders have two notes and are slow, half have none and are quick; a third of another type is neither."""
+    objects, events = [], []
+    at = lambda s: datetime.fromtimestamp(1_700_000_000 + s, timezone.utc).isoformat()
+
+    def event_of(kind, s, ob):
+        events.append({"id": f"e{len(events)}", "type": kind, "time": at(s), "attributes": [], "relationships": [{"objectId": ob, "qualifier": "of"}]})
+
+    for i in range(20):
+        objects.append({"id": f"o{i}", "type": "order", "attributes": [], "relationships": [{"objectId": f"n{i}-{k}", "qualifier": "has"} for k in range(2 * (i % 2))]})
+        objects.extend({"id": f"n{i}-{k}", "type": "note", "attributes": [], "relationships": []} for k in range(2 * (i % 2)))
+        objects.append({"id": f"c{i}", "type": "claim", "attributes": [], "relationships": []})
+        event_of("pay", 1000 * i, f"o{i}")
+        event_of("ship", 1000 * i + (60 + i if i % 2 == 0 else 90000 * i), f"o{i}")
+        event_of("open", 1000 * i, f"c{i}")
+        event_of("judge" if i % 4 else "close", 1000 * i + 50 + i, f"c{i}")
+        event_of("ring", 1000 * i + 7, f"c{i}")
+        event_of("hang up" if i % 4 == 0 else "ring", 1000 * i + 30 + i, f"c{i}")
+    types = lambda names: [{"name": n, "attributes": []} for n in names]
+    path = tmp_path / "log.json"
+    path.write_text(json.dumps({"objectTypes": types(["order", "note", "claim"]), "eventTypes": types(["pay", "ship", "open", "judge", "close", "ring", "hang up"]), "objects": objects, "events": events}))
+    own = files.read_log(spark, str(path))
+    found = dict(discover.or_constraints(own, "object", "order", 0.9))
+    mixed = [n for n in found if "'note' per 'order' OR 'pay' → 'ship' for 'order'" in n]
+    assert mixed, list(found)
+    assert evaluate(found[mixed[0]], own).node(0).where("violation is null").count() >= 18
+    claims = dict(discover.or_constraints(own, "object", "claim", 0.7))
+    both = [n for n in claims if n.count("→") == 2]
+    assert both, list(claims)
+    assert all(evaluate(claims[n], own).node(0).where("violation is null").count() >= 14 for n in both[:2])
+    some = spark.createDataFrame([("o0",), ("o2",)], "id string")
+    assert [c.then for c in discover.follow_constraints(own, "order", 0.9, some)] == ["ship"] and discover.delays(own, "order", some).count() == 2
+
+
 def test_listed_elements(log):
     def kept(text):
         box = {"newEventVars": {"0": ["pay", "ship"]}, "newObjectVars": {}, "filters": [{"type": "BasicFilterCEL", "cel": text}], "sizeFilters": [], "constraints": []}

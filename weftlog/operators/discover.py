@@ -144,9 +144,15 @@ def count_constraints(log: Log, kind: str, name: str, coverage: float = 0.9, onl
     return list(dict.fromkeys(out))
 
 
-def delays(log: Log, object_type: str) -> DataFrame:
-    """first, then, ev_id, ob_id, seconds: for each event of an object the least delay to each type of its other events."""
+def _events_of(log: Log, object_type: str, only: DataFrame | None) -> DataFrame:
     own = log.e2o.where(F.col("ob_type") == object_type).select("ob_id", "ev_id", "ev_type", "ev_time").distinct()
+    return own if only is None else own.join(only.select(F.col("id").alias("ob_id")), "ob_id", "left_semi")
+
+
+def delays(log: Log, object_type: str, only: DataFrame | None = None) -> DataFrame:
+    """first, then, ev_id, ob_id, seconds: for each event of an object (only: of those with such an id) the least delay to
+    each type of its other events."""
+    own = _events_of(log, object_type, only)
     a = own.select("ob_id", F.col("ev_id").alias("a"), F.col("ev_type").alias("first"), F.col("ev_time").alias("t"))
     b = own.select("ob_id", F.col("ev_id").alias("b"), F.col("ev_type").alias("then"), F.col("ev_time").alias("u"))
     pairs = a.join(b, "ob_id").where((F.col("a") != F.col("b")) & (F.col("u") >= F.col("t")))
@@ -154,11 +160,11 @@ def delays(log: Log, object_type: str) -> DataFrame:
     return pairs.groupBy("first", "then", "ob_id", F.col("a").alias("ev_id")).agg(F.min(gap).alias("seconds"))
 
 
-def follow_constraints(log: Log, object_type: str, coverage: float = 0.9) -> list[FollowConstraint]:
-    """Pairs of types whose delays cover a share of the first type's events. The upper bound is the first multiple of the
-    delays' deviation that covers enough."""
-    own = log.e2o.where(F.col("ob_type") == object_type).select("ob_id", "ev_id", "ev_type").distinct().groupBy(F.col("ev_type").alias("first")).agg(F.count("*").alias("all"))
-    d = delays(log, object_type)
+def follow_constraints(log: Log, object_type: str, coverage: float = 0.9, only: DataFrame | None = None) -> list[FollowConstraint]:
+    """Pairs of types whose delays cover a share of the first type's events, of all objects or those with an id of only.
+    The upper bound is the first multiple of the delays' deviation that covers enough."""
+    own = _events_of(log, object_type, only).select("ob_id", "ev_id", "ev_type").distinct().groupBy(F.col("ev_type").alias("first")).agg(F.count("*").alias("all"))
+    d = delays(log, object_type, only)
     stats = d.groupBy("first", "then").agg(F.count("*").alias("n"), F.stddev_pop("seconds").alias("spread")).join(F.broadcast(own), "first")
     stats = stats.where(F.col("n") >= F.col("all") * coverage)
     steps = d.join(stats.where("spread > 0"), ["first", "then"]).withColumn("step", F.ceil(F.col("seconds") / F.col("spread")))
@@ -186,9 +192,11 @@ def labelled(log: Log, tree: dict, ids: DataFrame) -> DataFrame:
     return ids.join(own, "id", "left").select("id", F.coalesce("ok", F.lit(True)).alias("ok"))
 
 
-def merged_or(a: dict, b: dict) -> dict:
-    """A root that binds the instance, whose constraint is that one of two subtrees holds."""
-    root = dict(a["nodes"][0]["Box"][0], constraints=[{"type": "OR", "child_names": ["A", "B"]}])
+def merged_or(a: dict, b: dict, kind: str) -> dict:
+    """A root that binds the instance, whose constraint is that one of two subtrees holds. Of what a tree's own root binds
+    only the instance moves up: a follow constraint's first event stays in its subtree."""
+    own, other = ("newEventVars", "newObjectVars") if kind == "event" else ("newObjectVars", "newEventVars")
+    root = dict(a["nodes"][0]["Box"][0], filters=[], constraints=[{"type": "OR", "child_names": ["A", "B"]}]) | {other: {}}
     nodes: list = [{"Box": [root, []]}]
     names = []
     for label, t in (("A", a), ("B", b)):
@@ -198,32 +206,46 @@ def merged_or(a: dict, b: dict) -> dict:
         for i, n in enumerate(t["nodes"]):
             box = dict(n["Box"][0])
             if i == 0:
-                box |= {"newEventVars": {}, "newObjectVars": {}, "filters": []}
+                box |= {own: {}}
             nodes.append({"Box": [box, [c + at for c in n["Box"][1]]]})
         names += [[[x + at, y + at], name] for (x, y), name in t["edgeNames"]]
     return {"nodes": nodes, "edgeNames": names}
 
 
 def or_constraints(log: Log, kind: str, name: str, coverage: float = 0.9, gain: float = 1.1) -> list[tuple[str, dict]]:
-    """Pairs of count constraints of which one holds often enough where neither does alone: the second is found on the
-    instances that violate the first."""
-    ids = instances(log, kind, name)
-    out, seen = [], set()
-    for c in dict.fromkeys(x for share in (0.11 * coverage, 0.7 * coverage) for x in count_constraints(log, kind, name, share, ids)):
-        one = labelled(log, c.to_tree(), ids)
-        bad = one.where("not ok").select("id")
-        for d in count_constraints(log, kind, name, coverage, bad):
-            if d.related == c.related or (c, d) in seen:
+    """Pairs of constraints of which one holds often enough where neither does alone: the second is found on the instances
+    that violate the first. The first is a count constraint and the second a count or, of objects, a follow constraint; or
+    both are follow constraints, where the first does not hold too often already."""
+    ids = instances(log, kind, name).cache()
+    n, out, seen = ids.count(), [], set()
+    firsts: list = list(dict.fromkeys(x for share in (0.11, 0.7, 1.0) for x in count_constraints(log, kind, name, share * coverage, ids)))
+    if kind == "object":
+        firsts += follow_constraints(log, name, 0.8 * coverage, ids)
+    for c in firsts:
+        counts = isinstance(c, CountConstraint)
+        one = labelled(log, c.to_tree(), ids).cache()
+        bad = one.where("not ok").select("id").cache()
+        violating = bad.count()
+        seconds: list = []
+        if violating and counts:
+            seconds = [d for d in count_constraints(log, kind, name, coverage, bad) if d.related != c.related]
+            if kind == "object":
+                seconds += follow_constraints(log, name, 0.9 * coverage, bad)
+        elif violating and n - violating < math.ceil(1.1 * coverage * n):
+            seconds = follow_constraints(log, name, coverage, bad)
+        for d in seconds:
+            if (c, d) in seen:
                 continue
             seen |= {(c, d), (d, c)}
             two = labelled(log, d.to_tree(), ids).withColumnRenamed("ok", "ok2")
-            r = one.join(two, "id").agg(F.count("*").alias("n"), F.count_if(F.col("ok")).alias("a"), F.count_if(F.col("ok2")).alias("b"), F.count_if(F.col("ok") | F.col("ok2")).alias("either")).first()
-            if not r["n"]:
-                continue
-            a, b, either = r["a"] / r["n"], r["b"] / r["n"], r["either"] / r["n"]
+            r = one.join(two, "id").agg(F.count_if(F.col("ok")).alias("a"), F.count_if(F.col("ok2")).alias("b"), F.count_if(F.col("ok") | F.col("ok2")).alias("either")).first()
+            a, b, either = r["a"] / n, r["b"] / n, r["either"] / n
             expected = 1 - (1 - a) * (1 - b)
             if either >= coverage and expected > 0 and either / expected >= gain:
-                out.append((f"{c.name} OR {d.name}", merged_or(c.to_tree(), d.to_tree())))
+                out.append((f"{c.name} OR {d.name}", merged_or(c.to_tree(), d.to_tree(), kind)))
+        bad.unpersist()
+        one.unpersist()
+    ids.unpersist()
     return out
 
 
