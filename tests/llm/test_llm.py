@@ -262,6 +262,15 @@ def test_line_dedup_takes_whole_passages(spark):
         assert got[i]["n_removed"] == (len(b) if goes else 0)
 
 
+def test_line_dedup_counts_words_of_any_form(spark):
+    """Words parted by tabs, and lines of scripts that do not part words, make a repeated run."""
+    texts = ["\t".join(f"t{i}" for i in range(60)), "漢字仮名交じり文" * 10, "かな" * 30, "ภาษาไทย" * 10]
+    rows = [(k * 2 + i, f"own line {k} {i}\n{t}") for k, t in enumerate(texts) for i in range(2)] + [(90, "own\n短い行"), (91, "other\n短い行"), (92, "a\n\t\t"), (93, "b\n\t\t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
+    assert got == {i: t.split("\n")[0] if i < 8 and i % 2 else t for i, t in rows}
+
+
 # 6
 
 

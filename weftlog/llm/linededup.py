@@ -34,9 +34,13 @@ _LOW = 0xFFFFFF
 PLACES = 1_000_000_000
 
 
-def word_count(line: Column) -> Column:
-    """Words as they are parted by single blanks: cheap, and the same for equal lines."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+#: A word, and characters of scripts that do not part words: two of them count as a word more.
+_WORD, _UNPARTED = r"[^\x20\x09-\x0D]+", r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+
+
+def word_count(text: Column) -> Column:
+    """Words as the other operators part them, and more where a script does not part them."""
+    return (F.regexp_count(text, F.lit(_WORD)) + F.floor(F.regexp_count(text, F.lit(_UNPARTED)) / 2)).cast("int")
 
 
 def rolling(hashes: Column, i: Column, window: int) -> Column:
@@ -75,12 +79,12 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     new = ("n_lines", "n_removed", "emptied")
     source = docs.select(*[c for c in docs.columns if c not in new or c in (id_col, text_col)])
     own = source.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    pieces = F.filter(F.transform(chunk_texts(F.col("_text"), window, divisor, long), lambda p, k: F.struct(k.alias("k"), p.alias("piece"))), lambda c: F.trim(c["piece"]) != "")
+    pieces = F.filter(F.transform(chunk_texts(F.col("_text"), window, divisor, long), lambda p, k: F.struct(k.alias("k"), p.alias("piece"))), lambda c: c["piece"].rlike(_WORD))
     chunks = own.select("_id", "_key", F.posexplode(pieces).alias("o", "c")).select("_id", "_key", "o", "c.k", "c.piece").withColumn("hash", F.xxhash64("piece"))
     groups = chunks.withColumn("place", _place(F.col("k"))).groupBy("hash", "piece").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
-    groups = settle(groups.select("hash", F.sha2("piece", 256).alias("sha"), "first"), "chunks")
+    groups = settle(groups.select("hash", F.sha2("piece", 256).alias("sha"), word_count(F.col("piece")).alias("words"), "first"), "chunks")
     mark = F.struct("o", "k", "words", "sha", (_place(F.col("k")) != F.col("first")).alias("hit"))
-    marks = chunks.select("_id", "_key", "o", "k", "hash", F.sha2("piece", 256).alias("sha"), _words(F.col("piece")).alias("words")).join(groups, ["hash", "sha"])
+    marks = chunks.select("_id", "_key", "o", "k", "hash", F.sha2("piece", 256).alias("sha")).join(groups, ["hash", "sha"])
     marks = settle(marks.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(mark)).alias("marks")), "marks")
     runs = marks.select("_id", "_key", F.explode(_runs(F.col("marks"), least)).alias("r")).select("_id", "_key", "r.*").withColumn("place", _place(F.col("a")))
     first = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").drop("n")
@@ -97,10 +101,6 @@ def _place(k: Column) -> Column:
     return (F.coalesce("_id", F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(PLACES) + k).cast("decimal(38,0)")
 
 
-def _words(piece: Column) -> Column:
-    return F.aggregate(F.split(piece, "\n", -1), F.lit(0), lambda a, x: a + word_count(x))
-
-
 def _runs(marks: Column, least: int) -> Column:
     """a, b (first and last chunk) and run (its digest) of the shortest runs of several marked chunks that have enough
     words: one from each chunk on, and one up to each."""
@@ -137,8 +137,7 @@ def _without_runs(both: DataFrame, text_col: str, window: int, divisor: int, lon
     lines = F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(breaks(text) + 1).cast("long")
     own = own.withColumn("n_lines", lines).withColumn("n_removed", F.coalesce("_done.lost", F.lit(0)).cast("long"))
     kept = F.when(F.col("_done").isNotNull(), F.col("_done.kept")).otherwise(text)
-    left = F.trim(F.replace(kept, F.lit("\n"), F.lit("")))
-    return own.withColumn("emptied", F.coalesce((F.col("n_removed") > 0) & (left == ""), F.lit(False))).withColumn(text_col, kept)
+    return own.withColumn("emptied", F.coalesce((F.col("n_removed") > 0) & ~kept.rlike(_WORD), F.lit(False))).withColumn(text_col, kept)
 
 
 def breaks(text: Column) -> Column:
