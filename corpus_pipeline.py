@@ -29,7 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of near duplicates."""
+    """One document, that with the least id, of each group of near duplicates. Ids are taken to be unique: repeated rows of
+    one id stay together, in line dedup too, and rows with a null id stay."""
     groups = ngramjoin.jaccard_components(docs)
     others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
     return docs.join(others.hint("shuffle_hash"), docs["doc_id"] == others["_other"], "left_anti").select(*docs.columns)
