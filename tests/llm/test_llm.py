@@ -91,20 +91,31 @@ def test_chat_round_trip(spark):
 
 
 def brute_secrets(text):
+    """Said anew, without the module's own patterns."""
     text = text or ""
-    names = secrets.names_of()
-    spans = []
-    for k, (_, pattern, group, least) in enumerate(secrets.KINDS):
-        spans += [(m.start(), k, m.end()) for m in re.finditer(pattern, text, re.A) if len(m[group]) >= least]
-    base = sorted(spans)
-    for k, c in enumerate(secrets.CLASSES):
-        for m in re.finditer(c.run, text, re.A):
-            run = m[0]
-            if len(run) < c.width or any(not re.search(x, run) for x in c.needs) or any(re.fullmatch(x, run, re.A) for x in secrets.ALLOWED) or any(a <= m.start() and b >= m.end() for a, _, b in base):
+    kinds = [
+        ("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+        ("access", "AKIA[A-Z0-9]+", 0, 18),
+        ("hex", "[0-9a-f]+", 0, 16),
+    ]
+    base = sorted((m.start(), k, m.end()) for k, (_, pattern, group, least) in enumerate(kinds) for m in re.finditer(pattern, text, re.A) if len(m[group]) >= least)
+    spans = list(base)
+    for k, run, needs, bits in ((3, r"(?<![0-9A-Za-z])[0-9a-fA-F]{24,}(?![0-9A-Za-z])", ("[0-9]", "[a-fA-F]"), 3.0), (4, r"[A-Za-z0-9+/_=-]{24,}", ("[0-9]", "[a-z]", "[A-Z]"), 3.9)):
+        for m in re.finditer(run, text, re.A):
+            own, low = m[0], m[0].lower()
+            parts = re.split("[-_]", own)
+            uuid = re.fullmatch("[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", low)
+            version = len(parts) > 1 and re.fullmatch("[0-9]{1,4}", parts[0]) and all(re.fullmatch("[0-9A-Za-z]{1,8}", p) for p in parts[1:])
+            pieces = re.split("[/_-]", own[1:] if own[0] in "/_-" else own)
+            pieces = pieces[:-1] if not pieces[-1] else pieces
+            path = len(pieces) > 1 and all(re.fullmatch("[A-Za-z]+", p) for p in pieces)
+            known = any(x in low for x in ("example", "sample", "dummy", "placeholder", "xxxx", "0123456789", "abcdefghij"))
+            if any(not re.search(x, own) for x in needs) or uuid or version or path or known or any(a <= m.start() and b >= m.end() for a, _, b in base):
                 continue
-            high = [i for i in range(len(run) - c.width + 1) if -sum(n / c.width * math.log2(n / c.width) for n in Counter(run[i : i + c.width]).values()) >= c.bits - 1e-7]
+            high = [i for i in range(len(own) - 23) if -sum(n / 24 * math.log2(n / 24) for n in Counter(own[i : i + 24]).values()) >= bits - 1e-7]
             if high:
-                spans.append((m.start() + high[0], len(secrets.KINDS) + k, m.start() + high[-1] + c.width))
+                spans.append((m.start() + high[0], k, m.start() + high[-1] + 24))
+    names = [k[0] for k in kinds] + ["hexmix", "base64"]
     show = lambda s: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(s))
     return show(base), show(spans)
 
@@ -113,7 +124,8 @@ def test_secrets(spark):
     rng = random.Random(3)
     alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
     key = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
-    texts = [None, "", "token: secret: abcdefghijklmnop", 'Api_Key = "' + key(20) + '" x', "AKIA" + "A" * 14 + " AKIAB", "é" + "deadbeef" * 3 + " 0123456789abcdef", key(60), "x " + key(30) + "." + key(25), "0F9a" * 8, "DEADBEEF1234567890ABCDEF12345678", "550e8400-e29b-41d4-a716-446655440000", "EXAMPLE" + key(40), "a1B" * 12, "a/b/c" * 10, LONG, "PASSWORD=short password=" + "p" * 12 + " password=" + "q" * 11, "🙂" + key(50), key(2000), key(24)]
+    texts = [None, "", "token: secret: abcdefghijklmnop", 'Api_Key = "' + key(20) + '" x', "AKIA" + "A" * 14 + " AKIAB", "é" + "deadbeef" * 3 + " 0123456789abcdef", key(60), "x " + key(30) + "." + key(25), "0F9a" * 8, "DEADBEEF1234567890ABCDEF12345678", "550e8400-e29b-41d4-a716-446655440000", "EXAMPLE" + key(40), "a1B" * 12, "a/b/c" * 10, LONG, "PASSWORD=short password=" + "p" * 12 + " password=" + "q" * 11, "🙂" + key(50), key(2000), key(24), "aB1" * 20 + key(40), "/usr/Local/share/Fonts/truetype/x1/" + "a-" * 20]
+    texts += ["1" + "-aB1cD2x" * 130_000, "/Abc-dEf" * 20_000 + "/", "1" + "-aB1cD2x" * 3000 + "+", "token=" + key(300_000)]
     df = docs_of(spark, texts, base_spans=["c"] * len(texts)).drop("base_spans")
     found = secrets.find_secrets(df)
     got = by_id(found.select("doc_id", secrets.joined(found["base_spans"]).alias("base"), secrets.joined(found["secret_spans"]).alias("spans")))
@@ -363,6 +375,7 @@ def test_urls(spark):
     rng = random.Random(10)
     hosts, paths = ["org", "example.org", "a.example.org", "b.a.example.org", "com", "x.com", "examples.org", "org.example"], ["", "/", "/e", "/en/", "/en/1", "/en/12/", "/fr", "/fr/x"]
     urls_ = [None, "", "no scheme", "http://", "://org/x", "HTTP://A.EXAMPLE.ORG/En/1", "http://example.org?x=/en/", "http://example.org#/en/", "http://example.org:80/en/1", "a://b://org/en/1", "http://.org/en/1", "http://org./en/1"]
+    urls_ += ["aé🙂" * 40_000, "a🙂" * 60_000 + "://x.com/" + "🙂b" * 60_000, "http://" + "x🙂." * 40_000 + "example.org/en/1"]
     urls_ += [f"https://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=1', '#t'])}" for _ in range(300)] + ["https://a.example.org/en/1"] * 200
     rules = [(h, p, rng.choice(["allow", "block"])) for h in hosts[:6] for p in paths[1:] if rng.random() < 0.6] + [("org", "/", "allow"), ("org", "/", "allow"), (None, "/", "block")]
     rules = list({(h, p): (h, p, v) for h, p, v in rules}.values()) + [("org", "/", "allow")] * 0

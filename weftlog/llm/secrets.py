@@ -36,6 +36,10 @@ ASSIGN = rf"""(?:{_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = (("assign", ASSIGN, 1, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
 
 
+#: Bits of a letter's count, and counts in a long. A window is narrower than 1 << FIELD.
+FIELD, PER_LONG = 5, 12
+
+
 @dataclass(frozen=True)
 class CharacterClass:
     """letters: the class, one count each; run: the pattern of its candidates; needs: what a candidate has to contain;
@@ -48,6 +52,10 @@ class CharacterClass:
     width: int
     bits: float
 
+    def __post_init__(self):
+        if not 0 < self.width < 1 << FIELD:
+            raise ValueError(f"a window has 1 to {(1 << FIELD) - 1} characters")
+
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 CLASSES = (
@@ -55,7 +63,8 @@ CLASSES = (
     CharacterClass("base64", _DIGITS + _LOWER + _LOWER.upper() + "+/_-=", r"[A-Za-z0-9+/_=-]{24,}", ("[0-9]", "[a-z]", "[A-Z]"), 24, 3.9),
 )
 #: Whole candidates that are no secrets: example keys, UUIDs, dates and versions, paths of words, the digit and letter rows.
-ALLOWED = (r"(?i).*(?:example|sample|dummy|placeholder|xxxx|0123456789|abcdefghij).*", r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", r"[0-9]{1,4}(?:[-_][0-9A-Za-z]{1,8})+", r"[/_-]?[A-Za-z]+(?:[/_-][A-Za-z]+)+[/_-]?")
+#: Repeated groups are possessive: Java matches others by recursion, and a long candidate would overflow the stack.
+ALLOWED = (r"(?i).*(?:example|sample|dummy|placeholder|xxxx|0123456789|abcdefghij).*", r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", r"[0-9]{1,4}(?:[-_][0-9A-Za-z]{1,8})++", r"[/_-]?[A-Za-z]++(?:[/_-][A-Za-z]++)++[/_-]?")
 
 _SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -83,23 +92,38 @@ def _weight(count: Column, width: int) -> Column:
 
 
 def high_windows(run: Column, cls: CharacterClass) -> Column:
-    """First and last offset in run at which a window has the class's entropy, as struct first, last (-1: none)."""
+    """First and last offset in run at which a window has the class's entropy, as struct first, last (-1: none). The
+    counts of the letters are fields of FIELD bits in a few longs, so a step changes two of them whatever the class has."""
     most = (math.log2(cls.width) - cls.bits) * cls.width  # the sum of c * log2(c) may not be above this
-    letters = F.transform(F.split(run, ""), lambda c: F.call_function("instr", F.lit(cls.letters), c))
-    zero = F.array_repeat(F.lit(0), len(cls.letters))
-    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    longs = -(-len(cls.letters) // PER_LONG)
+    letters = F.transform(F.split(run, ""), lambda c: F.call_function("instr", F.lit(cls.letters), c) - 1)
+    start = F.struct(*[F.lit(0).cast("long").alias(f"l{k}") for k in range(longs)], F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
     places = F.sequence(F.lit(0), F.length(run) - 1)
+    one = F.lit(1).cast("long")
+
+    def field(letter: Column) -> Column:
+        return (letter % PER_LONG) * FIELD
+
+    def count(state: Column, letter: Column) -> Column:
+        own = state["l0"]
+        for k in range(1, longs):
+            own = F.when(letter >= k * PER_LONG, state[f"l{k}"]).otherwise(own)
+        return F.call_function("shiftright", own, field(letter)).bitwiseAND(F.lit((1 << FIELD) - 1)).cast("int")
 
     def step(spots: Column, state: Column, i: Column) -> Column:
+        full = i >= cls.width
         enters = F.element_at(spots, i + 1)
-        leaves = F.when(i >= cls.width, F.element_at(spots, F.greatest(i - cls.width + 1, F.lit(1)))).otherwise(F.lit(0))
-        had_out = F.when(leaves > 0, F.element_at(state["counts"], F.greatest(leaves, F.lit(1)))).otherwise(F.lit(0))
-        had_in = F.element_at(state["counts"], enters) - F.when(leaves == enters, F.lit(1)).otherwise(F.lit(0))
-        total = state["sum"] - F.when(leaves > 0, _weight(had_out, cls.width) - _weight(F.greatest(had_out - 1, F.lit(0)), cls.width)).otherwise(F.lit(0.0)) + _weight(had_in + 1, cls.width) - _weight(had_in, cls.width)
-        counts = F.transform(state["counts"], lambda c, k: c + F.when(k + 1 == enters, 1).otherwise(0) - F.when(k + 1 == leaves, 1).otherwise(0))
+        leaves = F.when(full, F.element_at(spots, F.greatest(i - cls.width + 1, F.lit(1)))).otherwise(enters)
+        out, into = count(state, leaves), count(state, enters)
+        # Of a full window one letter goes; if the same one comes, nothing changes.
+        less = F.when(full, _weight(out, cls.width) - _weight(F.greatest(out - 1, F.lit(0)), cls.width)).otherwise(F.lit(0.0))
+        total = F.when(full & (leaves == enters), state["sum"]).otherwise(state["sum"] - less + _weight(F.least(into + 1, F.lit(cls.width)), cls.width) - _weight(into, cls.width))
+        plus, minus = F.call_function("shiftleft", one, field(enters)), F.call_function("shiftleft", one, field(leaves))
+        within = lambda letter, k: F.floor(letter / PER_LONG) == k
+        counts = [(state[f"l{k}"] + F.when(within(enters, k), plus).otherwise(F.lit(0).cast("long")) - F.when(full & within(leaves, k), minus).otherwise(F.lit(0).cast("long"))).alias(f"l{k}") for k in range(longs)]
         high = (i >= cls.width - 1) & (total <= most + 1e-9)
         at = i - (cls.width - 1)
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(high & (state["first"] < 0), at).otherwise(state["first"]).alias("first"), F.when(high, at).otherwise(state["last"]).alias("last"))
+        return F.struct(*counts, total.alias("sum"), F.when(high & (state["first"] < 0), at).otherwise(state["first"]).alias("first"), F.when(high, at).otherwise(state["last"]).alias("last"))
 
     def slide(spots: Column) -> Column:
         return F.aggregate(places, start, lambda state, i: step(spots, state, i), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))

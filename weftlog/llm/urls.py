@@ -3,8 +3,8 @@
 A host is keyed by its labels reversed, each ended by a dot (blog.example.org: ``org.example.blog.``), with the path
 after it. All hosts under a rule's host then lie in one interval of keys, and intervals of rules are nested or apart.
 Pages are dealt over key ranges whose bounds come from the pages' own keys; the page id's hash is the bounds' last part,
-so a host with a third of all pages is cut into many ranges. A rule goes to every range that its interval touches. In a
-range, pages and rules are sorted by key, and one sweep keeps a stack of the rules whose interval is open; of those whose
+so a host with a third of all pages is cut into many ranges. A rule goes to every range that its interval touches. A range
+is a task: in it, pages and rules are sorted by key, and one sweep keeps a stack of the rules whose interval is open; of those whose
 path a url's path starts with, the longest wins. No side is broadcast, however many rules there are.
 
 Defined cases: null, or a url without ``://``: host and path empty, no rule; a rule with null host or path is ignored;
@@ -24,18 +24,25 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .base import bound_batches
 
-#: Page keys that the range bounds are taken from. They only even out the ranges: any bounds give the same result.
-BOUNDS_FROM = 20_000
+#: Page keys that the range bounds are taken from (8 for each range, where that is more), and characters of each. They
+#: only even out the ranges: any bounds give the same result.
+BOUNDS_FROM, BOUND_CHARS = 20_000, 200
 DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``, found without a pattern: patterns that look ahead at each character recurse."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+
+
 def host_of(url: Column) -> Column:
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://([^/?#]*)", 1), _UPPER, _LOWER)
+    return F.translate(F.regexp_extract(_after_scheme(url), "^[^/?#]*", 0), _UPPER, _LOWER)
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(_after_scheme(url), "^[^/?#]*([^?#]*)", 1)
 
 
 def reversed_host(host: Column) -> Column:
@@ -43,8 +50,9 @@ def reversed_host(host: Column) -> Column:
 
 
 def _bounds(keys: DataFrame, parts: int) -> list[tuple[str, int]]:
-    """Where key ranges begin, the first aside: quantiles of the keys with the smallest hashes."""
-    found = sorted((r["key"], r["salt"]) for r in keys.orderBy("salt", "key").limit(BOUNDS_FROM).toLocalIterator())
+    """Where key ranges begin, the first aside: quantiles of the keys with the smallest hashes, cut to BOUND_CHARS."""
+    some = keys.select("salt", F.substring("key", 1, BOUND_CHARS).alias("key")).orderBy("salt", "key").limit(max(BOUNDS_FROM, 8 * parts))
+    found = sorted((r["key"], r["salt"]) for r in some.toLocalIterator())
     return sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
 
 
@@ -108,7 +116,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     both = left.select("range", "key", F.lit(1).alias("kind"), "row", "host", "path", F.lit(None).cast("string").alias("verdict")).unionByName(
         right.select(F.explode("ranges").alias("range"), "key", F.lit(0).alias("kind"), F.lit(None).cast(keyed.schema["row"].dataType).alias("row"), "host", "path", "verdict")
     )
-    swept = both.repartition(parts, "range").sortWithinPartitions("range", "key", "kind")
+    swept = both.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "key", "kind")
     out = T.StructType([swept.schema["row"], *(T.StructField(n, T.StringType()) for n in new)])
     names = out.names
     row_type = to_arrow_type(out["row"].dataType)
