@@ -43,18 +43,18 @@ def brute_passages(text, items, window=10):
                 if own[j : j + n] == w[i : i + n]:
                     hit |= set(range(j, j + n))
                     found.add(ident)
-    return len(own), len(hit), sorted(found)
+    return len(own), len(hit), sorted(x for x in found if x is not None) + [None] * (None in found)
 
 
 def test_passages(spark):
     rng = random.Random(1)
     vocab = ["Alpha", "beta", "gämma", "d1", "E"]
-    items = [("a", "Alpha beta, gämma; d1 E alpha BETA gamma x y z"), ("b", "short ITEM"), ("b", "short ITEM"), ("c", ""), ("d", None), ("e", " ".join(rng.choice(vocab) for _ in range(30)))]
-    texts = [None, "", "!!", "the Short—no short,item here short item", "q " + items[0][1].upper().replace("Ä", "ä") + " r", items[5][1] + " " + items[5][1], " ".join(rng.choice(vocab) for _ in range(300)), LONG + " short item", "alpha beta gämma d1"]
+    items = [("a", "Alpha beta, gämma; d1 E alpha BETA gamma x y z"), ("b", "short ITEM"), ("b", "short ITEM"), ("c", ""), ("d", None), (None, "d1 E alpha beta"), (None, "beta gämma"), ("e", " ".join(rng.choice(vocab) for _ in range(30)))]
+    texts = [None, "", "!!", "the Short—no short,item here short item", "q " + items[0][1].upper().replace("Ä", "ä") + " r", items[7][1] + " " + items[7][1], " ".join(rng.choice(vocab) for _ in range(300)), LONG + " short item", "alpha beta gämma d1"]
     bench = spark.createDataFrame(items, "item_id string, text string")
     docs = docs_of(spark, texts, n_hit=["x"] * len(texts))
-    for size in (decontam.BLOCK_BYTES, 60):
-        got = by_id(decontam.find_passages(docs, bench, block_bytes=size))
+    for size in (decontam.BLOCK_WORDS, 15, 3):
+        got = by_id(decontam.find_passages(docs, bench, block_words=size))
         for i, t in enumerate(texts):
             n, hit, found = brute_passages(t, items) if i != 7 else (30_002, 2, ["b"])
             assert (got[i]["n_words"], got[i]["n_hit"], got[i]["hit_items"]) == (n, hit, found), (size, i)
@@ -62,9 +62,24 @@ def test_passages(spark):
                 spans = [t[s["start"] : s["end"]] for s in got[i]["hit_spans"]]
                 assert sum(brute_passages(s, [])[0] for s in spans) == hit
     assert decontam.find_passages(docs.limit(0), bench).count() == 0
+    assert decontam.find_passages(docs.limit(0), bench, block_words=15).count() == 0
     assert all(r["n_hit"] == 0 for r in decontam.find_passages(docs, bench.limit(0)).collect())
 
 
+def test_blocks_of_a_long_item(spark):
+    """An item of more different words than a block has: no block is larger, and no window is lost at a cut."""
+    n, size = 30_000, 7000
+    item = " ".join(f"{i:x}" for i in range(n))
+    rows = spark.createDataFrame([("a", item), ("b", "x y"), ("c", ""), ("d", " ".join(["z"] * 10))], "id string, text string")
+    blocks = list(decontam.blocks_of(rows, 10, size))
+    assert len(blocks) == 5 and all(sum(len(w) for _, w in b) <= size + 10 for b in blocks)
+    windows = {tuple(w[i : i + 10]) for b in blocks for name, w in b if name == "a" for i in range(len(w) - 9)}
+    assert len(windows) == n - 9 and {name for b in blocks for name, _ in b} == {"a", "b", "d"}
+    texts = [" ".join(f"{i:x}" for i in range(a, a + 10)) for a in (0, size - 5, n - 10)] + ["x y", "z z", " ".join(f"{i:x}" for i in range(9))]
+    got = by_id(decontam.find_passages(docs_of(spark, texts), rows, item_col="id", block_words=size))
+    assert [(got[i]["n_hit"], got[i]["hit_items"]) for i in range(len(texts))] == [(10, ["a"])] * 3 + [(2, ["b"]), (0, []), (0, [])]
+
+
 # 2
 
 
