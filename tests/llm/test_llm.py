@@ -321,6 +321,37 @@ def test_apportionment():
     assert mixing.targets([10, 20], [5, 2]) == pytest.approx([150 / 7, 60 / 7])
 
 
+def brute_targets(sizes, weights, most=3):
+    """Water is poured by weight until every vessel stops at most times its size: the level is found by bisection."""
+    low, high = 0.0, most * max(sizes, default=0) / min(weights) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(most * s, w * level) for s, w in zip(sizes, weights, strict=True)) < sum(sizes):
+            low = level
+        else:
+            high = level
+    return [min(most * s, w * high) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_targets_against_bisection():
+    rng = random.Random(61)
+    for _ in range(50):
+        sizes = [rng.choice([0, 1, rng.randrange(1, 50), rng.randrange(1, 100_000)]) for _ in range(rng.randrange(1, 9))]
+        weights = [rng.choice([5, 2, 1]) for _ in sizes]
+        assert mixing.targets(sizes, weights) == pytest.approx(brute_targets(sizes, weights), abs=1e-6), (sizes, weights)
+
+
+@pytest.mark.parametrize("words", [1, 3])
+def test_mixing_few_words(spark, words):
+    """Fifty documents of one word, or three: sources come within a word or two of their targets."""
+    docs = spark.createDataFrame([(i, "w " * words, "abcde"[i % 5]) for i in range(50)], "doc_id long, text string, source string")
+    taken, want = Counter(), brute_targets([10 * words] * 5, [5, 2, 1, 5, 2])
+    for r in mixing.mix(docs).collect():
+        assert 0 <= r["taken"] <= 3 * r["size"] and r["target"] == pytest.approx(want["abcde".index(r["source"])], abs=1e-6)
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 1.5 for s, t in zip("abcde", want, strict=True)), taken
+
+
 def test_mixing(spark):
     rng = random.Random(7)
     texts = [" ".join("w" for _ in range(rng.randrange(0, 400))) for _ in range(400)] + [None, "", LONG, "a\tb\x0bc\xa0d"]
@@ -332,7 +363,7 @@ def test_mixing(spark):
     for i, t in enumerate(texts):
         sizes[sources[i]] += len(WORDS.findall(t or ""))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = dict(zip(names, mixing.targets([sizes[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    want = dict(zip(names, brute_targets([sizes[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
     taken = Counter()
     for i, r in got.items():
         assert r["source_size"] == sizes[sources[i]] and r["target"] == pytest.approx(want[sources[i]]) and 0 <= r["taken"] <= 3 * r["size"]

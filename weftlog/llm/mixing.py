@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 A source's documents are dealt by hash over its shards and stand in a shard in seeded order, so their words form one
-stream that is cut into blocks of BLOCK words. The target of all sources together is apportioned to sources, and each
-source's to its shards, in whole blocks: the next block goes to the highest quotient target / (2 * quota + 1). A shard takes all its blocks as often as its quota allows and the remaining
-blocks by seeded systematic choice over the seeded order, so what a document gives is arithmetic on its place in the
-stream: no block becomes a row, and reruns agree.
+stream that is cut into blocks of equal words: BLOCK, or fewer where the least target would have under LEAST_BLOCKS of
+them, down to 1. The target of all sources together is apportioned to sources, and each source's to its shards, in whole
+blocks: the next block goes to the highest quotient target / (2 * quota + 1). A shard takes all its blocks as often as
+its quota allows and the remaining blocks by seeded systematic choice over the seeded order, so what a document gives is
+arithmetic on its place in the stream: no block becomes a row, and reruns agree.
 
 The driver holds one number for each source and shard; shards are at most SHARDS and one for each source.
 
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .base import settle
 
-#: Words in a block; words that a shard should have, at least; shards at most, besides one for each source.
-BLOCK, SHARD_WORDS, SHARDS = 64, 200_000, 20_000
+#: Words in a block, at most; blocks that the least target should have; words that a shard should have, at least; shards
+#: at most, besides one for each source.
+BLOCK, LEAST_BLOCKS, SHARD_WORDS, SHARDS = 64, 32, 200_000, 20_000
 #: Sources that the driver may be given; weights are by source, so whoever states them has a list of that length.
 MOST_SOURCES = 200_000
 SEED = 20_240_117
@@ -86,6 +88,11 @@ def shares(source_sizes: dict[str | None, int], weights: Sequence[float], share:
     return dict(zip(names, zip(sizes, targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share), strict=True), strict=True))
 
 
+def block_words(wanted: Sequence[float]) -> int:
+    """Words of a block, by the targets."""
+    return int(min(BLOCK, max(1, min((t for t in wanted if t > 0), default=BLOCK) // LEAST_BLOCKS)))
+
+
 _PLAN = "source string, shard int, source_size long, target double, n_blocks long, quota long, shift double"
 
 
@@ -106,21 +113,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     shards: dict[str | None, dict[int, int]] = {}
     for r in dealt.groupBy("source", "shard").agg(F.sum("size").alias("size")).toLocalIterator():
         shards.setdefault(r["source"], {})[r["shard"]] = r["size"]
-    rows = list(_quotas(plan, shards, seed))
+    block = block_words([t for _, t in plan.values()])
+    rows = list(_quotas(plan, shards, seed, block))
     placed = spark.createDataFrame(rows, _PLAN)
     joined = dealt.join(F.broadcast(placed), dealt["source"].eqNullSafe(placed["source"]) & (dealt["shard"] == placed["shard"])).select(
         dealt["*"], *[placed[c] for c in ("source_size", "target", "n_blocks", "quota", "shift")]
     )
     order = Window.partitionBy("source", "shard").orderBy("place", id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum("size").over(order)
-    return joined.withColumn("end", end).withColumn("taken", taken(F.col("end") - F.col("size"), F.col("end"))).select(id_col, "source", "size", "source_size", "target", "taken")
+    return joined.withColumn("end", end).withColumn("taken", taken(F.col("end") - F.col("size"), F.col("end"), block)).select(id_col, "source", "size", "source_size", "target", "taken")
 
 
-def _quotas(plan: dict, shards: dict, seed: int):
+def _quotas(plan: dict, shards: dict, seed: int, block: int):
     """A row of _PLAN for each shard."""
-    blocks = {s: {k: -(-n // BLOCK) for k, n in own.items()} for s, own in shards.items()}
+    blocks = {s: {k: -(-n // block) for k, n in own.items()} for s, own in shards.items()}
     most = {s: MOST_TIMES * sum(own.values()) for s, own in blocks.items()}
-    total = round(sum(t for _, t in plan.values()) / BLOCK)
+    total = round(sum(t for _, t in plan.values()) / block)
     quotas = apportion({s: plan[s][1] for s in plan}, total, most)
     for s, (size, target) in plan.items():
         own = {k: shards[s][k] for k in sorted(shards[s])}
@@ -129,8 +137,8 @@ def _quotas(plan: dict, shards: dict, seed: int):
             yield s, k, size, float(target), blocks[s][k], got[k], ((seed * 2654435761 + k * 40503 + len(s or "")) % 1009 + 0.5) / 1010
 
 
-def taken(start: Column, end: Column) -> Column:
-    """Words of [start, end) that the shard's quota takes. Of n blocks, quota // n times all and r more: those blocks b
+def taken(start: Column, end: Column, size: int) -> Column:
+    """Words of [start, end) that the shard's quota takes, in blocks of size words. Of n blocks, quota // n times all and r more: those blocks b
     at which floor((b + 1) * r / n + shift) is past floor(b * r / n + shift), r in all."""
     n, quota = F.greatest(F.col("n_blocks"), F.lit(1)), F.col("quota")
     times, r = F.floor(quota / n), quota % n
@@ -141,14 +149,12 @@ def taken(start: Column, end: Column) -> Column:
     def within(block: Column, words: Column) -> Column:
         return words * (chosen_before(block + 1) - chosen_before(block))
 
-    first, last = F.floor(start / BLOCK), F.floor((end - 1) / BLOCK)
+    first, last = F.floor(start / size), F.floor((end - 1) / size)
     same = within(first, end - start)
-    more = within(first, (first + 1) * BLOCK - start) + within(last, end - last * BLOCK) + BLOCK * (chosen_before(last) - chosen_before(first + 1))
+    more = within(first, (first + 1) * size - start) + within(last, end - last * size) + size * (chosen_before(last) - chosen_before(first + 1))
     return F.when(end == start, F.lit(0)).otherwise(times * (end - start) + F.when(first == last, same).otherwise(more)).cast("long")
 
 
 def copies(taken_words: Column, size: Column) -> Column:
     """How often a document that stays whole stands in the mix: what was taken of it, in documents, rounded half up."""
     return F.when(size == 0, F.lit(0)).otherwise(F.floor(taken_words / size + 0.5)).cast("int")
-
-
