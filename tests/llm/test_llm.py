@@ -397,6 +397,60 @@ def test_quality(spark):
     assert quality.score_quality(df.limit(0), model).count() == 0
 
 
+def test_word_vectors_against_plain_loops(spark):
+    """Words, context sums, pooling and the temperature, each said anew word by word."""
+    rng = random.Random(81)
+    texts = ["", " \t", "a", "The the The The, the", "x  !!x 12ab\n\nab ab", "Ünï\xa0cödé 🙂🙂 ok-ok ok"] + [" ".join(rng.choice(["red", "Blue", "42", "...", "sky\n", "é"]) for _ in range(rng.randrange(1, 40))) for _ in range(30)]
+    kind = lambda b: 0 if b in b" \t\x0b\x0c\r" else 4 if b == 10 else 2 if 48 <= b < 58 else 1 if b >= 128 or chr(b).isalpha() else 3
+    names: dict = {}
+
+    def plain(raw):
+        runs = []
+        for b in raw:
+            if runs and runs[-1][0] == kind(b):
+                runs[-1][1].append(b)
+            else:
+                runs.append((kind(b), [b]))
+        out, before = [], None
+        for k, run in runs:
+            if k == 1:
+                out.append("again" if run == before else bytes(run))
+                before = run
+            elif k:
+                out.append(bytes(run))
+        return out
+
+    for t in texts:
+        got, want = quality.buckets_of(t.encode()), plain(t.encode())
+        assert len(got) == len(want)
+        for bucket, word in zip(got, want, strict=True):
+            assert names.setdefault(word, bucket) == bucket
+    assert names["again"] == quality.REPEAT and len(set(names.values())) >= len(names) - 1
+    index = quality.index_vectors()
+    assert (np.abs(index).sum(1) == quality.NONZERO).all()
+    want = np.zeros(index.shape, np.int64)
+    for t in texts:
+        own = quality.buckets_of(t.encode())
+        for i in range(len(own)):
+            for j in range(max(0, i - quality.NEIGHBOURS), min(len(own), i + quality.NEIGHBOURS + 1)):
+                if i != j:
+                    want[own[i]] += index[own[j]]
+    vectors = index / quality.NONZERO**0.5 + want / np.maximum(1, np.linalg.norm(want, axis=1, keepdims=True))
+    assert np.allclose(quality._context(docs_of(spark, texts).selectExpr("text AS _text")), vectors, atol=1e-6)
+    for t in texts:
+        own = quality.buckets_of(t.encode())
+        mean = sum((vectors[b] for b in own), np.zeros(quality.DIMENSIONS)) / max(1, len(own))
+        assert np.allclose(quality.pooled(t.encode(), vectors.astype(np.float32)), mean, atol=1e-5)
+    x = np.random.default_rng(5).normal(0, 1, (500, quality.DIMENSIONS))
+    y = (x[:, 0] + np.random.default_rng(6).normal(0, 1, 500) > 0).astype(int)
+    net = quality.train(x, y)
+    aside = np.random.default_rng(quality.SEED).random(500) < 0.2
+    logits = np.tanh(np.clip((x - net.mean) / net.spread, -quality.REACH, quality.REACH) @ net.first + net.first_bias) @ net.second + net.second_bias
+    loss = lambda c: -np.mean(np.log(np.where(y[aside] == 1, 1 / (1 + np.exp(-logits[aside] / c)), 1 / (1 + np.exp(logits[aside] / c)))))
+    assert all(loss(net.temperature) <= loss(c) + 1e-9 for c in np.geomspace(0.25, 16, 97))
+    assert np.allclose(net.score(x), 1 / (1 + np.exp(-logits / net.temperature)))
+
+
 # 8
 
 
@@ -504,7 +558,7 @@ def test_every_contract_is_registered():
 def test_quality_of_texts_unlike_all_learned_from():
     """An input that never varied says nothing, and none counts further out than REACH."""
     rng = np.random.default_rng(3)
-    x = rng.normal(0, 1, (200, quality.DIMENSIONS + quality.PROPORTIONS))
+    x = rng.normal(0, 1, (200, quality.DIMENSIONS))
     x[:, -1] = 0.25
     net = quality.train(x, (x[:, 0] > 0).astype(int))
     odd = x[:5].copy()

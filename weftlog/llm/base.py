@@ -41,16 +41,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep a worker's memory independent of row counts: documents can be long, so few go in a batch."""
+    """Keep a worker's memory independent of row counts: documents can be long, so few go in a batch. Batch sizes that
+    the session's owner has set stay."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the cluster names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if all
+    runs on one machine, and an error if not: executors elsewhere would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftlog-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -70,7 +75,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/weftlog-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read any more, as what came of them is settled itself."""
+    for df in tables:
+        path = df.__dict__.pop("_settled", None)
+        if path:
+            _forget(df.sparkSession, path)
 
 
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:

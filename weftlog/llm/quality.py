@@ -1,24 +1,25 @@
 """Quality classifier: random-indexing word vectors pooled by document, a two-layer numpy network, calibrated scores.
 
-Words are hashed to BUCKETS rows. A row has a sparse random index vector (a few +1 and -1); its word vector is that and
-what its neighbours' index vectors add up to in the training texts, which is random indexing. A document is the mean of
-its words' vectors, scaled to unit length, and a few proportions of its own text (upper case, marks, digits, word length,
-repeated words and lines). A network with one hidden layer scores it, and a temperature fitted on rows that it was not
-trained on makes the scores probabilities. The mean is over whole texts; labels, lang, source and doc_id are no inputs.
+Words are runs of letters, runs of digits, runs of other marks, and line breaks; a run of letters that is the one before it
+again is the word REPEAT. Words are hashed to BUCKETS rows. A row has a sparse random index vector (a few +1 and -1); its
+word vector is that and what its neighbours' index vectors add up to in the training texts, which is random indexing. A
+document is the mean of its words' vectors, over its whole text, and nothing else: labels, lang, source and doc_id are no
+inputs, and no counts of the text stand beside the vectors. A network with one hidden layer scores it, and a temperature
+fitted on rows that it was not trained on makes the scores probabilities.
 
 Training takes at most SAMPLE labelled rows, those with the smallest id hash: a bound on what is fitted, as a parameter.
-The driver gets the sample's pooled vectors and, from each of TASKS tasks, one matrix of fixed size; never texts. Sums of
-word vectors are of whole numbers, so they agree however rows are dealt. The model is broadcast: its size is fixed.
+Their texts become a table of their own; the driver gets their pooled vectors and, from each of TASKS tasks, one matrix of
+fixed size; never texts. Sums of word vectors are of whole numbers, so they agree however rows are dealt. The model is
+broadcast: its size is fixed.
 
 Defined cases: null text is empty; empty texts get the score of a zero vector; rows without label or with unknown ids
-are not learned from; repeated rows get equal scores; without both labels to learn from every score is the share of
-label 1 (0.5 without labels). Output columns replace those of their names.
+are not learned from; of rows that share a labelled id the one with the least text is learned from; repeated rows get
+equal scores; without both labels to learn from every score is the share of label 1 (0.5 without labels). Output columns
+replace those of their names.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import append_columns, bound_batches, utf8
+from .base import append_columns, bound_batches, release, settle, utf8
 
-BUCKETS, DIMENSIONS, NONZERO, NEIGHBOURS = 1 << 14, 64, 4, 2
+BUCKETS, DIMENSIONS, NONZERO, NEIGHBOURS = 1 << 14, 128, 4, 2
 SAMPLE, TASKS, HIDDEN, EPOCHS, SEED = 8000, 8, 32, 60, 7
 #: Standard deviations from the mean up to which an input counts.
 REACH = 4.0
-_MARKS = re.compile(rb"[^0-9A-Za-z\s\x80-\xff]")
+#: The bucket of a word that is the word before it again.
+REPEAT = 0
 
 
 def index_vectors() -> np.ndarray:
@@ -47,51 +49,39 @@ def index_vectors() -> np.ndarray:
 
 _POWERS = np.power(np.uint64(1_099_511_628_211), np.arange(64, dtype=np.uint64))
 _INK = np.random.default_rng(SEED + 1).integers(1, 2**63, 256, dtype=np.uint64)
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: What each byte belongs to: 0 blanks, which part words; 1 letters, those of other scripts too; 2 digits; 3 marks; 4 line breaks.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[32, 9, 11, 12, 13]] = 0
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
+_KIND[10] = 4
 
 
 def buckets_of(raw: bytes) -> np.ndarray:
     """The bucket of each word of a text, in order."""
     data = np.frombuffer(raw, np.uint8)
-    inside = ~_BLANK[data]
-    edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not start.size:
+    if not data.size:
         return np.empty(0, np.int64)
-    lengths = end - start
-    place = np.arange(data.size) - np.repeat(start, np.diff(np.append(start, data.size))) if start[0] == 0 else np.arange(data.size)[start[0] :] - np.repeat(start, np.diff(np.append(start, data.size)))
-    mixed = _INK[data[start[0] :]] * _POWERS[place & 63] * inside[start[0] :]
-    sums = np.add.reduceat(mixed, start - start[0]) + lengths.astype(np.uint64)
+    kind = _KIND[data]
+    start = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+    lengths = np.diff(np.append(start, data.size))
+    place = np.arange(data.size) - np.repeat(start, lengths)
+    sums = np.add.reduceat(_INK[data] * _POWERS[place & 63], start) + lengths.astype(np.uint64)
     sums ^= sums >> np.uint64(29)
     sums *= np.uint64(0xBF58476D1CE4E5B9)
-    return (sums >> np.uint64(64 - 14)).astype(np.int64)
-
-
-def proportions(raw: bytes, words: np.ndarray) -> list[float]:
-    n = max(1, len(raw))
-    data = np.frombuffer(raw, np.uint8)
-    upper = np.count_nonzero((data >= 65) & (data <= 90))
-    letters = max(1, upper + np.count_nonzero(((data >= 97) & (data <= 122)) | (data >= 128)))
-    digits = np.count_nonzero((data >= 48) & (data <= 57))
-    marks = len(_MARKS.findall(raw))
-    lines = raw.split(b"\n")
-    count = max(1, len(words))
-    return [upper / letters, marks / count, digits / n, n / count / 10, len(np.unique(words)) / count, len(set(lines)) / len(lines), np.log1p(count) / 10, raw.count(b". ") / count]
-
-
-PROPORTIONS = 8
+    out, kind = (sums >> np.uint64(64 - 14)).astype(np.int64), kind[start]
+    letters = np.flatnonzero(kind == 1)
+    out[letters[1:][sums[letters[1:]] == sums[letters[:-1]]]] = REPEAT
+    return out[kind != 0]
 
 
 def pooled(raw: bytes, vectors: np.ndarray) -> np.ndarray:
+    """The mean of the vectors of a text's words."""
     words = buckets_of(raw)
-    out = np.zeros(DIMENSIONS + PROPORTIONS, np.float32)
-    if words.size:
-        ids, counts = np.unique(words, return_counts=True)
-        mean = counts.astype(np.float32) @ vectors[ids]
-        out[:DIMENSIONS] = mean / max(float(np.linalg.norm(mean)), 1e-9)
-    out[DIMENSIONS:] = proportions(raw, words)
-    return out
+    if not words.size:
+        return np.zeros(DIMENSIONS, np.float32)
+    ids, counts = np.unique(words, return_counts=True)
+    return counts.astype(np.float32) @ vectors[ids] / np.float32(len(words))
 
 
 @dataclass
@@ -118,7 +108,7 @@ class Network:
 
 
 def constant(share: float) -> Network:
-    n, p = DIMENSIONS + PROPORTIONS, min(max(share, 1e-6), 1 - 1e-6)
+    n, p = DIMENSIONS, min(max(share, 1e-6), 1 - 1e-6)
     return Network(np.zeros(n), np.ones(n), np.zeros((n, 1)), np.zeros(1), np.zeros(1), float(np.log(p / (1 - p))), 1.0)
 
 
@@ -187,7 +177,7 @@ def pooled_column(df: DataFrame, text_col: str, vectors: np.ndarray, score: Netw
         vectors, net = shipped.value
 
         def compute(batch):
-            x = np.array([pooled(raw, vectors) for raw in utf8(batch.column(text_col))]).reshape(-1, DIMENSIONS + PROPORTIONS)
+            x = np.array([pooled(raw, vectors) for raw in utf8(batch.column(text_col))]).reshape(-1, DIMENSIONS)
             return [pa.array(list(x), pa.list_(pa.float32()))] if net is None else [pa.array(net.score(x))]
 
         return compute
@@ -200,10 +190,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str
     bound_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_text", "_label")
+    rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    rows = settle(rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text")), "sample")
     vectors = _context(rows)
     got = sorted((r["_id"], r["_label"], tuple(r["_pooled"])) for r in pooled_column(rows, "_text", vectors).select("_id", "_label", "_pooled").toLocalIterator())
-    x = np.array([r[2] for r in got], np.float32).reshape(-1, DIMENSIONS + PROPORTIONS)
+    release(rows)
+    x = np.array([r[2] for r in got], np.float32).reshape(-1, DIMENSIONS)
     return vectors, train(x, np.array([r[1] for r in got]))
 
 
