@@ -1,46 +1,50 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A text is its set of distinct shingles as 64-bit hashes; texts with equal sets are one class, so copies never pair up.
-All classes order their shingles by one order: estimated document frequency, rarest first, then hash. Frequencies are
-counts of all documents' shingles in a fixed number of hashed cells. Two sets with Jaccard similarity t or more share at
+A text is its set of distinct shingles as 64-bit hashes; texts with equal sets (by a 128-bit digest) are one class, so
+copies never pair up. All classes order their shingles by one order: estimated frequency, rarest first, then hash.
+Frequencies are counts of all documents' shingles in hashed cells, as many as the corpus asks for up to MOST_CELLS, added
+up in two rounds of as many tasks as there are rows of cells. Two sets with Jaccard similarity t or more share at
 least m of the first n - ceil(t * n) + m shingles of each, for any m. Each class picks its own m: a longer prefix costs
 its postings, and asking for m shared shingles leaves fewer candidates to verify; the m with the least estimated cost
 is taken. A pair has to share min(m, m') shingles of the prefixes for that number.
 
 Links are only needed as far as they join classes, so no group of near copies is expanded into all its pairs. First each
-class is verified against one member of its posting lists, the hub that most of them have in common. Then only lists with members in different
+class is verified against one member of its posting lists, the hub that most of them have in common. Then lists are cut
+by the sets' sizes, as sets that link are in the same or the next step of sizes, and only those with members in different
 components are left. Short ones give their cross-component pairs, of which those with enough shared shingles are
-verified; long ones are cut into blocks, and each pair of blocks is verified in one task that emits no more than one link
-for each member. All pairs with enough similarity in different components are met in one of these ways, so components
+verified; long ones, of equal lists but one, are cut into blocks, and each pair of blocks is verified in one task that
+emits no more than one link for each member. All pairs with enough similarity in different components are met in one of these ways, so components
 are exact. Components come from repeated minimum labels with shortcuts, as tables; none is collected.
 
 Defined cases: null or wordless text: no shingles, linked with nothing, component its own id; fewer words than a shingle:
 the whole sequence is the one shingle; rows that repeat, with one id or several, are one class; a null id stays null and
-does not lend its class an id unless all are null. Shingles and classes are told apart by 64-bit hashes.
+does not lend its class an id unless all are null. Shingles are told apart by 64-bit hashes, classes by 128 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import append_columns, bound_batches, settle, utf8
+from .base import append_columns, bound_batches, release, settle, utf8
 
-#: Hashed cells for document frequencies, and rows that one task's cells are sent in.
-CELLS, CELL_ROWS = 1 << 18, 64
+#: Hashed cells for frequencies, at least and at most (powers of 2), bytes of input for one, cells in a row that is sent,
+#: and tasks among which the first round of adding up splits a row.
+LEAST_CELLS, MOST_CELLS, CELL_BYTES, ROW_CELLS, ROUNDS = 1 << 16, 1 << 20, 128, 1 << 12, 64
 #: Largest m of a prefix; members up to which a list gives pairs; shingles in a block of a longer one.
-MOST_SHARED, SHORT, BLOCK_SHINGLES = 4, 32, 1 << 21
+MOST_SHARED, SHORT, BLOCK_SHINGLES = 8, 32, 1 << 20
 #: Members of a hub in one task; rows of pairs or ids up to which they are broadcast (24 bytes each), beyond which they
 #: are joined by a shuffle.
 MEMBERS, FEW = 2000, 400_000
 #: Costs of a posting and of verifying a pair; partners that a shingle has by chance.
 POSTING, VERIFY, CHANCE = 0.5, 8.0, 0.5
-_FACTORIAL = [1, 1, 2, 6, 24]
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -74,8 +78,8 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return _mixed(np.add.reduceat(ink, first) + lengths.astype(np.uint64))
 
 
-def shingles(raw: bytes, width: int) -> np.ndarray:
-    """Distinct shingle hashes of a text, ascending."""
+def all_shingles(raw: bytes, width: int) -> np.ndarray:
+    """Shingle hashes of a text, repeats too."""
     words = word_hashes(raw)
     if not words.size:
         return words
@@ -84,11 +88,16 @@ def shingles(raw: bytes, width: int) -> np.ndarray:
     out = np.zeros(words.size - width + 1, np.uint64)
     for k in range(width):
         out = _mixed(out * np.uint64(31) + words[k : k + len(out)])
-    return np.unique(_mixed(out + np.uint64(width)))
+    return _mixed(out + np.uint64(width))
+
+
+def shingles(raw: bytes, width: int) -> np.ndarray:
+    """Distinct shingle hashes of a text, ascending."""
+    return np.unique(all_shingles(raw, width))
 
 
-def class_of(own: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
+def digest_of(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -96,8 +105,18 @@ def least_shared(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def ordered(own: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return own[np.lexsort((own, cells[(own & np.uint64(CELLS - 1)).astype(np.int64)]))]
+def cell_of(own: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """How often the cell of each shingle was met."""
+    return cells[(own & np.uint64(len(cells) - 1)).astype(np.int64)]
+
+
+def rarest(own: np.ndarray, cells: np.ndarray, k: int) -> np.ndarray:
+    """The first k of own in the common order: by cell, then by hash."""
+    met = cell_of(own, cells)
+    if k < len(own):
+        near = met <= np.partition(met, k - 1)[k - 1]
+        own, met = own[near], met[near]
+    return own[np.lexsort((own, met))][:k]
 
 
 def adaptive_prefix(own: np.ndarray, cells: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int, int]:
@@ -105,10 +124,9 @@ def adaptive_prefix(own: np.ndarray, cells: np.ndarray, noise: float, percent: i
     postings and of candidates, which fall with the factorial of m as shared shingles are mostly by chance."""
     n = len(own)
     base = n - least_shared(n, percent) + 1
-    in_order = ordered(own, cells)[: base + MOST_SHARED - 1]
-    partners = np.maximum(CHANCE, cells[(in_order & np.uint64(CELLS - 1)).astype(np.int64)] - noise)
-    total = np.cumsum(partners)
-    costs = [POSTING * (base + m - 1) + VERIFY * total[base + m - 2] / _FACTORIAL[m] for m in range(1, MOST_SHARED + 1) if base + m - 1 <= n]
+    in_order = rarest(own, cells, base + MOST_SHARED - 1)
+    total = np.cumsum(np.maximum(CHANCE, cell_of(in_order, cells) - noise))
+    costs = [POSTING * (base + m - 1) + VERIFY * total[base + m - 2] / math.factorial(m) for m in range(1, MOST_SHARED + 1) if base + m - 1 <= n]
     m = int(np.argmin(costs)) + 1
     return in_order[: base + m - 1], base, m
 
@@ -120,37 +138,52 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def cell_count(docs: DataFrame) -> int:
+    """Cells for a corpus, by the optimizer's estimate of its bytes. Any number gives the same result."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // CELL_BYTES).bit_length()))
+
+
 def frequency_cells(docs: DataFrame, width: int) -> np.ndarray:
-    """Documents that have a shingle in each cell, over all documents. A task sends one number for each cell."""
+    """How often shingles of each cell stand in all documents. A task sends one number for each cell, in as few bytes as
+    they take; rows of cells are added up in two rounds, first of some tasks' each, then of all."""
+    n = cell_count(docs)
+    rows = n // ROW_CELLS
+
+    def sent(keys: list, parts: list, sums: list[np.ndarray]) -> pa.RecordBatch:
+        small = [x.astype(np.min_scalar_type(int(x.max()))) for x in sums]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(parts, pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())], names=["row", "part", "counts"])
+
+    def read(raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, np.dtype(f"u{len(raw) // ROW_CELLS}")).astype(np.int64)
 
     def run(batches):
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(n, np.int64)
         for b in batches:
-            found = [shingles(raw, width) for raw in utf8(b.column(0))]
-            cells += np.bincount((np.concatenate(found or [np.empty(0, np.uint64)]) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        rows = cells.astype(np.int32).reshape(CELL_ROWS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CELL_ROWS), pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["row", "counts"])
+            found = [all_shingles(raw, width) for raw in utf8(b.column(0))]
+            cells += np.bincount((np.concatenate(found or [np.empty(0, np.uint64)]) & np.uint64(n - 1)).astype(np.int64), minlength=n)
+        yield sent(list(range(rows)), [TaskContext.get().partitionId() % ROUNDS] * rows, list(cells.reshape(rows, -1)))
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(x, np.int32).astype(np.int64)
-                sums[k] = sums[k] + own if k in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["row", "counts"])
-
-    kind = "row int, counts binary"
-    out = np.zeros((CELL_ROWS, CELLS // CELL_ROWS), np.int64)
-    for r in docs.select("text").mapInArrow(run, kind).repartition(8, "row").mapInArrow(add, kind).toLocalIterator():
-        out[r["row"]] += np.frombuffer(r["counts"], np.int64)
+            for k, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                sums[k] = sums[k] + read(x) if k in sums else read(x)
+        if sums:
+            yield sent(list(sums), [0] * len(sums), list(sums.values()))
+
+    kind = "row int, part int, counts binary"
+    out = np.zeros((rows, ROW_CELLS), np.int64)
+    for r in docs.select("text").mapInArrow(run, kind).repartition("row", "part").mapInArrow(add, kind).repartition("row").mapInArrow(add, kind).toLocalIterator():
+        out[r["row"]] += read(r["counts"])
     return out.ravel()
 
 
-_SIGNED = [T.StructField("n", T.IntegerType()), T.StructField("class", T.LongType()), T.StructField("base", T.IntegerType()), T.StructField("m", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+_SIGNED = [T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("base", T.IntegerType()), T.StructField("m", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
 
 
 def signatures(docs: DataFrame, cells: np.ndarray, width: int, percent: int) -> DataFrame:
-    """id, n, class, base, m, prefix of each row of id, text."""
+    """id, row (a number of its own), n, digest, base, m, prefix of each row of id, text."""
     shipped = docs.sparkSession.sparkContext.broadcast(cells)
     noise = float(np.median(cells)) + 2 * float(np.median(cells)) ** 0.5
 
@@ -163,14 +196,14 @@ def signatures(docs: DataFrame, cells: np.ndarray, width: int, percent: int) ->
                 own = shingles(raw, width)
                 if len(own):
                     prefix, base, m = adaptive_prefix(own, cells, noise, percent)
-                    rows.append((len(own), class_of(own), base, m, prefix.view(np.int64)))
+                    rows.append((len(own), digest_of(own), base, m, prefix.view(np.int64)))
                 else:
-                    rows.append((0, 0, 0, 0, np.empty(0, np.int64)))
+                    rows.append((0, b"", 0, 0, np.empty(0, np.int64)))
             return [[r[k] for r in rows] for k in range(5)]
 
         return compute
 
-    return append_columns(docs, _SIGNED, make).drop("text")
+    return append_columns(docs.withColumn("row", F.monotonically_increasing_id()), _SIGNED, make).drop("text")
 
 
 def _pair_rows(batch: pa.RecordBatch, width: int, percent: int) -> list[bool]:
@@ -202,25 +235,26 @@ def components(links: DataFrame) -> DataFrame:
     """class and component (least class that links reach) for each class that has a link. Each round every class takes
     the least label of its neighbours and of the class its label names, until none changes."""
     edges = settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "class")
-    labels = settle(labels, "labels")
+    first = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("class"), "label", F.lit(True).alias("moved"))
+    held = settle(first, "labels")
     while True:
+        labels = held.select("class", "label")
         near = edges.join(labels, edges["b"] == labels["class"]).groupBy(edges["a"].alias("class")).agg(F.min("label").alias("near"))
         named = labels.select(F.col("class").alias("label"), F.col("label").alias("far"))
         after = labels.join(near, "class").join(named, "label", "left").select("class", F.least("label", "near", "far").alias("label"), (F.least("label", "near", "far") < F.col("label")).alias("moved"))
-        after = settle(after, "labels")
-        moved = after.where("moved").limit(1).count()
-        labels = after.select("class", "label")
-        if not moved:
-            return labels.withColumnRenamed("label", "component")
+        before, held = held, settle(after, "labels")
+        release(before)
+        if not held.where("moved").limit(1).count():
+            release(edges)
+            return held.select("class", F.col("label").alias("component"))
 
 
 def _spanning(batches, width: int, percent: int):
     """For each block pair of a posting list: verify its cross-component pairs, and emit a link for each union made.
     Members of the largest component are only met by the others."""
     for _, rows in _groups(batches):
-        classes, comps, sides = (np.array(x) for x in zip(*[r[:3] for r in rows], strict=True))
-        sets = [shingles(r[3], width) for r in rows]
+        classes, comps, sides, guests = (np.array(x) for x in zip(*[r[:4] for r in rows], strict=True))
+        sets = [shingles(r[4], width) for r in rows]
         size = np.array([len(x) for x in sets])
         tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
         order = np.argsort(tokens, kind="stable")
@@ -244,6 +278,8 @@ def _spanning(batches, width: int, percent: int):
             fits = (100 * shared >= percent * (size[i] + size - shared)) & (comps != comps[i])
             if two_sides:
                 fits &= sides != sides[i]
+            if guests[i]:  # two sets of the step of sizes below meet there
+                fits &= guests == 0
             for j in np.flatnonzero(fits):
                 x, y = root(int(comps[i])), root(int(comps[j]))
                 if x != y:
@@ -253,59 +289,95 @@ def _spanning(batches, width: int, percent: int):
 
 
 def _groups(batches):
-    """Rows of one (token, x, y) at a time from sorted batches."""
+    """Rows of one (token, step, x, y) at a time from sorted batches."""
     held, rows = None, []
     for b in batches:
-        columns = [b.column(n).to_pylist() for n in ("token", "x", "y", "class", "component", "side")] + [utf8(b.column("text"))]
-        for token, x, y, *row in zip(*columns, strict=True):
-            if (token, x, y) != held:
+        columns = [b.column(n).to_pylist() for n in (*_LIST, "x", "y", "class", "component", "side", "guest")] + [utf8(b.column("text"))]
+        for token, step, x, y, *row in zip(*columns, strict=True):
+            if (token, step, x, y) != held:
                 if rows:
                     yield held, rows
-                held, rows = (token, x, y), []
+                held, rows = (token, step, x, y), []
             rows.append(row)
     if rows:
         yield held, rows
 
 
+#: What a list is known by once lists are cut by sizes.
+_LIST = ("token", "step")
+
+
+def _cut_by_size(located: DataFrame, percent: int) -> DataFrame:
+    """Rows of located in the lists of their step of sizes and, as guests, of the next; with members (of the list) for
+    lists that have some in different components. Sets that link differ by a step at most, so they meet in the list of
+    the larger one's step, and not both are guests there."""
+    width = math.log(100 / percent) + 1e-9
+    own = F.floor(F.log(F.col("n").cast("double")) / width)
+    cut = located.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("step", own + F.col("guest"))
+    apart = cut.groupBy(*_LIST).agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("guest").alias("hosts")).where("low <> high and hosts = 0")
+    return cut.join(apart.select(*_LIST, "members"), [*_LIST])
+
+
+def _different(long: DataFrame) -> DataFrame:
+    """Of lists with the same members all but one go: shingles of one passage often share all their documents."""
+    member = F.xxhash64("class", "guest"), F.xxhash64("guest", "class")
+    lists = long.groupBy(*_LIST).agg(F.count("*").alias("n"), *[F.bit_xor(x).alias(f"of{k}") for k, x in enumerate(member)])
+    kept = lists.groupBy("n", "of0", "of1").agg(F.min(F.struct(*_LIST)).alias("l")).select("l.*")
+    return long.join(kept, [*_LIST], "left_semi")
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work that its bytes do not show: stated, so that adaptive execution does not put them together."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of long lists, dealt by pairs of blocks: token, x, y (the pair), class, component, side, text. A block has
-    about BLOCK_SHINGLES shingles; a list of k blocks has each member k times."""
-    sizes = members.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("k"))
-    own = members.join(sizes, "token").withColumn("u", F.pmod(F.xxhash64("class"), F.col("k").cast("long")).cast("int"))
-    dealt = own.select("token", "class", "component", "u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("v"))
-    keyed = dealt.select("token", F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"), "class", "component", (F.col("u") > F.col("v")).cast("int").alias("side"))
-    return keyed.join(texts, "class").repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").select("token", "x", "y", "class", "component", "side", "text")
+    """Rows of long lists, dealt by pairs of blocks: token, step, x, y (the pair), class, component, side, guest, text. A
+    block has about BLOCK_SHINGLES shingles; a list of k blocks has each member k times."""
+    sizes = members.groupBy(*_LIST).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("k"))
+    own = members.join(sizes, [*_LIST]).withColumn("u", F.pmod(F.xxhash64("class"), F.col("k").cast("long")).cast("int"))
+    dealt = own.select(*_LIST, "class", "component", "guest", "u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("v"))
+    at = [*_LIST, "x", "y"]
+    keyed = dealt.select(*_LIST, F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"), "class", "component", (F.col("u") > F.col("v")).cast("int").alias("side"), "guest")
+    return keyed.join(texts, "class").repartition(_tasks(texts), *at).sortWithinPartitions(*at).select(*at, "class", "component", "side", "guest", "text")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col, n_shingles and component_id (least id that links reach, its own included) for each row of docs."""
     bound_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    cells = frequency_cells(own, width)
-    signed = settle(signatures(own, cells, width, percent), "signatures")
-    classes = signed.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.first(F.struct("n", "base", "m", "prefix")).alias("s")).select("class", "least", "s.*")
-    # A shingle's level is the least m whose prefix has it.
-    postings = classes.select("class", "least", "n", "m", "base", F.posexplode("prefix").alias("place", "token"))
-    postings = postings.select("class", "least", "n", "m", "token", F.greatest(F.lit(1), F.col("place") - F.col("base") + 2).alias("level"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    shared = settle(postings.join(lists, "token"), "shared")
+    signed = settle(signatures(own, frequency_cells(own, width), width, percent), "signatures")
+    grouped = signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("id").alias("least"))
+    classes = settle(grouped, "classes")
+    rows = signed.where("n > 0").select(F.col("row").alias("class"), "n", "base", "m", "prefix").join(classes.select("class"), "class", "left_semi")
+    # Postings are two numbers; what else is known of a class comes back to those of shared shingles. A shingle's level
+    # is the least m whose prefix has it.
+    postings = rows.select("class", F.explode("prefix").alias("token"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
+    met = postings.join(lists, "token").groupBy("class").agg(F.collect_list("token").alias("tokens"))
+    known = rows.join(met, "class").join(classes.select("class", "least", "digest"), "class")
+    met = known.select("class", "least", "digest", "n", "m", "base", "prefix", F.explode("tokens").alias("token"))
+    shared = settle(met.select("class", "n", "m", "token", F.greatest(F.lit(1), F.array_position("prefix", F.col("token")).cast("int") - F.col("base") + 1).alias("level")), "shared")
     stars = settle(_star_hubs(shared, percent), "stars")
-    texts = _texts(own, shared, stars.select("class").union(stars.select("hub")), width)
+    texts = _texts(own, classes, stars.select("class").union(stars.select("hub")), width)
     links = settle(_stars(texts.join(F.broadcast(stars) if stars.count() <= FEW else stars, "class", "left"), width, percent), "links")
+    release(stars, texts)
     first = components(links)
-    located = shared.join(first, "class", "left").select("class", "least", "n", "m", "token", "level", F.coalesce("component", "class").alias("component"))
-    apart = located.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "members")
-    left = settle(located.join(apart, "token"), "apart")
+    located = shared.join(first, "class", "left").select("class", "n", "m", "token", "level", F.coalesce("component", "class").alias("component"))
+    left = settle(_cut_by_size(located, percent), "apart")
+    release(shared)
     pairs = settle(_cross_pairs(left.where(F.col("members") <= SHORT), percent), "pairs")
-    long = left.where(F.col("members") > SHORT)
-    texts = _texts(own, shared, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(long.select("class")), width)
+    long = settle(_different(left.where(F.col("members") > SHORT)), "long")
+    release(left)
+    texts = _texts(own, classes, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(long.select("class")), width)
     more = verified(pairs, texts, width, percent)
     dense = _blocks(long, texts).mapInArrow(lambda batches: _spanning(batches, width, percent), "a long, b long")
     joined = components(links.union(settle(more.union(dense), "links")))
-    by_class = classes.select("class", "least").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    release(pairs, long, texts)
+    by_class = classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = by_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = by_class.join(least, "component").select("class", "component_id")
-    full = signed.where("n > 0").join(named, "class").select("id", "n", "component_id")
+    named = by_class.join(least, "component").select("digest", "component_id")
+    full = signed.where("n > 0").join(named, "digest").select("id", "n", "component_id")
     empty = signed.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return full.union(empty).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
@@ -323,16 +395,19 @@ def _star_hubs(shared: DataFrame, percent: int) -> DataFrame:
     return counted.groupBy("class").agg(F.max(F.struct("lists", "hub")).alias("h")).select("class", "h.hub")
 
 
-def _texts(own: DataFrame, shared: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """class and text of the classes: each has the text of its least id's row."""
-    wanted = settle(shared.select("class", "least").distinct().join(classes.select("class").distinct(), "class", "left_semi"), "wanted")
+def _texts(own: DataFrame, classes: DataFrame, some: DataFrame, width: int) -> DataFrame:
+    """class and text of some classes: each has the text of its least id's row."""
+    wanted = settle(classes.join(some.select("class").distinct(), "class", "left_semi"), "wanted")
     n = wanted.count()
-    found = own.join(F.broadcast(wanted) if n <= FEW else wanted.hint("shuffle_hash"), own["id"].eqNullSafe(wanted["least"])).select("class", "text")
-    checked = append_columns(found, [T.StructField("own", T.LongType())], lambda: lambda b: [[class_of(shingles(x, width)) for x in utf8(b.column("text"))]])
-    texts = settle(checked.where("own = class").select("class", "text"), "texts")
+    found = own.join(F.broadcast(wanted) if n <= FEW else wanted, own["id"].eqNullSafe(wanted["least"])).select("class", "digest", "text")
+    checked = append_columns(found, [T.StructField("own", T.BinaryType())], lambda: lambda b: [[digest_of(shingles(x, width)) for x in utf8(b.column("text"))]])
+    texts = settle(checked.where("own = digest").select("class", "text"), "texts")
+    release(wanted)
     if texts.count() == n:
         return texts
-    return settle(texts.dropDuplicates(["class"]), "texts")  # ids that several rows share
+    once = settle(texts.dropDuplicates(["class"]), "texts")  # ids that several rows share
+    release(texts)
+    return once
 
 
 def _stars(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -344,7 +419,7 @@ def _stars(texts: DataFrame, width: int, percent: int) -> DataFrame:
     part = F.pmod(F.xxhash64("class"), F.col("parts").cast("long")).cast("int")
     rows = texts.join(members, "hub").select("hub", part.alias("part"), F.lit(1).alias("kind"), "class", "text")
     heads = texts.select("class", "text").join(members, F.col("class") == F.col("hub")).select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "class", "text")
-    dealt = rows.unionByName(heads).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    dealt = rows.unionByName(heads).repartition(_tasks(texts), "hub", "part").sortWithinPartitions("hub", "part", "kind")
 
     def run(batches):
         held, key = None, None
@@ -363,7 +438,7 @@ def _stars(texts: DataFrame, width: int, percent: int) -> DataFrame:
 def _cross_pairs(short: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components that share as many shingles of their prefixes as the smaller m of the two asks for.
     A pair that shares one of a long list as well is met there, so here the short lists' count is all that counts."""
-    one, two = (short.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "m", "level", "component")]) for s in "ab")
+    one, two = (short.select(*_LIST, *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "m", "level", "component", "guest")]) for s in "ab")
     asked = F.least("m_a", "m_b")
-    cross = one.join(two, "token").where((F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & _fitting("n_a", "n_b", percent) & (F.greatest("level_a", "level_b") <= asked))
+    cross = one.join(two, [*_LIST]).where((F.col("class_a") < F.col("class_b")) & (F.col("guest_a") + F.col("guest_b") < 2) & (F.col("component_a") != F.col("component_b")) & _fitting("n_a", "n_b", percent) & (F.greatest("level_a", "level_b") <= asked))
     return cross.groupBy("class_a", "class_b").agg(F.count("*").alias("shared"), F.max(asked).alias("asked")).where("shared >= asked").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
