@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from weftlog.llm import chat, decontam, linededup, media, mixing, ngramjoin, quality, queries, secrets, tokens, urls
 
@@ -201,43 +202,32 @@ def test_matroska_forms():
 
 
 def brute_dedup(rows):
-    h = lambda s: xxhash.xxh64(s.encode(), seed=42).intdigest()
-    words = lambda s: s.count(" ") + 1
-
-    def chunks(text):
-        lines = text.split("\n")
-        out, at = [], 0
-        for i in range(len(lines)):
-            roll = 0
-            for k in range(linededup.WINDOW):
-                roll = roll * 31 + ((h(lines[i - k]) & 0xFFFFFF) if i >= k else 0)
-            if i == len(lines) - 1 or words(lines[i]) >= linededup.LONG or words(lines[i + 1]) >= linededup.LONG or roll % linededup.DIVISOR == 0:
-                out.append("\n".join(lines[at : i + 1]))
-                at = i + 1
-        return out
-
-    places = {}
+    """Every line a chunk: of the shortest runs of neighbouring repeated lines with 20 words, from each line on and up to
+    each, all but the first go."""
+    words = lambda s: len(WORDS.findall(s))
+    low = lambda ident: (ident is not None, ident)
+    places, split = {}, {}
     for ident, text in rows:
-        for k, p in enumerate(chunks(text or "")):
-            if p:
-                places.setdefault(p, set()).add((ident if ident is not None else -(1 << 63), k))
-    out = []
-    for ident, text in rows:
-        if text is None:
-            out.append(None)
-            continue
-        own = chunks(text)
-        hit = [bool(p) and len(places[p]) > 1 and (ident if ident is not None else -(1 << 63), k) != min(places[p]) for k, p in enumerate(own)]
-        gone, i = set(), 0
-        while i < len(own):
-            j = i
-            while j < len(own) and hit[j]:
-                j += 1
-            if j > i and sum(words(x) for p in own[i:j] for x in p.split("\n")) >= linededup.LEAST:
-                gone |= set(range(i, j))
-            i = max(j, i + 1)
-        out.append("\n".join(p for k, p in enumerate(own) if k not in gone))
-    return out
+        split[ident, text] = [(k, p) for k, p in enumerate((text or "").split("\n")) if words(p)]
+        for k, p in split[ident, text]:
+            places.setdefault(p, set()).add((low(ident), k))
+    runs = {}
+    for (ident, text), own in split.items():
+        for i in range(len(own)):
+            for step in (1, -1):
+                j, n = i, 0
+                while 0 <= j < len(own) and len(places[own[j][1]]) > 1 and n < 20:
+                    n += words(own[j][1])
+                    j += step
+                if n >= 20:
+                    a, b = min(i, j - step), max(i, j - step)
+                    runs.setdefault(tuple(p for _, p in own[a : b + 1]), set()).add((low(ident), own[a][0], own[b][0], ident, text))
+    gone = {}
+    for found in runs.values():
+        first = min(found, key=lambda x: x[:2])[:2]
+        for _, a, b, ident, text in (x for x in found if x[:2] != first):
+            gone.setdefault((ident, text), set()).update(range(a, b + 1))
+    return [None if t is None else "\n".join(p for k, p in enumerate(t.split("\n")) if k not in gone.get((i, t), ())) for i, t in rows]
 
 
 def test_line_dedup(spark):
@@ -263,6 +253,36 @@ def test_line_dedup(spark):
     assert got[len(texts) - 3]["emptied"] and got[len(texts) - 3]["text"] == "" and not got[0]["emptied"] and not got[1]["emptied"]
     assert sum(single in (r["text"] or "") for r in got.values()) == 1
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+    named = [(None if i is None else f"id {i:03}", t) for i, t in rows]
+    left = linededup.dedup_lines(spark.createDataFrame(named, "doc_id string, text string"))
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == {i: t for (i, _), t in zip(named, brute_dedup(named), strict=True)}
+
+
+def test_line_dedup_by_shuffle_and_salt(spark, monkeypatch):
+    """What is broadcast below a size gives the same beyond it, and hot chunks that are salted the same as others."""
+    rows = [(i, f"own line number {i}\n" + "\n".join(f"shared {k} " + "word " * 12 for k in range(i % 4))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("FEW_DOCS", 0), ("HOT_PLACES", 7)):
+        monkeypatch.setattr(linededup, name, value)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
+    assert [got[i] for i, _ in rows] == brute_dedup(rows)
+
+
+def test_rolling_boundaries(spark):
+    """With a divisor, chunks are what the rolling hash over line hashes says, and do not move with what stands before."""
+    rng = random.Random(66)
+    h = lambda s: xxhash.xxh64(s.encode(), seed=42).intdigest() & 0xFFFFFF
+    lines = [f"line {rng.randrange(10**6)}" for _ in range(200)]
+    texts = ["\n".join(lines), "\n".join(["new first", *lines]), None, ""]
+    chunks = docs_of(spark, texts).select("doc_id", linededup.chunk_texts(F.col("text"), 2, 5).alias("c"))
+    got = {r["doc_id"]: r["c"] for r in chunks.collect()}
+    want, held = [], []
+    for i, x in enumerate(lines):
+        held.append(x)
+        if i == len(lines) - 1 or (h(x) * 31 + (h(lines[i - 1]) if i else 0)) % 5 == 0:
+            want.append("\n".join(held))
+            held = []
+    assert got[0] == want and got[1][2:] == want[len(want) - len(got[1]) + 2 :] and got[2] is None and got[3] == [""]
 
 
 def test_line_dedup_takes_whole_passages(spark):

@@ -1,8 +1,8 @@
 """Line dedup over content-defined chunks, in DataFrame functions alone.
 
 A document is its lines. A chunk ends after a line where a rolling hash over the hashes of that line and the ones before
-it hits a residue; by default every line ends one, as with fewer boundaries a passage of few lines has no whole chunk
-between two of them. Chunks are grouped by hash and bytes over the whole corpus, and chunks of one text share a digest.
+it hits a residue, and nothing else ends one. By default every hash hits (DIVISOR is 1), as with fewer boundaries a
+passage of few lines often has no whole chunk between two of them (the README has the share found by divisor). Chunks are grouped by hash and bytes over the whole corpus, and chunks of one text share a digest.
 
 What goes is a run of neighbouring chunks, LEAST words long, that stands elsewhere before as a whole: from each chunk on,
 and up to each chunk, the shortest run with so many words is looked up by its chunks' digests. These runs overlap, so
@@ -11,9 +11,11 @@ documents share, such as a licence line, stay. Of the places of a run the first
 Blank chunks are passed over; those inside a run go with it.
 
 Grouping is by partial aggregation, so a chunk that stands in a third of all documents is one row from each task. Only
-places come back to the documents, and runs are made of repeated chunks only.
+places come back to the documents, and runs are made of repeated chunks only. The places of the HOT most frequent chunks
+are salted where they meet their group, so none of them is one task's.
 
-Defined cases: null text stays null, empty text empty; rows that share an id are one document, whose places are no
+Defined cases: null text stays null, empty text empty; ids are of any type that has an order (numbers by size, strings by
+code points); rows that share an id are one document, whose places are no
 repeats of each other; a null id is one id, the least; a line break at the end of a text is a last empty line; copies
 that overlap each other (a short line repeated many times) count as copies; documents of which nothing is left get empty
 text (see dedup_lines' emptied); no rows give no rows. Output columns replace those of their names.
@@ -21,14 +23,20 @@ text (see dedup_lines' emptied); no rows give no rows. Output columns replace th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import let, settle
+from .base import let, release, settle
 
-#: Lines in the rolling window, average lines between hits, words of a line that is a chunk of its own, words that a
-#: repeated run has to have.
-WINDOW, DIVISOR, LONG, LEAST = 1, 1, 20, 20
+#: Lines in the rolling window, average lines between hits, words that a repeated run has to have.
+WINDOW, DIVISOR, LEAST = 2, 1, 20
+#: Most frequent chunks that are salted, and places of one in a task.
+HOT, HOT_PLACES = 1000, 50_000
+#: Chunks to remove, and documents that have some, up to which they are broadcast to the documents (under 32 MB).
+FEW_CHUNKS, FEW_DOCS = 2_000_000, 200_000
 _LOW = 0xFFFFFF
 #: Chunks that a document has room for where its id and a chunk's number are one number.
 PLACES = 1_000_000_000
@@ -52,53 +60,61 @@ def rolling(hashes: Column, i: Column, window: int) -> Column:
     return total
 
 
-def chunk_texts(text: Column, window: int, divisor: int, long: int) -> Column:
+def chunk_texts(text: Column, window: int, divisor: int) -> Column:
     """The text of each chunk, in order; null of null."""
     if divisor == 1:  # every hash hits
         return F.split(text, "\n", -1)
 
-    def ends_chunk(lines: Column, facts: Column, i: Column) -> Column:
-        last = i == F.size(lines) - 1
-        beside = F.element_at(facts["long"], i + 1) | F.element_at(facts["long"], F.least(i + 2, F.size(lines)))
-        return last | beside | (F.pmod(rolling(facts["hash"], i, window), F.lit(divisor)) == 0)
-
     def piece(lines: Column, ends: Column, end: Column, k: Column) -> Column:
         start = F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(k, F.lit(1))) + 1)
         return F.array_join(F.slice(lines, start + 1, end - start + 1), "\n")
 
     def of(lines: Column) -> Column:
-        facts = F.struct(F.transform(lines, lambda x: F.xxhash64(x)).alias("hash"), F.transform(lines, lambda x: word_count(x) >= long).alias("long"))
-        ends = let(facts, lambda known: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ends_chunk(lines, known, i)))
+        hashes = F.transform(lines, lambda x: F.xxhash64(x))
+        hits = lambda known, i: (i == F.size(lines) - 1) | (F.pmod(rolling(known, i, window), F.lit(divisor)) == 0)
+        ends = let(hashes, lambda known: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: hits(known, i)))
         return let(ends, lambda ends: F.transform(ends, lambda end, k: piece(lines, ends, end, k)))
 
     return F.when(text.isNotNull(), let(F.split(text, "\n", -1), of))
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, divisor: int = DIVISOR, long: int = LONG, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
     """docs with the text that stays in text_col, n_lines, n_removed (lines) and emptied (had words, and none is left)."""
     new = ("n_lines", "n_removed", "emptied")
     source = docs.select(*[c for c in docs.columns if c not in new or c in (id_col, text_col)])
-    own = source.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    pieces = F.filter(F.transform(chunk_texts(F.col("_text"), window, divisor, long), lambda p, k: F.struct(k.alias("k"), p.alias("piece"))), lambda c: c["piece"].rlike(_WORD))
+    own = source.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    place = _place(isinstance(docs.schema[id_col].dataType, T.IntegralType))
+    pieces = F.filter(F.transform(chunk_texts(F.col("_text"), window, divisor), lambda p, k: F.struct(k.alias("k"), p.alias("piece"))), lambda c: c["piece"].rlike(_WORD))
     chunks = own.select("_id", "_key", F.posexplode(pieces).alias("o", "c")).select("_id", "_key", "o", "c.k", "c.piece").withColumn("hash", F.xxhash64("piece"))
-    groups = chunks.withColumn("place", _place(F.col("k"))).groupBy("hash", "piece").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
-    groups = settle(groups.select("hash", F.sha2("piece", 256).alias("sha"), word_count(F.col("piece")).alias("words"), "first"), "chunks")
-    mark = F.struct("o", "k", "words", "sha", (_place(F.col("k")) != F.col("first")).alias("hit"))
-    marks = chunks.select("_id", "_key", "o", "k", "hash", F.sha2("piece", 256).alias("sha")).join(groups, ["hash", "sha"])
+    groups = chunks.withColumn("place", place(F.col("k"))).groupBy("hash", "piece").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    groups = settle(groups.select("hash", F.sha2("piece", 256).alias("sha"), word_count(F.col("piece")).alias("words"), "first", "n"), "chunks")
+    hot = F.broadcast(groups.orderBy(F.desc("n"), "sha").limit(HOT).groupBy("hash").agg(F.ceil(F.max("n") / HOT_PLACES).cast("int").alias("parts")).where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = groups.join(hot, "hash", "left").select("hash", "sha", "words", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    placed = chunks.select("_id", "_key", "o", "k", "hash", F.sha2("piece", 256).alias("sha")).join(hot, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("_id", "k"), parts.cast("long")).cast("int")).drop("parts")
+    mark = F.struct("o", "k", "words", "sha", (place(F.col("k")) != F.col("first")).alias("hit"))
+    marks = placed.join(dealt, ["hash", "sha", "salt"])
     marks = settle(marks.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(mark)).alias("marks")), "marks")
-    runs = marks.select("_id", "_key", F.explode(_runs(F.col("marks"), least)).alias("r")).select("_id", "_key", "r.*").withColumn("place", _place(F.col("a")))
+    release(groups)
+    runs = marks.select("_id", "_key", F.explode(_runs(F.col("marks"), least)).alias("r")).select("_id", "_key", "r.*").withColumn("place", place(F.col("a")))
     first = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").drop("n")
     again = runs.join(first, "run").where("place <> first").select("_id", "_key", F.sequence("a", "b").alias("ks"))
     alone = F.transform(F.filter("marks", lambda m: m["hit"] & (m["words"] >= least)), lambda m: m["k"])
     gone = again.unionByName(marks.select("_id", "_key", alone.alias("ks")).where(F.size("ks") > 0))
-    marks = gone.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list("ks"))).alias("marks"))
+    gone = settle(gone.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list("ks"))).alias("marks")), "gone")
+    release(marks)
+    size = gone.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("marks")), F.lit(0)).alias("chunks")).first()
+    few = size["docs"] <= FEW_DOCS and size["chunks"] <= FEW_CHUNKS
     keyed = source.withColumn("_key", F.xxhash64(text_col))
-    both = keyed.join(marks.hint("shuffle_hash"), keyed[id_col].cast("long").eqNullSafe(marks["_id"]) & (keyed["_key"] == marks["_key"]), "left").select(keyed["*"], marks["marks"])
-    return _without_runs(both, text_col, window, divisor, long).select(*[c for c in source.columns], *new)
+    both = keyed.join(F.broadcast(gone) if few else gone, keyed[id_col].eqNullSafe(gone["_id"]) & (keyed["_key"] == gone["_key"]), "left").select(keyed["*"], gone["marks"])
+    return _without_runs(both, text_col, window, divisor).select(*[c for c in source.columns], *new)
 
 
-def _place(k: Column) -> Column:
-    return (F.coalesce("_id", F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(PLACES) + k).cast("decimal(38,0)")
+def _place(integral: bool) -> Callable[[Column], Column]:
+    """Where a chunk with number k is: a number for ids that are whole numbers, which aggregates in place, else a struct."""
+    if not integral:
+        return lambda k: F.struct(F.col("_id"), k.alias("k"))
+    return lambda k: (F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(PLACES) + k).cast("decimal(38,0)")
 
 
 def _runs(marks: Column, least: int) -> Column:
@@ -129,10 +145,10 @@ def _runs(marks: Column, least: int) -> Column:
     return F.array_distinct(F.filter(every, lambda r: r.isNotNull()))
 
 
-def _without_runs(both: DataFrame, text_col: str, window: int, divisor: int, long: int) -> DataFrame:
+def _without_runs(both: DataFrame, text_col: str, window: int, divisor: int) -> DataFrame:
     """Take out the marked chunks; texts without marks pass as they are."""
     text, marks = F.col(text_col), F.col("marks")
-    done = let(chunk_texts(text, window, divisor, long), lambda own: let(marks, lambda gone: _parted(own, gone)))
+    done = let(chunk_texts(text, window, divisor), lambda own: let(marks, lambda gone: _parted(own, gone)))
     own = both.withColumn("_done", F.when(marks.isNotNull(), done))
     lines = F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(breaks(text) + 1).cast("long")
     own = own.withColumn("n_lines", lines).withColumn("n_removed", F.coalesce("_done.lost", F.lit(0)).cast("long"))
