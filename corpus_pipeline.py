@@ -14,6 +14,8 @@ from weftlog.llm.base import settle, table
 
 #: Score from which a document is kept by the quality stage.
 KEEP_FROM = 0.5
+#: Ids of near duplicates up to which they are broadcast (16 MB), beyond which they are joined by a shuffle.
+FEW_IDS = 1_000_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document, that with the least id, of each group of near duplicates. Ids are taken to be unique: repeated rows of
     one id stay together, in line dedup too, and rows with a null id stay."""
     groups = ngramjoin.jaccard_components(docs)
-    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others.hint("shuffle_hash"), docs["doc_id"] == others["_other"], "left_anti").select(*docs.columns)
+    others = settle(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct(), "others")
+    few = others.count() <= FEW_IDS
+    return docs.join(F.broadcast(others) if few else others, docs["doc_id"] == others["_other"], "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
