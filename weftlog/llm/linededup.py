@@ -12,7 +12,7 @@ Blank chunks are passed over; those inside a run go with it.
 
 Grouping is by partial aggregation, so a chunk that stands in a third of all documents is one row from each task. Only
 places come back to the documents, and runs are made of repeated chunks only. The places of the HOT most frequent chunks
-are salted where they meet their group, so none of them is one task's.
+and runs are salted where they meet their group, so none of them is one task's.
 
 Defined cases: null text stays null, empty text empty; ids are of any type that has an order (numbers by size, strings by
 code points); rows that share an id are one document, whose places are no
@@ -33,8 +33,8 @@ from .base import let, release, settle
 
 #: Lines in the rolling window, average lines between hits, words that a repeated run has to have.
 WINDOW, DIVISOR, LEAST = 2, 1, 20
-#: Most frequent chunks that are salted, and places of one in a task.
-HOT, HOT_PLACES = 1000, 50_000
+#: Most frequent chunks (and runs) that are salted, and places of one for a salt; there are no more salts than tasks.
+HOT, HOT_PLACES = 1000, 500
 #: Chunks to remove, and documents that have some, up to which they are broadcast to the documents (under 32 MB).
 FEW_CHUNKS, FEW_DOCS = 2_000_000, 200_000
 _LOW = 0xFFFFFF
@@ -88,21 +88,17 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     chunks = own.select("_id", "_key", F.posexplode(pieces).alias("o", "c")).select("_id", "_key", "o", "c.k", "c.piece").withColumn("hash", F.xxhash64("piece"))
     groups = chunks.withColumn("place", place(F.col("k"))).groupBy("hash", "piece").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
     groups = settle(groups.select("hash", F.sha2("piece", 256).alias("sha"), word_count(F.col("piece")).alias("words"), "first", "n"), "chunks")
-    hot = F.broadcast(groups.orderBy(F.desc("n"), "sha").limit(HOT).groupBy("hash").agg(F.ceil(F.max("n") / HOT_PLACES).cast("int").alias("parts")).where("parts > 1"))
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = groups.join(hot, "hash", "left").select("hash", "sha", "words", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-    placed = chunks.select("_id", "_key", "o", "k", "hash", F.sha2("piece", 256).alias("sha")).join(hot, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("_id", "k"), parts.cast("long")).cast("int")).drop("parts")
+    placed = chunks.select("_id", "_key", "o", "k", "hash", F.sha2("piece", 256).alias("sha"))
     mark = F.struct("o", "k", "words", "sha", (place(F.col("k")) != F.col("first")).alias("hit"))
-    marks = placed.join(dealt, ["hash", "sha", "salt"])
-    marks = settle(marks.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(mark)).alias("marks")), "marks")
+    marks = settle(_met(placed, groups, ["hash", "sha"], "k").groupBy("_id", "_key").agg(F.array_sort(F.collect_set(mark)).alias("marks")), "marks")
     release(groups)
     runs = marks.select("_id", "_key", F.explode(_runs(F.col("marks"), least)).alias("r")).select("_id", "_key", "r.*").withColumn("place", place(F.col("a")))
-    first = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").drop("n")
-    again = runs.join(first, "run").where("place <> first").select("_id", "_key", F.sequence("a", "b").alias("ks"))
+    first = settle(runs.groupBy("run").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1"), "runs")
+    again = _met(runs, first, ["run"], "a").where("place <> first").select("_id", "_key", F.sequence("a", "b").alias("ks"))
     alone = F.transform(F.filter("marks", lambda m: m["hit"] & (m["words"] >= least)), lambda m: m["k"])
     gone = again.unionByName(marks.select("_id", "_key", alone.alias("ks")).where(F.size("ks") > 0))
     gone = settle(gone.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list("ks"))).alias("marks")), "gone")
-    release(marks)
+    release(marks, first)
     size = gone.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("marks")), F.lit(0)).alias("chunks")).first()
     few = size["docs"] <= FEW_DOCS and size["chunks"] <= FEW_CHUNKS
     keyed = source.withColumn("_key", F.xxhash64(text_col))
@@ -110,6 +106,17 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return _without_runs(both, text_col, window, divisor).select(*[c for c in source.columns], *new)
 
 
+def _met(rows: DataFrame, groups: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """rows and what groups (n: their rows) says of them: a join on keys, where the rows of the most frequent groups are
+    dealt over several tasks by _id and spread."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = groups.orderBy(F.desc("n"), *keys).limit(HOT).select(*keys, F.least(F.ceil(F.col("n") / HOT_PLACES), F.lit(most)).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = groups.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts", "n")
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64("_id", spread), parts.cast("long")).cast("int")).drop("parts")
+    return salted.join(dealt, [*keys, "salt"]).drop("salt")
+
+
 def _place(integral: bool) -> Callable[[Column], Column]:
     """Where a chunk with number k is: a number for ids that are whole numbers, which aggregates in place, else a struct."""
     if not integral:
