@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..log import Log
@@ -62,8 +62,30 @@ def _after(arc: Arc, a: str, b: str):
     return F.col(b) < F.col(a) if arc.arrow in ("EP", "DP") else F.lit(True)
 
 
+def _each(log: Log, arc: Arc) -> DataFrame:
+    """s, ob_id, at, targets, earliest: for each source event and object of it, how many targets of that object answer it
+    and when the earliest does. An object's sources and targets pass once, in the order of time: no source meets all
+    targets of its object."""
+    keyed = lambda activity, side: related(log, activity, arc.object_type).select("ob_id", F.col("ev_id").alias("s"), F.unix_micros("ev_time").alias("at"), F.lit(side).alias("side"))
+    both = keyed(arc.source, 0).union(keyed(arc.target, 1))
+    by = Window.partitionBy("ob_id")
+    back, on = by.orderBy(-F.col("at")), by.orderBy("at")
+    ahead = back.rangeBetween(Window.unboundedPreceding, -1) if arc.arrow in ("EF", "DF") else on.rangeBetween(Window.unboundedPreceding, -1) if arc.arrow in ("EP", "DP") else by
+    hit, own = F.when(F.col("side") == 1, F.col("at")), F.lit(0)
+    if arc.arrow == "AS" and arc.source == arc.target:  # an event does not answer itself
+        own = F.lit(1)
+    found = both.withColumn("targets", F.count(hit).over(ahead) - own).withColumn("earliest", F.min(hit).over(ahead))
+    if arc.arrow == "AS" and arc.source == arc.target:
+        after = F.min(hit).over(back.rangeBetween(Window.unboundedPreceding, -1))
+        twins = F.count(hit).over(Window.partitionBy("ob_id", "at"))
+        found = found.withColumn("earliest", F.when((F.col("earliest") == F.col("at")) & (twins == 1), after).otherwise(F.col("earliest")))
+    return found.where("side = 0").select("s", "ob_id", "at", "targets", "earliest")
+
+
 def obligations(log: Log, arc: Arc) -> DataFrame:
     """ev_id, ob_id (each only), targets: for each source event, or each object of it, how many targets answer it."""
+    if arc.how == "each" and arc.arrow not in ("DF", "DP"):
+        return _each(log, arc).select(F.col("s").alias("ev_id"), "ob_id", "targets")
     source = related(log, arc.source, arc.object_type).select(F.col("ev_id").alias("s"), F.col("ev_time").alias("t"), "ob_id")
     target = related(log, arc.target, arc.object_type).select(F.col("ev_id").alias("x"), F.col("ev_time").alias("u"), "ob_id")
     if arc.arrow in ("DF", "DP"):  # the nearest events of the object, of any activity
@@ -73,7 +95,7 @@ def obligations(log: Log, arc: Arc) -> DataFrame:
         pairs = source.join(near, ["s", "ob_id"]).join(target, ["ob_id", "u"])
     else:
         pairs = source.join(target, "ob_id").where(_after(arc, "t", "u") & (F.col("s") != F.col("x")))
-    if arc.how == "each":
+    if arc.how == "each":  # only with DF and DP, see below
         n = pairs.groupBy("s", "ob_id").agg(F.count_distinct("x").alias("targets"))
         return source.select("s", "ob_id").join(n, ["s", "ob_id"], "left").select(F.col("s").alias("ev_id"), "ob_id", F.coalesce("targets", F.lit(0)).alias("targets"))
     if arc.how == "all":  # a target has to have every object of the source event
@@ -96,6 +118,8 @@ def conformance(log: Log, arc: Arc) -> DataFrame:
 
 def edge_durations(log: Log, arc: Arc) -> DataFrame:
     """s, ms: for each source event (each: and object) the time to the earliest target that answers it."""
+    if arc.how == "each":
+        return _each(log, arc).where("earliest is not null").select("s", ((F.col("earliest") - F.col("at")) / 1000).cast("bigint").alias("ms"))
     source = related(log, arc.source, arc.object_type).select(F.col("ev_id").alias("s"), F.col("ev_time").alias("t"), "ob_id")
     target = related(log, arc.target, arc.object_type).select(F.col("ev_id").alias("x"), F.col("ev_time").alias("u"), "ob_id")
     pairs = source.join(target, "ob_id").where(_after(arc, "t", "u") & (F.col("s") != F.col("x")))

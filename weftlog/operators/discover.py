@@ -9,7 +9,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..log import Log
@@ -145,19 +145,28 @@ def count_constraints(log: Log, kind: str, name: str, coverage: float = 0.9, onl
 
 
 def _events_of(log: Log, object_type: str, only: DataFrame | None) -> DataFrame:
-    own = log.e2o.where(F.col("ob_type") == object_type).select("ob_id", "ev_id", "ev_type", "ev_time").distinct()
+    own = log.e2o.where(F.col("ob_type") == object_type).select("ob_id", "ev_id", "ev_type", "ev_time")
+    own = own if log.single_pairs else own.distinct()
     return own if only is None else own.join(only.select(F.col("id").alias("ob_id")), "ob_id", "left_semi")
 
 
 def delays(log: Log, object_type: str, only: DataFrame | None = None) -> DataFrame:
     """first, then, ev_id, ob_id, seconds: for each event of an object (only: of those with such an id) the least delay to
-    each type of its other events."""
-    own = _events_of(log, object_type, only)
-    a = own.select("ob_id", F.col("ev_id").alias("a"), F.col("ev_type").alias("first"), F.col("ev_time").alias("t"))
-    b = own.select("ob_id", F.col("ev_id").alias("b"), F.col("ev_type").alias("then"), F.col("ev_time").alias("u"))
-    pairs = a.join(b, "ob_id").where((F.col("a") != F.col("b")) & (F.col("u") >= F.col("t")))
-    gap = F.floor((F.unix_micros("u") - F.unix_micros("t")) / 1000) / 1000
-    return pairs.groupBy("first", "then", "ob_id", F.col("a").alias("ev_id")).agg(F.min(gap).alias("seconds"))
+    each type of its other events. An object's events are gone through once, from the last to the first, with the nearest
+    time of each type so far: no event meets all others of its object."""
+    own = _events_of(log, object_type, only).withColumn("at", F.unix_micros("ev_time"))
+    types = sorted(r["ev_type"] for r in log.e2o.where(F.col("ob_type") == object_type).select("ev_type").distinct().toLocalIterator())
+    back = Window.partitionBy("ob_id").orderBy(-F.col("at"))
+    from_now, later = back.rangeBetween(Window.unboundedPreceding, 0), back.rangeBetween(Window.unboundedPreceding, -1)
+    twins = F.count("*").over(Window.partitionBy("ob_id", "at", "ev_type"))
+    when = [F.when(F.col("ev_type") == x, F.col("at")) for x in types]
+    nearest = own.withColumn("twins", twins).withColumns({f"from{k}": F.min(c).over(from_now) for k, c in enumerate(when)} | {f"later{k}": F.min(c).over(later) for k, c in enumerate(when)})
+    own_type = [(F.col("ev_type") == x) & (F.col("twins") == 1) for x in types]
+    rows = F.array(*[F.struct(F.lit(x).alias("then"), F.when(own_type[k], F.col(f"later{k}")).otherwise(F.col(f"from{k}")).alias("next")) for k, x in enumerate(types)])
+    if not types:
+        return own.select(F.col("ev_type").alias("first"), F.lit("").alias("then"), "ob_id", "ev_id", F.lit(0.0).alias("seconds")).limit(0)
+    found = nearest.select(F.col("ev_type").alias("first"), "ob_id", "ev_id", "at", F.explode(rows).alias("n")).where("n.next is not null")
+    return found.select("first", "n.then", "ob_id", "ev_id", (F.floor((F.col("n.next") - F.col("at")) / 1000) / 1000).alias("seconds"))
 
 
 def follow_constraints(log: Log, object_type: str, coverage: float = 0.9, only: DataFrame | None = None) -> list[FollowConstraint]:

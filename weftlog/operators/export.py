@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zipfile
 from dataclasses import dataclass, field
+from functools import reduce
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -23,19 +24,33 @@ class TableOptions:
     format: str = "CSV"
 
 
+def _names_seen(log: Log, r) -> dict[str, list[str]]:
+    """The attributes that the elements bound to each variable have."""
+    parts = []
+    for v in r.visible:
+        ident, attrs = ("ev_id", log.event_attrs) if v.kind == EVENT else ("ob_id", log.object_attrs)
+        parts.append(attrs.join(r.full.select(F.col(v.name).alias(ident)), ident, "left_semi").select(F.lit(v.name).alias("variable"), "name"))
+    out: dict[str, list[str]] = {}
+    for x in reduce(DataFrame.union, parts).distinct().toLocalIterator() if parts else ():
+        out.setdefault(x["variable"], []).append(x["name"])
+    return {k: sorted(names) for k, names in out.items()}
+
+
 def wide_table(log: Log, result: EvalResult, node: int = 0, options: TableOptions | None = None) -> DataFrame:
     """For objects, then events: the id and a column for each attribute seen (by name): an object's earliest value, an
-    event's first; then labels, then Satisfied. The attributes seen are names of the log's schema."""
+    event's first; then labels, then Satisfied. The attributes seen are names of the log's schema: one job over the
+    bindings finds them, which are kept in the session's cache for it and for the table."""
     options = options or TableOptions()
     r = result.evaluation.results[node]
-    df = r.full
+    df = r.full = r.full.persist()
     out = []
+    seen = _names_seen(log, r)
     for v in sorted(r.visible, key=lambda v: (v.kind == EVENT, v)):
         ident = "ev_id" if v.kind == EVENT else "ob_id"
         attrs = log.event_attrs if v.kind == EVENT else log.object_attrs
         ids = df.select(F.col(v.name).alias(ident)).distinct()
         own = attrs.join(ids, ident, "left_semi")
-        names = sorted(x["name"] for x in own.select("name").distinct().toLocalIterator())
+        names = seen.get(v.name, [])
         order = F.col("seq") if v.kind == EVENT else F.struct("time", "seq")
         if options.include_ids:
             out.append(F.col(v.name).alias(v.name))

@@ -157,6 +157,34 @@ class Report:
     success: bool = True
     errors: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    log: Log | None = None
+
+    def totals(self) -> DataFrame:
+        """kind (event or object), type_name and n of what was extracted."""
+        return self.log.events.select(F.lit("event").alias("kind"), F.col("ev_type").alias("type_name")).union(self.log.objects.select(F.lit("object"), "ob_type")).groupBy("kind", "type_name").agg(F.count("*").alias("n"))
+
+    def summary(self) -> dict:
+        """The report with total_events, total_objects, event_types and object_types: one job over the log."""
+        rows = self.totals().collect()  # a row for each type
+        own = {k: {r["type_name"]: r["n"] for r in rows if r["kind"] == k} for k in ("event", "object")}
+        return {"success": self.success, "total_events": sum(own["event"].values()), "total_objects": sum(own["object"].values()), "event_types": sorted(own["event"]), "object_types": sorted(own["object"]), "errors": self.errors, "warnings": self.warnings}
+
+
+def numbered(df: DataFrame, prefix: Column) -> DataFrame:
+    """df with _id: the prefix, a digest of the row and, of equal rows after the first, a number. Equal rows are counted,
+    with partial aggregation, and given out again, so no order of rows is needed and none of them is lost."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+    counted = df.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    digest = F.concat(F.hex(F.xxhash64(*names)), F.hex(F.xxhash64(F.lit(1), *reversed(names))))
+    nth = F.when(F.col("_nth") > 0, F.concat(F.lit("-"), F.col("_nth").cast("string"))).otherwise(F.lit(""))
+    return counted.withColumn("_id", F.concat(prefix, digest, nth)).drop("_n", "_nth")
+
+
+def identified(df: DataFrame, given: Column | None, prefix: Column) -> DataFrame:
+    """df with _id: what is given or, where that is null, an id of the row's own."""
+    if given is None:
+        return numbered(df, prefix)
+    return df.where(given.isNotNull()).withColumn("_id", given).unionByName(numbered(df.where(given.isNull()), prefix))
 
 
 _OBJECTS, _EVENTS = "ob_id string, ob_type string", "ev_id string, ev_type string, ev_time timestamp"
@@ -192,7 +220,7 @@ class Extraction:
     def _object(self, df: DataFrame, u: dict, source: str) -> None:
         kind = value(u["object_type"])
         ident = _qualified(kind, value(u["object_id"]), bool(u.get("prefix_id_with_type")))
-        self.objects.append(df.select(ident.alias("ob_id"), kind.alias("ob_type")))
+        self._add_objects(df.select(ident.alias("ob_id"), kind.alias("ob_type")))
         attrs = u.get("attributes")
         if not attrs:
             return
@@ -204,8 +232,12 @@ class Extraction:
         own = df.select(ident.alias("ob_id"), kind.alias("ob_type"), at.alias("time"), F.explode(rows).alias("a"))
         self.object_attrs.append(own.select("ob_id", "ob_type", "a.name", "time", F.lit(0).alias("seq"), tagged("string", F.col("a.v")).alias("v")).where("name is not null and v.s is not null and time is not null and ob_id is not null"))
 
-    def _add_event(self, df: DataFrame, kind: Column, at: Column, ident: Column, attributes: list[dict], refs: list[dict]) -> None:
-        own = df.select("*", ident.alias("_id"), kind.alias("_kind"), at.alias("_at")).where("_id is not null and _kind is not null and _at is not null")
+    def _add_objects(self, df: DataFrame) -> None:
+        """ob_id and ob_type, with their place among all that name objects."""
+        self.objects.append(df.withColumn("place", F.lit(len(self.objects))))
+
+    def _add_event(self, df: DataFrame, kind: Column, at: Column, attributes: list[dict], refs: list[dict]) -> None:
+        own = df.select("*", kind.alias("_kind"), at.alias("_at")).where("_id is not null and _kind is not null and _at is not null")
         self.events.append(own.select(F.col("_id").alias("ev_id"), F.col("_kind").alias("ev_type"), F.col("_at").alias("ev_time")))
         if attributes:
             rows = F.array(*[F.struct(F.lit(m["attribute"]).alias("name"), text(m["column"]).alias("v")) for m in attributes])
@@ -217,21 +249,27 @@ class Extraction:
             ids = own.select("_id", (kind_col if kind_col is not None else F.lit(None).cast("string")).alias("ob_type"), F.explode(split_values(value(r["object_id"]), r.get("multi_value"))).alias("ob_id"), F.coalesce(value(r.get("qualifier")), F.lit("")).alias("qualifier"))
             ids = ids.withColumn("ob_id", _qualified(F.col("ob_type"), F.col("ob_id"), prefix))
             if kind_col is not None:
-                self.objects.append(ids.select("ob_id", "ob_type").where("ob_type is not null"))
+                self._add_objects(ids.select("ob_id", "ob_type").where("ob_type is not null"))
             self.links.append(("e2o", ids.select(F.col("_id").alias("a"), F.col("ob_id").alias("b"), "qualifier"), None))
 
     def _event(self, df: DataFrame, u: dict, source: str) -> None:
-        ident = value(u["id"]) if u.get("id") else F.concat(F.lit(f"{source}-"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
-        self._add_event(df, value(u["event_type"]), time_of(u["timestamp"], df), ident, u.get("attributes") or [], u.get("inline_objects") or [])
+        own = identified(df, value(u["id"]) if u.get("id") else None, F.lit(f"{source}-"))
+        self._add_event(own, value(u["event_type"]), time_of(u["timestamp"], own), u.get("attributes") or [], u.get("inline_objects") or [])
 
     def _change_table(self, df: DataFrame, u: dict, source: str) -> None:
-        """The first rule that fits gives a row's event."""
-        kind, ident = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for rule in reversed(u["rules"]):
-            fits = condition(rule["condition"])
-            own = value(rule["id"]) if rule.get("id") else F.concat(F.lit(f"{source}_{rule['event_type']}_"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
-            kind, ident = F.when(fits, F.lit(rule["event_type"])).otherwise(kind), F.when(fits, own).otherwise(ident)
-        self._add_event(df, kind, time_of(u["timestamp"], df), ident, u.get("attributes") or [], u.get("inline_objects") or [])
+        """The first rule that fits gives a row's event; a rule with a bad pattern is reported, and the others stay."""
+        rules = []
+        for rule in u["rules"]:
+            try:
+                rules.append((condition(rule["condition"]), rule))
+            except re.error as e:
+                self.report.errors.append(f"{source}: rule '{rule['event_type']}': {e}")
+        nothing = F.lit(None).cast("string")
+        kind, ident = nothing, nothing
+        for fits, rule in reversed(rules):
+            kind, ident = F.when(fits, F.lit(rule["event_type"])).otherwise(kind), F.when(fits, value(rule.get("id"))).otherwise(ident)
+        own = identified(df.where(kind.isNotNull()), ident if any(rule.get("id") for _, rule in rules) else None, F.concat(F.lit(f"{source}_"), kind, F.lit("_")))
+        self._add_event(own, kind, time_of(u["timestamp"], own), u.get("attributes") or [], u.get("inline_objects") or [])
 
     def _relation(self, df: DataFrame, u: dict, relation: str, left: str, right: str) -> None:
         own = df.select(F.explode(split_values(value(u[left]), u.get(f"{left}_multi_value"))).alias("a"), "*").select("a", F.explode(split_values(value(u[right]), u.get(f"{right}_multi_value"))).alias("b"), F.coalesce(value(u.get("qualifier")), F.lit("")).alias("qualifier"))
@@ -244,10 +282,12 @@ class Extraction:
         self._relation(df, u, "o2o", "source_id", "target_id")
 
     def log(self) -> Log:
-        """The tables: the first of elements with equal type and id stays; relations need both ends."""
+        """The tables. Of objects with one id the first type stays, in the order of usages, then by name; of events with
+        one id the earliest, then the first type by name. Relations need both ends."""
         empty = Log.empty(self.spark)
         union = lambda parts, none: reduce(DataFrame.unionByName, parts) if parts else none
-        objects = union(self.objects, empty.objects).where("ob_id is not null and ob_type is not null").dropDuplicates(["ob_id"])
+        objects = union(self.objects, empty.objects.withColumn("place", F.lit(0))).where("ob_id is not null and ob_type is not null")
+        objects = objects.groupBy("ob_id").agg(F.min(F.struct("place", "ob_type")).alias("o")).select("ob_id", "o.ob_type")
         events = union(self.events, empty.events).groupBy("ev_id").agg(F.min(F.struct("ev_time", "ev_type")).alias("e")).select("ev_id", "e.ev_type", "e.ev_time")
         pairs = {n: union([d for k, d, _ in self.links if k == n], self.spark.createDataFrame([], "a string, b string, qualifier string")).distinct() for n in ("e2o", "o2o")}
         e2o = pairs["e2o"].join(events, F.col("a") == F.col("ev_id")).join(objects, F.col("b") == F.col("ob_id")).select("ev_id", "ev_type", "ev_time", "ob_id", "ob_type", "qualifier")
@@ -260,4 +300,5 @@ class Extraction:
 
 def extract(spark: SparkSession, blueprint: dict, sources: dict[str, DataFrame], strict: bool = False) -> tuple[Log, Report]:
     e = Extraction(spark, blueprint, sources, strict)
-    return e.log(), e.report
+    e.report.log = e.log()
+    return e.report.log, e.report

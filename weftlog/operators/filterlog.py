@@ -16,12 +16,15 @@ INCLUDED, EXCLUDED = "INCLUDED", "EXCLUDED"
 
 def filter_log(log: Log, tree: Tree | dict | str, result: EvalResult | None = None) -> Log:
     """The part of a log that a tree's labels ask for, over all bindings, satisfied or not. If no variable is included
-    anywhere, all of the log is, with its relations; else only what is labelled, so relations need labels of their own."""
+    anywhere, all of the log is, with its relations; else only what is labelled, so relations need labels of their own.
+    A node's bindings are kept in the session's cache (in memory, then on disk), as every label reads them."""
     result = result or evaluate(tree, log)
     tree = result.tree
     marked: dict[tuple[str, str], list[DataFrame]] = {}
     for i, node in enumerate(tree.nodes):
         full = result.evaluation.results[i].full
+        if sum(x in (INCLUDED, EXCLUDED) for x in [*node.box.event_labels.values(), *node.box.object_labels.values(), *[f.get("filterLabel") for f in node.box.filters]]) > 1:
+            full = full.persist()
         labelled = [(event(k), x) for k, x in node.box.event_labels.items()] + [(obj(k), x) for k, x in node.box.object_labels.items()]
         for v, label in labelled:
             if label in (INCLUDED, EXCLUDED) and v.name in full.columns:
@@ -31,7 +34,7 @@ def filter_log(log: Log, tree: Tree | dict | str, result: EvalResult | None = No
             if f["type"] in ("O2E", "O2O") and label in (INCLUDED, EXCLUDED):
                 a, b = (event(f["event"]), obj(f["object"])) if f["type"] == "O2E" else (obj(f["object"]), obj(f["other_object"]))
                 marked.setdefault((f["type"], label), []).append(full.select(F.col(a.name).alias("a"), F.col(b.name).alias("b"), F.lit(f.get("qualifier")).cast("string").alias("q")))
-    sets = {k: reduce(DataFrame.union, v).distinct() for k, v in marked.items()}
+    sets = {k: reduce(DataFrame.union, v) for k, v in marked.items()}
     everything = not any(label == INCLUDED and kind in ("Event", "Object") for kind, label in sets)
 
     def elements(df: DataFrame, key: str, kind: str) -> DataFrame:
@@ -43,9 +46,10 @@ def filter_log(log: Log, tree: Tree | dict | str, result: EvalResult | None = No
 
     events, objects = elements(log.events, "ev_id", "Event"), elements(log.objects, "ob_id", "Object")
 
-    def relations(df: DataFrame, left: DataFrame, keys: tuple[str, str], ends: tuple[str, str], kind: str) -> DataFrame:
+    def relations(df: DataFrame, first: str, keys: tuple[str, str], kind: str) -> DataFrame:
+        """Both ends of a log's relations are in the log, so what the labels say of ends decides."""
         a, b = keys
-        df = df.join(left.select(F.col(ends[0]).alias(a)), a, "left_semi").join(objects.select(F.col("ob_id").alias(b)), b, "left_semi")
+        df = elements(elements(df, a, first), b, "Object")
 
         def meets(marks: DataFrame, how: str, rows: DataFrame) -> DataFrame:
             return rows.join(marks, (rows[a] == marks["a"]) & (rows[b] == marks["b"]) & (marks["q"].isNull() | (marks["q"] == rows["qualifier"])), how)
@@ -54,7 +58,7 @@ def filter_log(log: Log, tree: Tree | dict | str, result: EvalResult | None = No
             df = meets(sets[(kind, INCLUDED)], "left_semi", df) if (kind, INCLUDED) in sets else df.where(F.lit(False))
         return meets(sets[(kind, EXCLUDED)], "left_anti", df) if (kind, EXCLUDED) in sets else df
 
-    e2o = relations(log.e2o, events, ("ev_id", "ob_id"), ("ev_id", "ob_id"), "O2E")
-    o2o = relations(log.o2o, objects, ("src_id", "tgt_id"), ("ob_id", "ob_id"), "O2O")
+    e2o = relations(log.e2o, "Event", ("ev_id", "ob_id"), "O2E")
+    o2o = relations(log.o2o, "Object", ("src_id", "tgt_id"), "O2O")
     used = events.select(F.lit("event").alias("kind"), F.col("ev_type").alias("type_name")).union(objects.select(F.lit("object"), "ob_type")).distinct()
     return Log(events, objects, log.event_attrs.join(events.select("ev_id"), "ev_id", "left_semi"), log.object_attrs.join(objects.select("ob_id"), "ob_id", "left_semi"), e2o.select(*log.e2o.columns), o2o.select(*log.o2o.columns), log.types.join(used, ["kind", "type_name"], "left_semi").select(*log.types.columns), log.single_pairs, log.single_event_attrs)

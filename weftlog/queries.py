@@ -142,11 +142,11 @@ plain("bind_o2o_reversed", tree(box(objects={0: ["nation"], 1: ["customer", "sup
 plain("bind_multi_type", tree(box({0: ["click", "view", "purchase"]}, {0: ["user", "customer"]}, [o2e(0, 0)])), " SELECT DISTINCT ev_id AS e1, ob_id AS o1 FROM e2o WHERE ev_type IN ('click', 'view', 'purchase')")
 
 _PAIR = {"events": {0: ["place order"], 1: ["ship item"]}, "objects": {0: ["order"]}}
-_PAIR_SQL = " SELECT a.ev_id AS e1, b.ev_id AS e2, a.ob_id AS o1 FROM e2o a JOIN e2o b ON a.ob_id = b.ob_id WHERE a.ev_type = 'place order' AND b.ev_type = 'ship item' AND a.ob_type = 'order' AND epoch_us(b.ev_time) - epoch_us(a.ev_time) "
+_PAIR_SQL = " SELECT 'po-' || o_orderkey AS e1, id AS e2, 'o-' || o_orderkey AS o1 FROM orders JOIN li ON l_orderkey = o_orderkey WHERE epoch_us(CAST(l_shipdate AS TIMESTAMP)) - epoch_us(CAST(o_orderdate AS TIMESTAMP)) "
 plain("filter_tbe_closed", tree(box(**_PAIR, filters=[o2e(0, 0), o2e(0, 1), between(0, 1, 0, 30 * DAY)])), _PAIR_SQL + "BETWEEN 0 AND 2592000000000")
 plain("filter_tbe_open", tree(box(**_PAIR, filters=[o2e(0, 0), o2e(0, 1), between(0, 1, 100 * DAY, None)])), _PAIR_SQL + ">= 8640000000000")
 plain("filter_tbe_negative", tree(box(**_PAIR, filters=[o2e(0, 0), o2e(0, 1), between(0, 1, None, -1)])), _PAIR_SQL + "<= -1000000")
-plain("filter_not_equal", tree(box({0: ["ship item"], 1: ["ship item"]}, {0: ["order"]}, [o2e(0, 0), o2e(0, 1), {"type": "NotEqual", "var_1": {"Event": 0}, "var_2": {"Event": 1}}])), " SELECT a.ev_id AS e1, b.ev_id AS e2, a.ob_id AS o1 FROM e2o a JOIN e2o b ON a.ob_id = b.ob_id AND a.ev_id <> b.ev_id WHERE a.ev_type = 'ship item' AND b.ev_type = 'ship item' AND a.ob_type = 'order'")
+plain("filter_not_equal", tree(box({0: ["ship item"], 1: ["ship item"]}, {0: ["order"]}, [o2e(0, 0), o2e(0, 1), {"type": "NotEqual", "var_1": {"Event": 0}, "var_2": {"Event": 1}}])), " SELECT a.id AS e1, b.id AS e2, 'o-' || a.l_orderkey AS o1 FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey WHERE a.id <> b.id")
 plain("filter_event_id", tree(box({0: ["place order"]}, filters=[ev_attr(0, "ocel:id", {"type": "String", "is_in": ["po-1", "po-2", "po-77"]})])), " SELECT ev_id AS e1 FROM ev WHERE ev_id IN ('po-1', 'po-2', 'po-77')")
 plain("filter_event_time", tree(box({0: ["place order", "ship item"]}, filters=[ev_attr(0, "ocel:time", {"type": "Time", "from": "1995-01-01T00:00:00Z", "to": "1995-06-30T00:00:00Z"})])), " SELECT ev_id AS e1 FROM ev WHERE ev_type IN ('place order', 'ship item') AND ev_time BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-06-30'")
 plain("filter_event_attr_float", tree(box({0: ["place order"]}, filters=[ev_attr(0, "total", number("Float", 100000.0, 200000.0))])), " SELECT 'po-' || o_orderkey AS e1 FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000")
@@ -169,10 +169,9 @@ n AS (SELECT r.e1, r.o1, count(k.e2) AS n FROM root r LEFT JOIN kids k USING (e1
 tagged_rows("child_count", tree(box(**_PLACE, constraints=[sized(childs("A", 1, 2))], children=[1]), _SHIP, edges={(0, 1): "A"}), _SHIP_N + " SELECT e1, o1, CASE WHEN n BETWEEN 1 AND 2 THEN NULL ELSE 0 END AS violation FROM n")
 plain("child_count_rows", tree(box(**_PLACE, sizes=[childs("A", 2, None)], children=[1]), _SHIP, edges={(0, 1): "A"}), _SHIP_N + " SELECT k.e1, k.e2, k.o1 FROM kids k JOIN n USING (e1, o1) WHERE n >= 2", node=1)
 plain("child_count_proj", tree(box(objects={0: ["order"]}, sizes=[{"type": "NumChildsProj", "child_name": "A", "var_name": {"Object": 1}, "min": 3, "max": None}], children=[1]), box({0: ["ship item"]}, {1: ["supplier"]}, [o2e(0, 0), o2e(1, 0)]), edges={(0, 1): "A"}), " SELECT 'o-' || l_orderkey AS o1 FROM li GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) >= 3")
-_A = box({0: ["error"]}, filters=[o2e(0, 0)])
-_B = box({0: ["signup", "error"]}, filters=[o2e(0, 0)])
-_SETS = ", c AS (SELECT ob_id, string_agg(ev_id, ',' ORDER BY ev_id) FILTER (ev_type = 'error') AS a, string_agg(ev_id, ',' ORDER BY ev_id) FILTER (ev_type IN ('signup', 'error')) AS b FROM e2o WHERE ob_type = 'user' GROUP BY ob_id)"
-plain("child_set_equal", tree(box(objects={0: ["user"]}, sizes=[{"type": "BindingSetEqual", "child_names": ["A", "B"]}], children=[1, 2]), _A, _B, edges={(0, 1): "A", (0, 2): "B"}), _SETS + " SELECT ob_id AS o1 FROM c WHERE a IS NOT DISTINCT FROM b")
+_A = box({0: ["ship item"]}, filters=[o2e(0, 0), ev_attr(0, "quantity", number("Float", 3.0, None))])
+_B = box({0: ["ship item"]}, filters=[o2e(0, 0)])
+plain("child_set_equal", tree(box(objects={0: ["order"]}, sizes=[{"type": "BindingSetEqual", "child_names": ["A", "B"]}], children=[1, 2]), _A, _B, edges={(0, 1): "A", (0, 2): "B"}), " SELECT 'o-' || o_orderkey AS o1 FROM orders LEFT JOIN li ON l_orderkey = o_orderkey GROUP BY o_orderkey HAVING count(*) FILTER (l_quantity < 3) = 0")
 plain("child_proj_set_equal", tree(box(objects={0: ["order"]}, sizes=[{"type": "BindingSetProjectionEqual", "child_name_with_var_name": [["A", {"Object": 1}], ["B", {"Object": 2}]]}], children=[1, 2]), box({0: ["ship item"]}, {1: ["supplier"]}, [o2e(0, 0), o2e(1, 0)]), box({1: ["ship item"]}, {2: ["supplier"]}, [o2e(0, 1), o2e(2, 1), ev_attr(1, "quantity", number("Float", 10.0, None))]), edges={(0, 1): "A", (0, 2): "B"}), """, g AS (SELECT o_orderkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS a, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) FILTER (l_quantity >= 10) AS b FROM orders LEFT JOIN li ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT 'o-' || o_orderkey AS o1 FROM g WHERE a IS NOT DISTINCT FROM b""")
 
@@ -251,12 +250,18 @@ s AS (SELECT a.ob_id, a.ev_id, (SELECT min(ev_time) FROM e WHERE e.ob_id = a.ob_
 n AS (SELECT s.ob_id, s.ev_id, count(b.ev_id) AS n FROM s LEFT JOIN e b ON b.ob_id = s.ob_id AND b.ev_time = s.nxt AND b.ev_type = 'click' GROUP BY 1, 2)
 SELECT count(*) AS obligations, count(*) FILTER (n > 0) AS satisfied, count(*) FILTER (n > 0) / count(*) AS fraction FROM n""")(lambda log: declare.conformance(log, declare.Arc("view", "click", "DF", "each", "user")))
 query("declare_edge_durations", " SELECT a.ev_id AS s, CAST(trunc((epoch_us(min(b.ev_time)) - epoch_us(a.ev_time)) / 1000) AS BIGINT) AS ms FROM e2o a JOIN e2o b ON a.ob_id = b.ob_id AND b.ev_type = 'ship item' AND b.ev_time > a.ev_time WHERE a.ev_type = 'place order' AND a.ob_type = 'order' GROUP BY a.ev_id, a.ob_id, a.ev_time")(lambda log: declare.edge_durations(log, _ARC))
-query("declare_duration_histogram")(lambda log: declare.histogram(declare.edge_durations(log, _ARC), "ms"))
+query("declare_duration_histogram", """, d AS (SELECT CAST(trunc((epoch_us(min(b.ev_time)) - epoch_us(a.ev_time)) / 1000) AS BIGINT) AS ms FROM e2o a JOIN e2o b ON a.ob_id = b.ob_id AND b.ev_type = 'ship item' AND b.ev_time > a.ev_time WHERE a.ev_type = 'place order' AND a.ob_type = 'order' GROUP BY a.ev_id, a.ob_id, a.ev_time),
+r AS (SELECT min(ms) AS lo, (max(ms) - min(ms)) / 25 AS raw FROM d), p AS (SELECT lo, raw, pow(10, floor(log10(raw))) AS p FROM r),
+w AS (SELECT lo, p * CASE WHEN raw / p < 1.5 THEN 1 WHEN raw / p < 3 THEN 2 WHEN raw / p < 7 THEN 5 ELSE 10 END AS width FROM p), s AS (SELECT width, floor(lo / width) * width AS start FROM w)
+SELECT CAST(floor((ms - start) / width) AS INTEGER) AS bin, floor((ms - start) / width) * width + start AS low, (floor((ms - start) / width) + 1) * width + start AS high, count(*) AS n FROM d, s GROUP BY 1, 2, 3""")(lambda log: declare.histogram(declare.edge_durations(log, _ARC), "ms"))
 query("declare_discovery")(lambda log: log.spark.createDataFrame([(a.source, a.target, a.arrow, a.object_type, f) for a, f in declare.discover(log, 0.6, arrows=("EF",), activities=["place order", "ship item"])], "source string, target string, arrow string, object_type string, fraction double"))
 
 # Path schemas.
 query("path_type_graph", " SELECT 'e2o' AS relation, ev_type AS source, ob_type AS target, qualifier, count(*) AS n FROM e2o GROUP BY 2, 3, 4 UNION ALL SELECT 'o2o', src_type, tgt_type, qualifier, count(*) FROM o2o GROUP BY 2, 3, 4")(lambda log: paths.type_graph(log))
-query("path_enumerate")(lambda log: log.spark.createDataFrame([(len(p), " > ".join([p[0].ends[0]] + [s.ends[1] for s in p]), str(p)) for p in paths.enumerate_schemas(log, "order", "region", 3)], "length int, types string, steps string"))
+query("path_enumerate", """, g AS (SELECT DISTINCT ev_type AS a, ob_type AS b FROM e2o UNION SELECT DISTINCT src_type, tgt_type FROM o2o), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g)
+SELECT 1 AS length, 'order > region' AS types FROM u WHERE a = 'order' AND b = 'region'
+UNION ALL SELECT 2, 'order > ' || x.b || ' > region' FROM u x JOIN u y ON x.b = y.a WHERE x.a = 'order' AND y.b = 'region' AND x.b NOT IN ('order', 'region')
+UNION ALL SELECT 3, 'order > ' || x.b || ' > ' || y.b || ' > region' FROM u x JOIN u y ON x.b = y.a JOIN u z ON y.b = z.a WHERE x.a = 'order' AND z.b = 'region' AND x.b NOT IN ('order', 'region') AND y.b NOT IN ('order', 'region', x.b)""")(lambda log: log.spark.createDataFrame([(len(p), " > ".join([p[0].ends[0]] + [s.ends[1] for s in p])) for p in paths.enumerate_schemas(log, "order", "region", 3)], "length int, types string"))
 _TO_REGION = (paths.Step("o2o", "order", "customer", "placed_by"), paths.Step("o2o", "customer", "nation", "lives_in"), paths.Step("o2o", "nation", "region", "part_of"))
 _SHIPPED = (paths.Step("e2o", "place order", "order", "order"), paths.Step("e2o", "ship item", "order", "order", True))
 query("path_connections", " SELECT a.src_id AS source, c.tgt_id AS target FROM o2o a JOIN o2o b ON a.tgt_id = b.src_id JOIN o2o c ON b.tgt_id = c.src_id WHERE a.src_type = 'order' AND c.tgt_type = 'region'")(lambda log: paths.connections(log, _TO_REGION).drop("seconds"))
@@ -283,7 +288,12 @@ query("discover_counts")(lambda log: log.spark.createDataFrame([(c.name, c.direc
 query("discover_count_histogram", ", n AS (SELECT 'o-' || o_orderkey AS id, count(l.id) AS n FROM orders LEFT JOIN li l ON l.l_orderkey = o_orderkey GROUP BY 1) SELECT n, count(*) AS instances FROM n WHERE n > 0 GROUP BY 1")(lambda log: discover.symmetric(log, "object").where("direction = 'e2o reversed' and related = 'ship item' and id like 'o-%'").groupBy("id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("instances")))
 query("discover_delays", """, e AS (SELECT DISTINCT ob_id, ev_id, ev_type, ev_time FROM e2o WHERE ob_type = 'order')
 SELECT a.ev_type AS first, b.ev_type AS "then", a.ob_id, a.ev_id, min(floor((epoch_us(b.ev_time) - epoch_us(a.ev_time)) / 1000) / 1000) AS seconds FROM e a JOIN e b ON a.ob_id = b.ob_id AND a.ev_id <> b.ev_id AND b.ev_time >= a.ev_time GROUP BY 1, 2, 3, 4""")(lambda log: discover.delays(log, "order"))
-query("discover_follows")(lambda log: log.spark.createDataFrame([(c.name, c.low, c.high) for c in discover.follow_constraints(log, "order", 0.4)], "name string, low double, high double"))
+query("discover_follows", """, e AS (SELECT DISTINCT ob_id, ev_id, ev_type, ev_time FROM e2o WHERE ob_type = 'order'),
+d AS (SELECT a.ev_type AS first, b.ev_type AS nxt, a.ob_id, a.ev_id, min(floor((epoch_us(b.ev_time) - epoch_us(a.ev_time)) / 1000) / 1000) AS seconds FROM e a JOIN e b ON a.ob_id = b.ob_id AND a.ev_id <> b.ev_id AND b.ev_time >= a.ev_time GROUP BY 1, 2, 3, 4),
+s AS (SELECT first, nxt, stddev_pop(seconds) AS spread, any_value(c.n) AS total FROM d JOIN (SELECT ev_type, count(*) AS n FROM e GROUP BY 1) c ON c.ev_type = first GROUP BY 1, 2 HAVING count(*) >= any_value(c.n) * 0.4),
+h AS (SELECT first, nxt, spread, total, ceil(seconds / spread) AS k, count(*) AS n FROM d JOIN s USING (first, nxt) WHERE spread > 0 GROUP BY 1, 2, 3, 4, 5),
+c AS (SELECT *, sum(n) OVER (PARTITION BY first, nxt ORDER BY k) AS sofar FROM h)
+SELECT '''' || first || ''' → ''' || nxt || ''' for ''order''' AS name, CAST(0 AS DOUBLE) AS low, round(min(k) * any_value(spread), 3) AS high FROM c WHERE sofar >= ceil(total * 0.4) GROUP BY first, nxt""")(lambda log: log.spark.createDataFrame([(c.name, c.low, c.high) for c in discover.follow_constraints(log, "order", 0.4)], "name string, low double, high double").withColumn("high", F.round("high", 3)))
 query("discover_or")(lambda log: log.spark.createDataFrame([(n,) for n, _ in discover.or_constraints(log, "object", "supplier", 0.9)], "name string"))
 
 
@@ -329,6 +339,31 @@ etl("etl_object_history", {"tables": [{"source": "events", "usages": [{"mode": "
 etl("etl_relations", {"tables": [_objects("customer"), {"source": "nation", "usages": [{"mode": "object", "object_id": column("n_name"), "object_type": constant("nation")}]}, {"source": "v", "usages": [{"mode": "o2o-relation", "source_id": template("C{c_custkey}"), "target_id": column("n_name"), "qualifier": constant("in")}]}], "virtual_tables": [virtual("v", type="join", left="customer", right="nation", on=[["c_nationkey", "n_nationkey"]])]}, lambda log: log.o2o.select("src_id", "tgt_id", "qualifier"), "SELECT 'C' || c_custkey AS src_id, n_name AS tgt_id, 'in' AS qualifier FROM customer JOIN nation ON c_nationkey = n_nationkey")
 
 
+# Rows that repeat and have no id of their own: each is an event.
+_SHIPMENTS = {"mode": "event", "event_type": column("l_linestatus"), "timestamp": {"type": "column", "column": "l_shipdate"}, "attributes": [{"attribute": "flag", "column": "l_returnflag"}]}
+_BARE = {"virtual_tables": [virtual("v", type="filter", source="shipments", condition={"type": "column-not-empty", "column": "l_linestatus"})], "tables": [{"source": "v", "usages": [_SHIPMENTS]}]}
+_CHANGES = {"tables": [{"source": "shipments", "usages": [{"mode": "change-table", "timestamp": {"type": "column", "column": "l_shipdate"}, "rules": [{"condition": {"type": "column-matches", "column": "l_linestatus", "pattern": "("}, "event_type": "never"}, {"condition": {"type": "column-equals", "column": "l_returnflag", "value": "R"}, "event_type": "back"}, {"condition": {"type": "column-equals", "column": "l_linestatus", "value": "O"}, "event_type": "open"}]}]}]}
+
+
+def _bare(spark: SparkSession, sf_dir: str, blueprint: dict) -> tuple[Log, extract.Report]:
+    shipments = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linestatus", "l_returnflag", F.date_trunc("month", F.col("l_shipdate").cast("timestamp")).alias("l_shipdate"))
+    return extract.extract(spark, blueprint, {"shipments": shipments})
+
+
+def _events_without_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _bare(spark, sf_dir, _BARE)[0]
+    rows = log.events.join(log.event_attrs.select("ev_id", F.col("v.s").alias("flag")), "ev_id", "left")
+    return rows.groupBy("ev_type", F.date_format("ev_time", "yyyy-MM-dd").alias("month"), "flag").agg(F.count("*").alias("n"), F.count_distinct("ev_id").alias("ids"))
+
+
+QUERIES["etl_events_without_id"] = _events_without_id
+SQL["etl_events_without_id"] = "SELECT l_linestatus AS ev_type, strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS month, l_returnflag AS flag, count(*) AS n, count(*) AS ids FROM lineitem WHERE l_linestatus <> '' GROUP BY 1, 2, 3"
+QUERIES["etl_changes_without_id"] = lambda spark, sf_dir: _bare(spark, sf_dir, _CHANGES)[0].events.groupBy("ev_type", F.date_format("ev_time", "yyyy-MM-dd").alias("month")).agg(F.count("*").alias("n"))
+SQL["etl_changes_without_id"] = "SELECT CASE WHEN l_returnflag = 'R' THEN 'back' ELSE 'open' END AS ev_type, strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS month, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' OR l_linestatus = 'O' GROUP BY 1, 2"
+QUERIES["etl_report_totals"] = lambda spark, sf_dir: _bare(spark, sf_dir, _BARE)[1].totals()
+SQL["etl_report_totals"] = "SELECT 'event' AS kind, l_linestatus AS type_name, count(*) AS n FROM lineitem WHERE l_linestatus <> '' GROUP BY 2"
+
+
 def _timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_format(F.col("o_orderdate").cast("timestamp"), "dd.MM.yyyy HH:mm").alias("t"))
     return orders.select("o_orderkey", F.date_format(extract.parse_time(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("at"), F.date_format(extract.parse_time(F.col("t"), {"type": "format-string", "format": "%d.%m.%Y %H:%M"}), "yyyy-MM-dd HH:mm:ss").alias("by_format"))
@@ -376,3 +411,30 @@ QUERIES["anon_risk"] = lambda spark, sf_dir: _check(star_log(spark, sf_dir)).at_
 SQL["anon_risk"] = _ANON_SQL + "SELECT 'c-' || m.c AS id FROM m JOIN k USING (fp) WHERE size < 3"
 QUERIES["anon_sensitive_risk"] = lambda spark, sf_dir: _check(star_log(spark, sf_dir)).sensitive_at_risk()
 SQL["anon_sensitive_risk"] = _ANON_SQL + "SELECT DISTINCT 'segment' AS attribute, m.seg AS value FROM m JOIN k USING (fp) JOIN e USING (fp) WHERE distinct_sensitive < 2 OR emd > 0.5"
+
+# Files: a log written and read back. Customers, what they placed and where they live.
+import tempfile  # noqa: E402
+import uuid  # noqa: E402
+
+from .operators.filterlog import filter_log  # noqa: E402
+from .sources import files  # noqa: E402
+
+_LIVES = tree(box({0: ["place order"]}, {0: ["customer"], 1: ["nation"]}, [o2e(0, 0) | {"filterLabel": "INCLUDED"}, o2o(0, 1) | {"filterLabel": "INCLUDED"}]))
+_LIVES["nodes"][0]["Box"][0] |= {"evVarLabels": {"0": "INCLUDED"}, "obVarLabels": {"0": "INCLUDED", "1": "INCLUDED"}}
+
+
+def _written_and_read(kind: str, pick: Callable[[Log], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftlog-")
+        path = f"{folder.rstrip('/')}/weftlog-{uuid.uuid4().hex}.{kind}"
+        files.write_log(filter_log(star_log(spark, sf_dir), _LIVES), path, kind)
+        return pick(files.read_log(spark, path, kind))
+
+    return run
+
+
+for _kind in ("json", "xml"):
+    QUERIES[f"file_{_kind}_relations"] = _written_and_read(_kind, lambda log: log.e2o.select("ev_id", "ev_type", F.date_format("ev_time", "yyyy-MM-dd").alias("day"), "ob_id", "ob_type", "qualifier").union(log.o2o.select("src_id", "src_type", F.lit(""), "tgt_id", "tgt_type", "qualifier")))
+    SQL[f"file_{_kind}_relations"] = PRELUDE + " SELECT ev_id, ev_type, strftime(ev_time, '%Y-%m-%d') AS day, ob_id, ob_type, qualifier FROM e2o WHERE ev_type = 'place order' AND ob_type = 'customer' UNION ALL SELECT src_id, src_type, '', tgt_id, tgt_type, qualifier FROM o2o WHERE src_id IN (SELECT ob_id FROM e2o WHERE ev_type = 'place order' AND ob_type = 'customer') AND tgt_type = 'nation'"
+    QUERIES[f"file_{_kind}_attributes"] = _written_and_read(_kind, lambda log: log.event_attrs.groupBy("ev_type", "name").agg(F.count("*").alias("n"), F.count_distinct("ev_id").alias("events")))
+    SQL[f"file_{_kind}_attributes"] = "SELECT 'place order' AS ev_type, unnest(['total', 'status', 'priority']) AS name, count(*) AS n, count(*) AS events FROM orders"

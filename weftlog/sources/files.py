@@ -73,7 +73,8 @@ def read_json(spark: SparkSession, path: str) -> Log:
 
 
 def write_json(log: Log, path: str) -> None:
-    """One JSON document: the log's parts are gathered by element, and the document on one task, as the format asks."""
+    """One JSON document, a line for each type and element. All lines go through one task, as a document is one file, but
+    as a sorted stream: only an element's own attributes and relations are gathered."""
     rel = lambda df, key, other: df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col(other).alias("objectId"), "qualifier"))).alias("relationships"))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     ea = log.event_attrs.groupBy(F.col("ev_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "name", rendered(F.col("v")).alias("value")))).alias("attributes"))
@@ -81,12 +82,23 @@ def write_json(log: Log, path: str) -> None:
     fill = lambda name, of: F.coalesce(F.transform(name, lambda x: F.struct(*[x[n].alias(n) for n in of])), F.array()).alias(name)
     events = log.events.select(F.col("ev_id").alias("id"), F.col("ev_type").alias("type"), stamp("ev_time").alias("time")).join(ea, "id", "left").join(rel(log.e2o, "ev_id", "ob_id"), "id", "left")
     objects = log.objects.select(F.col("ob_id").alias("id"), F.col("ob_type").alias("type")).join(oa, "id", "left").join(rel(log.o2o, "src_id", "tgt_id"), "id", "left")
-    events = events.agg(F.array_sort(F.collect_list(F.struct("id", "type", "time", fill("attributes", ("name", "value")), fill("relationships", ("objectId", "qualifier"))))).alias("events"))
-    objects = objects.agg(F.array_sort(F.collect_list(F.struct("id", "type", fill("attributes", ("name", "value", "time")), fill("relationships", ("objectId", "qualifier"))))).alias("objects"))
     present = log.events.select(F.lit("event").alias("kind"), F.col("ev_type").alias("type_name")).union(log.objects.select(F.lit("object"), "ob_type")).distinct()
     named = present.join(log.types.where("attr_name is not null"), ["kind", "type_name"], "left").groupBy("kind", "type_name").agg(F.array_sort(F.collect_list(F.when(F.col("attr_name").isNotNull(), F.struct(F.col("attr_name").alias("name"), F.col("attr_type").alias("type"))))).alias("attributes"))
-    types = named.groupBy().agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct(F.col("type_name").alias("name"), "attributes")))).alias(f"{k}Types") for k in ("object", "event")])
-    types.crossJoin(objects).crossJoin(events).coalesce(1).write.mode("overwrite").json(path)
+    kinds = lambda k: named.where(F.col("kind") == k).select(F.col("type_name").alias("key"), F.struct(F.col("type_name").alias("name"), "attributes").alias("x"))
+    parts = [
+        ("objectTypes", kinds("object")),
+        ("eventTypes", kinds("event")),
+        ("objects", objects.select(F.col("id").alias("key"), F.struct("id", "type", fill("attributes", ("name", "value", "time")), fill("relationships", ("objectId", "qualifier"))).alias("x"))),
+        ("events", events.select(F.col("id").alias("key"), F.struct("id", "type", "time", fill("attributes", ("name", "value")), fill("relationships", ("objectId", "qualifier"))).alias("x"))),
+    ]
+    lines = None
+    for i, (name, df) in enumerate(parts):
+        fixed = log.spark.createDataFrame([(2 * i - 0.5, "", ("{" if i == 0 else ",") + f'"{name}":['), (2 * i + 0.5, "", "]" + ("}" if i == len(parts) - 1 else ""))], "place double, key string, value string")
+        first = df.agg(F.min("key").alias("first"))  # no comma stands before it
+        comma = F.when(F.col("key") == F.col("first"), F.lit("")).otherwise(F.lit(","))
+        own = fixed.union(df.join(F.broadcast(first)).select(F.lit(float(2 * i)).alias("place"), "key", F.concat(comma, F.to_json("x")).alias("value")))
+        lines = own if lines is None else lines.union(own)
+    lines.repartition(1).sortWithinPartitions("place", "key").select("value").write.mode("overwrite").text(path)
 
 
 def read_xml(spark: SparkSession, path: str) -> Log:
@@ -240,7 +252,15 @@ def read_xes(spark: SparkSession, path: str) -> Log:
     one = ", ".join(f"`{k}` array<struct<_key:string,_value:string>>" for k in kinds)
     event = "struct<" + ",".join(f"`{k}`:array<struct<_key:string,_value:string>>" for k in kinds) + ">"
     raw = spark.read.format("xml").option("rowTag", "trace").option("attributePrefix", "_").schema(f"{one}, `event` array<{event}>").load(path)
-    raw = raw.coalesce(1).withColumn("trace", F.monotonically_increasing_id())  # a file's order is one task's
+    # Traces are numbered by split, then by their place in it; the driver gets two counts for each split.
+    raw = raw.withColumn("_at", F.monotonically_increasing_id()).withColumn("_split", F.shiftright("_at", 33)).withColumn("_events", F.greatest(F.size("event"), F.lit(0)))
+    offsets, traces_before, events_before = [], 0, 0
+    for r in raw.groupBy("_split").agg(F.max("_at").alias("last"), F.sum("_events").alias("events")).orderBy("_split").toLocalIterator():
+        offsets.append((r["_split"], traces_before, events_before))
+        traces_before, events_before = traces_before + (r["last"] & ((1 << 33) - 1)) + 1, events_before + r["events"]
+    before = F.coalesce(F.sum("_events").over(Window.partitionBy("_split").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = raw.withColumn("_before", before).join(F.broadcast(spark.createDataFrame(offsets, "_split long, _traces long, _first long")), "_split")
+    raw = placed.withColumn("trace", F.col("_traces") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).withColumn("number", F.col("_first") + F.col("_before"))
     named = {"string": "string", "int": "integer", "float": "float", "boolean": "boolean", "date": "time", "id": "string"}
 
     def shaped(k: str):
@@ -257,9 +277,8 @@ def read_xes(spark: SparkSession, path: str) -> Log:
         return F.try_element_at(F.filter(column, lambda a: a["name"] == key), F.lit(1))["value"]
 
     traces = raw.withColumn("attrs", attrs(of_trace)).withColumn("ob_id", F.coalesce(get("attrs", "concept:name"), F.concat(F.lit("ob_"), F.col("trace").cast("string"))))
-    events = traces.select("ob_id", "trace", F.posexplode("event").alias("place", "e")).withColumn("attrs", attrs(lambda k: F.col(f"e.`{k}`")))
-    number = F.row_number().over(Window.orderBy("trace", "place")) - 1  # one numbering of all events, as the format has it
-    events = events.withColumn("id", F.concat(F.lit("ev_"), number.cast("string"))).withColumn("type", F.coalesce(get("attrs", "concept:name"), F.lit("UNKNOWN"))).withColumn("time", F.coalesce(get("attrs", "time:timestamp").try_cast("timestamp"), F.lit("1970-01-01").cast("timestamp")))
+    events = traces.select("ob_id", "number", F.posexplode("event").alias("place", "e")).withColumn("attrs", attrs(lambda k: F.col(f"e.`{k}`")))
+    events = events.withColumn("id", F.concat(F.lit("ev_"), (F.col("number") + F.col("place")).cast("string"))).withColumn("type", F.coalesce(get("attrs", "concept:name"), F.lit("UNKNOWN"))).withColumn("time", F.coalesce(get("attrs", "time:timestamp").try_cast("timestamp"), F.lit("1970-01-01").cast("timestamp")))
     skip = ["concept:name", "time:timestamp"]
     ea = events.select("id", "type", F.posexplode("attrs").alias("seq", "a")).where(~F.col("a.name").isin(skip)).select("id", "type", "seq", "a.name", "a.value", "a.kind")
     oa = traces.select(F.col("ob_id").alias("id"), F.posexplode("attrs").alias("seq", "a")).where(F.col("a.name") != "concept:name").select("id", "seq", "a.name", "a.value", "a.kind", F.lit("1970-01-01").alias("time"))
