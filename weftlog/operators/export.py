@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..log import Log, rendered
-from ..model import EVENT
+from ..model import EVENT, Variable
 from ..plans.engine import EvalResult
 
 
@@ -24,11 +24,20 @@ class TableOptions:
     format: str = "CSV"
 
 
-def _names_seen(log: Log, r) -> dict[str, list[str]]:
+def _attributes(log: Log, result: EvalResult, node: int, v: Variable) -> DataFrame:
+    """Attributes of elements that a variable may be bound to: of its types, so other types' are not read."""
+    attrs, kind = (log.event_attrs, "ev_type") if v.kind == EVENT else (log.object_attrs, "ob_type")
+    parents, at = result.tree.parents(), node
+    while at is not None and v not in result.tree.nodes[at].box.new_vars:
+        at = parents.get(at)
+    return attrs if at is None else attrs.where(F.col(kind).isin(list(result.tree.nodes[at].box.new_vars[v])))
+
+
+def _names_seen(log: Log, result: EvalResult, node: int) -> dict[str, list[str]]:
     """The attributes that the elements bound to each variable have."""
-    parts = []
+    parts, r = [], result.evaluation.results[node]
     for v in r.visible:
-        ident, attrs = ("ev_id", log.event_attrs) if v.kind == EVENT else ("ob_id", log.object_attrs)
+        ident, attrs = "ev_id" if v.kind == EVENT else "ob_id", _attributes(log, result, node, v)
         parts.append(attrs.join(r.full.select(F.col(v.name).alias(ident)), ident, "left_semi").select(F.lit(v.name).alias("variable"), "name"))
     out: dict[str, list[str]] = {}
     for x in reduce(DataFrame.union, parts).distinct().toLocalIterator() if parts else ():
@@ -44,10 +53,10 @@ def wide_table(log: Log, result: EvalResult, node: int = 0, options: TableOption
     r = result.evaluation.results[node]
     df = r.full = r.full.persist()
     out = []
-    seen = _names_seen(log, r)
+    seen = _names_seen(log, result, node)
     for v in sorted(r.visible, key=lambda v: (v.kind == EVENT, v)):
         ident = "ev_id" if v.kind == EVENT else "ob_id"
-        attrs = log.event_attrs if v.kind == EVENT else log.object_attrs
+        attrs = _attributes(log, result, node, v)
         ids = df.select(F.col(v.name).alias(ident)).distinct()
         own = attrs.join(ids, ident, "left_semi")
         names = seen.get(v.name, [])
