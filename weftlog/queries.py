@@ -254,7 +254,32 @@ query("declare_duration_histogram", """, d AS (SELECT CAST(trunc((epoch_us(min(b
 r AS (SELECT min(ms) AS lo, (max(ms) - min(ms)) / 25 AS raw FROM d), p AS (SELECT lo, raw, pow(10, floor(log10(raw))) AS p FROM r),
 w AS (SELECT lo, p * CASE WHEN raw / p < 1.5 THEN 1 WHEN raw / p < 3 THEN 2 WHEN raw / p < 7 THEN 5 ELSE 10 END AS width FROM p), s AS (SELECT width, floor(lo / width) * width AS start FROM w)
 SELECT CAST(floor((ms - start) / width) AS INTEGER) AS bin, floor((ms - start) / width) * width + start AS low, (floor((ms - start) / width) + 1) * width + start AS high, count(*) AS n FROM d, s GROUP BY 1, 2, 3""")(lambda log: declare.histogram(declare.edge_durations(log, _ARC), "ms"))
-query("declare_discovery")(lambda log: log.spark.createDataFrame([(a.source, a.target, a.arrow, a.object_type, f) for a, f in declare.discover(log, 0.6, arrows=("EF",), activities=["place order", "ship item"])], "source string, target string, arrow string, object_type string, fraction double"))
+_LABELS = declare.Arc.of("ship item", "ship item", "EF", each=["part"], all=["supplier"])
+_PART_AND_SUPPLIER = """, e AS (SELECT p.ev_id, p.ev_time, p.ob_id AS part, s.ob_id AS supplier FROM e2o p JOIN e2o s USING (ev_id) WHERE p.ev_type = 'ship item' AND p.ob_type = 'part' AND s.ob_type = 'supplier'),
+n AS (SELECT a.ev_id, a.part, a.ev_time, count(b.ev_id) AS n, min(b.ev_time) AS u FROM e a LEFT JOIN e b ON a.part = b.part AND a.supplier = b.supplier AND b.ev_time > a.ev_time GROUP BY 1, 2, 3) """
+_JUDGED = "SELECT count(*) AS obligations, count(*) FILTER (n > 0) AS satisfied, count(*) FILTER (n > 0) / count(*) AS fraction FROM n"
+query("declare_conformance_all", _PART_AND_SUPPLIER + _JUDGED)(lambda log: declare.conformance(log, _LABELS))
+query("declare_label_durations", _PART_AND_SUPPLIER + "SELECT ev_id AS s, CAST(trunc((epoch_us(u) - epoch_us(ev_time)) / 1000) AS BIGINT) AS ms FROM n WHERE n > 0")(lambda log: declare.edge_durations(log, _LABELS))
+query("declare_conformance_o2o", """, s AS (SELECT DISTINCT a.ev_id, a.ev_time, r.tgt_id FROM e2o a JOIN o2o r ON r.src_id = a.ob_id WHERE a.ev_type = 'click' AND a.ob_type = 'user' AND r.src_type = 'user' AND r.tgt_type = 'customer'),
+t AS (SELECT ob_id, ev_time AS u FROM e2o WHERE ev_type = 'place order' AND ob_type = 'customer'),
+n AS (SELECT s.ev_id, count(u) AS n FROM s LEFT JOIN t ON t.ob_id = s.tgt_id AND u < s.ev_time GROUP BY 1) """ + _JUDGED)(lambda log: declare.conformance(log, declare.Arc.of("click", "place order", "EP", any=[declare.O2O("user", "customer")])))
+
+
+def _discovered(arcs: str) -> str:
+    """SQL of the arcs over the sources r (ev_id, ev_type, ev_time, ob_id, object_type) that reach 0.8."""
+    return arcs + f""", p AS (SELECT ob_id, ev_type, min(ev_time) AS f, max(ev_time) AS l, count(*) AS n FROM (SELECT DISTINCT ev_id, ev_type, ev_time, ob_id FROM e2o) x GROUP BY 1, 2),
+o AS (SELECT ev_type AS source, object_type, count(*) AS obligations FROM r GROUP BY 1, 2),
+h AS (SELECT r.ev_type AS source, p.ev_type AS target, object_type, 'AS' AS arrow, count(*) FILTER (n > CASE WHEN p.ev_type = r.ev_type THEN 1 ELSE 0 END) AS met FROM r JOIN p USING (ob_id) GROUP BY 1, 2, 3
+  UNION ALL SELECT r.ev_type, p.ev_type, object_type, 'EF', count(*) FILTER (l > ev_time) FROM r JOIN p USING (ob_id) GROUP BY 1, 2, 3
+  UNION ALL SELECT r.ev_type, p.ev_type, object_type, 'EP', count(*) FILTER (f < ev_time) FROM r JOIN p USING (ob_id) GROUP BY 1, 2, 3)
+SELECT source, target, arrow, object_type, met / obligations AS fraction FROM h JOIN o USING (source, object_type) WHERE met / obligations >= 0.8"""
+
+
+def _arcs(log: Log, found: list) -> DataFrame:
+    return log.spark.createDataFrame([(a.source, a.target, a.arrow, str(a.object_type), f) for a, f in found], "source string, target string, arrow string, object_type string, fraction double")
+
+
+query("declare_discovery", _discovered(", r AS (SELECT DISTINCT ev_id, ev_type, ev_time, ob_id, ob_type AS object_type FROM e2o)"))(lambda log: _arcs(log, declare.discover(log)))
 
 # Path schemas.
 query("path_type_graph", " SELECT 'e2o' AS relation, ev_type AS source, ob_type AS target, qualifier, count(*) AS n FROM e2o GROUP BY 2, 3, 4 UNION ALL SELECT 'o2o', src_type, tgt_type, qualifier, count(*) FROM o2o GROUP BY 2, 3, 4")(lambda log: paths.type_graph(log))
