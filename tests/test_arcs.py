@@ -115,3 +115,37 @@ def test_wire_format_and_text():
     assert declare.template_string([arc]) == "EF(each x & any x<z, a, b, 0, 0)"
     with pytest.raises(ValueError):
         Arc.of("a", "b", "EF")
+
+
+def test_relations_side_by_side_answer_without_a_join(spark):
+    rng = random.Random(5)
+    rows = [(f"e{i}", rng.randrange(9), f"x{rng.randrange(3)}", rng.choice(["y0", "y1", None])) for i in range(40)]
+    rows = spark.createDataFrame(rows + rows[:7], "ev_id string, at int, x string, y string").selectExpr("ev_id", "timestamp_seconds(at) AS ev_time", "x", "y").cache()  # some stand twice
+    e2o = rows.selectExpr("ev_id", "'a' AS ev_type", "ev_time", "stack(2, x, 'x', y, 'y') AS (ob_id, ob_type)", "'q' AS qualifier")
+    none = Log.empty(spark)
+    bare, beside = (Log(none.events, none.objects, none.event_attrs, none.object_attrs, e2o, none.o2o, none.types, wide=wide) for wide in ({}, {"a": rows}))
+    for arrow in ("AS", "EF", "EP"):
+        arc = Arc.of("a", "a", arrow, each=["x"], all=["y"])
+        got, want = ({(r["ev_id"], r["ob_id"]): r["targets"] for r in declare.obligations(log, arc).collect()} for log in (beside, bare))
+        assert got == want and len(got) == 40 and any(got.values()) and declare.obligations(beside, arc).count() == 40
+        first = [{r["s"]: r["ms"] for r in declare.edge_durations(log, arc).collect()} for log in (beside, bare)]
+        assert first[0] == first[1] and set(first[0]) == {s for (s, _), n in got.items() if n}
+        assert "Join" not in declare.obligations(beside, arc)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_hub_is_not_expanded_to_pairs(spark):
+    n = 3000  # of one x, each with a y of its own
+    e2o = spark.range(n).selectExpr("concat('e', id) AS ev_id", "'a' AS ev_type", "timestamp_seconds(id) AS ev_time", "explode(array(struct('x0' AS ob_id, 'x' AS ob_type), struct(concat('y', id % 1500) AS ob_id, 'y' AS ob_type))) AS o", "'q' AS qualifier").select("ev_id", "ev_type", "ev_time", "o.*", "qualifier")
+    none = Log.empty(spark)
+    df = declare.obligations(Log(none.events, none.objects, none.event_attrs, none.object_attrs, e2o, none.o2o, none.types), Arc.of("a", "a", "EF", each=["x"], all=["y"]))
+    rows = df.collect()
+    assert len(rows) == n and sum(r["targets"] for r in rows) == 1500
+    seen, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if (at := p.metrics().get("numOutputRows")).isDefined():
+            seen.append(at.get().value())
+        inner = [p.executedPlan()] if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else [p.plan()] if p.getClass().getSimpleName().endswith("QueryStageExec") else []
+        kids = p.children()
+        todo += inner + [kids.apply(i) for i in range(kids.size())]
+    assert seen and max(seen) <= 3 * n

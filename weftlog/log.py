@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +49,9 @@ class Log:
     #: qualifier; an event has an attribute once.
     single_pairs: bool = False
     single_event_attrs: bool = False
+    #: By event type, where the source has an event's relations side by side: ev_id, ev_time and a column for each of some
+    #: object types. Each event has exactly one object of each of these types; equal rows are one event.
+    wide: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..log import Log
@@ -115,24 +116,64 @@ def _after(arc: Arc, a: str, b: str):
     return F.col(b) < F.col(a) if arc.arrow in ("EP", "DP") else F.lit(True)
 
 
+def _answered(rows: DataFrame, keys: list[str], arc: Arc, repeats: bool = False) -> DataFrame:
+    """Of rows (keys, s, at, side: 0 a source, 1 a target, 2 both) the sources, with how many targets of equal keys answer
+    each and when the earliest does. Rows of equal keys pass once, in the order of time: no source meets all targets.
+    repeats: rows may be equal, which count once."""
+    itself = arc.arrow == "AS" and arc.source == arc.target  # an event does not answer itself
+    ordered = rows.withColumn("order", F.col("at") if arc.arrow in ("EP", "DP") else -F.col("at"))
+    by = Window.partitionBy(*keys)
+    if repeats:
+        before = by.orderBy("order", "s")
+        ordered = ordered.withColumn("again", F.lag("s").over(before).eqNullSafe(F.col("s")) & F.lag("at").over(before).eqNullSafe(F.col("at"))).where("not again").drop("again")
+    ahead = by.orderBy("order").rangeBetween(Window.unboundedPreceding, -1)
+    whole = by if arc.arrow == "AS" else ahead
+    hit = F.when((F.col("side") != 0) & reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]), F.col("at"))
+    found = ordered.withColumn("targets", F.count(hit).over(whole)).withColumn("earliest", F.min(hit).over(whole))
+    if itself:
+        own, twins = Window.partitionBy(*keys, "s"), Window.partitionBy(*keys, "at")
+        found = found.withColumn("own", F.count(hit).over(own)).withColumn("others", F.count(hit).over(twins) - F.count(hit).over(Window.partitionBy(*keys, "at", "s"))).withColumn("after", F.min(hit).over(ahead))
+        found = found.withColumn("targets", F.col("targets") - F.col("own")).withColumn("earliest", F.when((F.col("earliest") == F.col("at")) & (F.col("others") == 0), F.col("after")).otherwise(F.col("earliest")))
+    return found.where("side != 1").select("s", *keys, "at", "targets", "earliest")
+
+
 def _each(log: Log, arc: Arc) -> DataFrame:
     """s, ob_id, at, targets, earliest: for each source event and object of it, how many targets of that object answer it
-    and when the earliest does. An object's sources and targets pass once, in the order of time: no source meets all
-    targets of its object."""
+    and when the earliest does."""
     keyed = lambda activity, side: related(log, activity, arc.object_type).select("ob_id", F.col("ev_id").alias("s"), F.unix_micros("ev_time").alias("at"), F.lit(side).alias("side"))
-    both = keyed(arc.source, 0).union(keyed(arc.target, 1))
-    by = Window.partitionBy("ob_id")
-    back, on = by.orderBy(-F.col("at")), by.orderBy("at")
-    ahead = back.rangeBetween(Window.unboundedPreceding, -1) if arc.arrow in ("EF", "DF") else on.rangeBetween(Window.unboundedPreceding, -1) if arc.arrow in ("EP", "DP") else by
-    hit, own = F.when(F.col("side") == 1, F.col("at")), F.lit(0)
-    if arc.arrow == "AS" and arc.source == arc.target:  # an event does not answer itself
-        own = F.lit(1)
-    found = both.withColumn("targets", F.count(hit).over(ahead) - own).withColumn("earliest", F.min(hit).over(ahead))
-    if arc.arrow == "AS" and arc.source == arc.target:
-        after = F.min(hit).over(back.rangeBetween(Window.unboundedPreceding, -1))
-        twins = F.count(hit).over(Window.partitionBy("ob_id", "at"))
-        found = found.withColumn("earliest", F.when((F.col("earliest") == F.col("at")) & (twins == 1), after).otherwise(F.col("earliest")))
-    return found.where("side = 0").select("s", "ob_id", "at", "targets", "earliest")
+    return _answered(keyed(arc.source, 0).union(keyed(arc.target, 1)), ["ob_id"], arc)
+
+
+def _judged(log: Log, arc: Arc) -> tuple[DataFrame, list[str]]:
+    """s, own, targets, ms and the names of own: for each source event, and each choice of an object for every "each" of the
+    label, how many targets answer it, and the time to the earliest. Where a source has one object for each "any" and
+    "all", a target answers it if it has the objects chosen and these: equal keys, which pass in the order of time (an
+    event meets every choice of its own objects). Only sources with more objects there meet their targets pair by pair."""
+    keys = [f"o{k}" for k in range(len(arc.label))]
+    own = [f"o{k}" for k, (how, _) in enumerate(arc.label) if how == "each"]
+    late = ((F.col("earliest") - F.col("at")) / 1000).cast("bigint").alias("ms")
+    beside = [log.wide.get(activity) for activity in (arc.source, arc.target)]
+    if all(x is not None and {of for _, of in arc.label} <= {*x.columns} for x in beside):
+        sides = (2,) if arc.source == arc.target else (0, 1)
+        rows = reduce(DataFrame.union, [x.select(F.col("ev_id").alias("s"), F.unix_micros("ev_time").alias("at"), *[F.col(of).alias(k) for k, (_, of) in zip(keys, arc.label, strict=True)], F.lit(side).alias("side")) for x, side in zip(beside, sides, strict=False)])
+        return _answered(rows, keys, arc, True).select("s", *own, "targets", late), own
+    source = target = None
+    for k, (how, of) in zip(keys, arc.label, strict=True):
+        every = involved(log, arc.source, of).select(F.col("ev_id").alias("s"), F.unix_micros("ev_time").alias("at"), F.col("ob_id").alias(k))
+        if how != "each":
+            every = every.groupBy("s", "at").agg(F.min(k).alias(k), (F.count("*") > 1).alias(f"many_{k}"))
+        of_target = related(log, arc.target, of if isinstance(of, str) else of.second).select(F.col("ev_id").alias("s"), F.unix_micros("ev_time").alias("at"), F.col("ob_id").alias(k))
+        source = every if source is None else source.join(every, ["s", "at"])
+        target = of_target if target is None else target.join(of_target, ["s", "at"])
+    several = reduce(Column.__or__, [F.col(f"many_{k}") for k in keys if k not in own], F.lit(False))
+    shaped = lambda df, side: df.select("s", "at", *keys, F.lit(side).alias("side"))
+    out = _answered(shaped(source.where(~several), 0).union(shaped(target, 1)), keys, arc).select("s", *own, "targets", late)
+    if len(own) == len(keys):
+        return out, own
+    bound, hits, names = _label_hits(log, arc, False, source.where(several).select("s").distinct())
+    met = hits.groupBy(*names).agg(F.count("*").alias("targets"), F.min("u").alias("u"))
+    paired = bound.join(met, names, "left").select("s", *own, F.coalesce("targets", F.lit(0)).alias("targets"), ((F.unix_micros("u") - F.unix_micros("t")) / 1000).cast("bigint").alias("ms"))
+    return out.union(paired), own
 
 
 def _sources(log: Log, arc: Arc, of: Association, directly: bool) -> DataFrame:
@@ -149,15 +190,18 @@ def _sources(log: Log, arc: Arc, of: Association, directly: bool) -> DataFrame:
     return found.where("s is not null and near is not null").select("s", "t", "ob_id", "near")
 
 
-def _label_hits(log: Log, arc: Arc, directly: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+def _label_hits(log: Log, arc: Arc, directly: bool, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Bindings of the label (s, t, an object for each "each"), hits (these and x, u of each target that answers one) and
     the columns that tell bindings apart. The first association's objects bring sources and targets together; the others
-    only look at these pairs. A source event without objects for one of the associations is bound to nothing."""
+    only look at these pairs. A source event without objects for one of the associations is bound to nothing. only: the
+    source events (s) to look at."""
     bound = hits = None
     keys = ["s"]
     for k, (how, of) in enumerate(arc.label):
         source = _sources(log, arc, of, directly)
         every = involved(log, arc.source, of).select(F.col("ev_id").alias("s"), F.col("ev_time").alias("t"), "ob_id")
+        if only is not None:
+            source, every = (df.join(only, "s", "left_semi") for df in (source, every))
         target = related(log, arc.target, of if isinstance(of, str) else of.second).select(F.col("ev_id").alias("x"), F.col("ev_time").alias("u"), "ob_id")
         at = F.unix_micros("u") == F.col("near") if directly else _after(arc, "t", "u")
         if hits is None:
@@ -187,12 +231,15 @@ def obligations(log: Log, arc: Arc) -> DataFrame:
     directly = arc.arrow in ("DF", "DP")
     if _passes(arc) and not directly:
         return _each(log, arc).select(F.col("s").alias("ev_id"), "ob_id", "targets")
-    bound, hits, keys = _label_hits(log, arc, directly)
-    n = hits.groupBy(*keys).agg(F.count("*").alias("targets"))
-    own = keys[1:]
+    if directly:
+        bound, hits, keys = _label_hits(log, arc, True)
+        n = hits.groupBy(*keys).agg(F.count("*").alias("targets"))
+        judged, own = bound.select(*keys).join(n, keys, "left").withColumn("targets", F.coalesce("targets", F.lit(0))), keys[1:]
+    else:
+        judged, own = _judged(log, arc)
     first = F.col(own[0]) if own else F.lit(None).cast("string")
     others = [F.array(*own[1:]).alias("others")] if len(own) > 1 else []
-    return bound.select(*keys).join(n, keys, "left").select(F.col("s").alias("ev_id"), first.alias("ob_id"), F.coalesce("targets", F.lit(0)).alias("targets"), *others)
+    return judged.select(F.col("s").alias("ev_id"), first.alias("ob_id"), "targets", *others)
 
 
 def conformance(log: Log, arc: Arc) -> DataFrame:
@@ -210,9 +257,7 @@ def edge_durations(log: Log, arc: Arc) -> DataFrame:
     """s, ms: for each source event (and objects of its "each") the time to the earliest target that answers it."""
     if _passes(arc):
         return _each(log, arc).where("earliest is not null").select("s", ((F.col("earliest") - F.col("at")) / 1000).cast("bigint").alias("ms"))
-    bound, hits, keys = _label_hits(log, arc, False)
-    first = hits.groupBy(*keys).agg(F.min("u").alias("u")).join(bound, keys)
-    return first.select("s", ((F.unix_micros("u") - F.unix_micros("t")) / 1000).cast("bigint").alias("ms"))
+    return _judged(log, arc)[0].where("ms is not null").select("s", "ms")
 
 
 def nice_width(low: float, high: float, bins: int = 25) -> float:

@@ -55,6 +55,9 @@ def star_log(spark: SparkSession, sf_dir: str) -> Log:
         ]
     )
 
+    # The id of a shipped item names its order, part and supplier.
+    shipped = t["lineitem"].select(F.col("id").alias("ev_id"), F.col("at").alias("ev_time"), _id("o", "l_orderkey").alias("order"), _id("p", "l_partkey").alias("part"), _id("s", "l_suppkey").alias("supplier"))
+
     def linked(df: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str], qualifier: str) -> DataFrame:
         (p, key, kind), (q, to, other) = a, b
         return df.select(_id(p, key).alias("src_id"), F.lit(kind).alias("src_type"), _id(q, to).alias("tgt_id"), F.lit(other).alias("tgt_type"), F.lit(qualifier).alias("qualifier"))
@@ -97,4 +100,4 @@ def star_log(spark: SparkSession, sf_dir: str) -> Log:
     e_types = [(k, n, a) for k, n, a in (("place order", "total", "float"), ("place order", "priority", "string"), ("place order", "status", "string"), ("ship item", "quantity", "float"), ("ship item", "price", "float"), ("ship item", "discount", "float"), ("ship item", "returnflag", "string"), ("ship item", "line", "integer"))]
     o_types = (("customer", "acctbal", "float"), ("customer", "segment", "string"), ("part", "size", "integer"), ("part", "brand", "string"), ("nation", "name", "string"), ("user", "value", "float"))
     types = spark.createDataFrame([("event", *x) for x in e_types] + [("object", *x) for x in o_types], "kind string, type_name string, attr_name string, attr_type string")
-    return Log(events, objects, _union(event_attrs), _union(object_attrs), e2o, o2o, types, single_pairs=True, single_event_attrs=True)
+    return Log(events, objects, _union(event_attrs), _union(object_attrs), e2o, o2o, types, single_pairs=True, single_event_attrs=True, wide={"ship item": shipped})
