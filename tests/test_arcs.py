@@ -149,3 +149,11 @@ def test_a_hub_is_not_expanded_to_pairs(spark):
         kids = p.children()
         todo += inner + [kids.apply(i) for i in range(kids.size())]
     assert seen and max(seen) <= 3 * n
+
+
+def test_conformance_counts_a_null_object_as_unanswered(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('e1', 1, 'x', 'y'), ('e2', 2, 'x', 'y'), ('e2', 2, 'x', 'y'), ('e3', 3, 'x', null), ('e4', 4, 'x', null) AS t(ev_id, at, x, y)").selectExpr("ev_id", "timestamp_seconds(at) AS ev_time", "x", "y")
+    none = Log.empty(spark)
+    log = Log(*(getattr(none, n) for n in ("events", "objects", "event_attrs", "object_attrs", "e2o", "o2o", "types")), wide={"a": rows})
+    r = declare.conformance(log, Arc.of("a", "a", "EF", each=["x"], all=["y"])).first()
+    assert (r["obligations"], r["satisfied"], r["fraction"]) == (4, 1, 0.25)
