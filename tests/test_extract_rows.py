@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from weftlog.operators import declare, discover, extract
 
 
@@ -70,3 +72,15 @@ def test_windows_over_an_object_against_pairs(spark):
             assert {(r["ev_id"], r["ob_id"]): r["targets"] for r in declare.obligations(log, arc).collect()} == {x: len(u) for x, u in hits.items()}
             times = {e: t for e, _, t, _ in own}
             assert sorted((r["s"], r["ms"]) for r in declare.edge_durations(log, arc).collect()) == sorted((e, 1000 * (min(u) - times[e])) for (e, _), u in hits.items() if u)
+
+
+def test_many_equal_rows_are_made_by_several_tasks_and_never_broadcast(spark):
+    n = 2 * extract.EQUAL_ROWS + 5
+    rows = spark.range(n).selectExpr("'a' AS kind", "'2024-01-01 00:00:00' AS at")
+    blueprint = {"tables": [{"source": "t", "usages": [event(attributes=[{"attribute": "k", "column": "kind"}])]}]}
+    log, _ = extract.extract(spark, blueprint, {"t": rows})
+    joined = log.events.join(log.event_attrs.select("ev_id", "name"), "ev_id", "left").agg(F.count("*").alias("n"), F.count_distinct("ev_id").alias("ids"))
+    assert tuple(joined.first()) == (n, n)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    by_task = extract.numbered(rows, F.lit("t-")).groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) > 1 and sum(r["count"] for r in by_task) == n

@@ -170,14 +170,28 @@ class Report:
         return {"success": self.success, "total_events": sum(own["event"].values()), "total_objects": sum(own["object"].values()), "event_types": sorted(own["event"]), "object_types": sorted(own["object"]), "errors": self.errors, "warnings": self.warnings}
 
 
+#: Of more equal rows, each so many are made by a task of their own.
+EQUAL_ROWS = 10_000
+
+
 def numbered(df: DataFrame, prefix: Column) -> DataFrame:
     """df with _id: the prefix, a digest of the row and, of equal rows after the first, a number. Equal rows are counted,
-    with partial aggregation, and given out again, so no order of rows is needed and none of them is lost."""
+    with partial aggregation, and given out again, so no order of rows is needed and none of them is lost. Spark takes
+    what is given out for as large as the counts: see unsized()."""
     names = [F.col(f"`{c}`") for c in df.columns]
-    counted = df.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    counted = df.groupBy(*names).agg(F.count("*").alias("_n"))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(EQUAL_ROWS).cast("long")))
+    many = counted.where(F.col("_n") > EQUAL_ROWS).withColumn("_from", first).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names, "_from")
+    parts = counted.where(F.col("_n") <= EQUAL_ROWS).withColumn("_from", F.lit(0).cast("long")).unionByName(many)
     digest = F.concat(F.hex(F.xxhash64(*names)), F.hex(F.xxhash64(F.lit(1), *reversed(names))))
+    each = parts.withColumn("_id", F.concat(prefix, digest)).withColumn("_nth", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + EQUAL_ROWS, F.col("_n")) - 1)))
     nth = F.when(F.col("_nth") > 0, F.concat(F.lit("-"), F.col("_nth").cast("string"))).otherwise(F.lit(""))
-    return counted.withColumn("_id", F.concat(prefix, digest, nth)).drop("_n", "_nth")
+    return each.withColumn("_id", F.concat("_id", nth)).drop("_n", "_from", "_nth")
+
+
+def unsized(df: DataFrame) -> DataFrame:
+    """df, which joins do not broadcast: what numbered() gives out is larger than Spark takes it for, by any factor."""
+    return df.hint("merge")
 
 
 def identified(df: DataFrame, given: Column | None, prefix: Column) -> DataFrame:
@@ -206,6 +220,8 @@ class Extraction:
         self.links: list[tuple[str, DataFrame, str | None]] = []
         self.tables = virtual_tables(blueprint.get("virtual_tables", []), sources, strict)
         usages = [(t["source"], u) for t in blueprint.get("tables", []) for u in t["usages"]]
+        #: Whether rows without an id are numbered, so Spark does not know how many there are.
+        self.numbers = any(u["mode"] in ("event", "change-table") and not any(x.get("id") for x in (u, *u.get("rules", ()))) for _, u in usages)
         #: Types whose ids carry the type as a prefix, so relations to them do too.
         self.prefixed = {u["object_type"]["value"] for _, u in usages if u.get("prefix_id_with_type") and u["object_type"]["type"] == "constant"}
         rank = {"object": 0, "change-table": 1, "event": 1, "e2o-relation": 2, "o2o-relation": 2}
@@ -284,16 +300,18 @@ class Extraction:
     def log(self) -> Log:
         """The tables. Of objects with one id the first type stays, in the order of usages, then by name; of events with
         one id the earliest, then the first type by name. Relations need both ends."""
+        sized = unsized if self.numbers else lambda df: df
         empty = Log.empty(self.spark)
         union = lambda parts, none: reduce(DataFrame.unionByName, parts) if parts else none
         objects = union(self.objects, empty.objects.withColumn("place", F.lit(0))).where("ob_id is not null and ob_type is not null")
         objects = objects.groupBy("ob_id").agg(F.min(F.struct("place", "ob_type")).alias("o")).select("ob_id", "o.ob_type")
         events = union(self.events, empty.events).groupBy("ev_id").agg(F.min(F.struct("ev_time", "ev_type")).alias("e")).select("ev_id", "e.ev_type", "e.ev_time")
+        objects, events = sized(objects), sized(events)
         pairs = {n: union([d for k, d, _ in self.links if k == n], self.spark.createDataFrame([], "a string, b string, qualifier string")).distinct() for n in ("e2o", "o2o")}
         e2o = pairs["e2o"].join(events, F.col("a") == F.col("ev_id")).join(objects, F.col("b") == F.col("ob_id")).select("ev_id", "ev_type", "ev_time", "ob_id", "ob_type", "qualifier")
         src, tgt = (objects.select(F.col("ob_id").alias(f"{s}_id"), F.col("ob_type").alias(f"{s}_type")) for s in ("src", "tgt"))
         o2o = pairs["o2o"].join(src, F.col("a") == F.col("src_id")).join(tgt, F.col("b") == F.col("tgt_id")).select("src_id", "src_type", "tgt_id", "tgt_type", "qualifier")
-        event_attrs, object_attrs = union(self.event_attrs, empty.event_attrs), union(self.object_attrs, empty.object_attrs)
+        e2o, event_attrs, object_attrs = sized(e2o), sized(union(self.event_attrs, empty.event_attrs)), union(self.object_attrs, empty.object_attrs)
         kinds = event_attrs.select(F.lit("event").alias("kind"), F.col("ev_type").alias("type_name"), F.col("name").alias("attr_name")).union(object_attrs.select(F.lit("object"), "ob_type", "name")).distinct()
         return Log(events, objects, event_attrs, object_attrs, e2o, o2o, kinds.withColumn("attr_type", F.lit("string")))
 
