@@ -111,3 +111,25 @@ def test_sql_over_a_relational_log(spark, tmp_path):
         for got, dialect in ((db.execute(to_sql(t, "sqlite", maps)).fetchall(), "sqlite"), (duck.execute(to_sql(t, "duckdb", maps)).fetchall(), "duckdb")):
             assert sorted(tuple(map(str, r)) for r in got) == want, dialect
     db.close()
+
+
+def test_a_large_document_is_parts_in_order(spark, tmp_path, monkeypatch):
+    from test_parts import LOG, same
+
+    from weftlog.sources import files
+
+    monkeypatch.setattr(files, "LARGE", 0)
+    (tmp_path / "log.json").write_text(json.dumps(LOG))
+    log = files.read_log(spark, str(tmp_path / "log.json"))
+    for kind in ("json", "xml"):
+        files.write_log(log, str(tmp_path / f"out.{kind}"))
+        parts = sorted((tmp_path / f"out.{kind}").glob("part-*.gz"))
+        whole = b"".join(gzip.decompress(p.read_bytes()) for p in parts)
+        assert len(parts) > 1 and not (tmp_path / f"out.{kind}-tables").exists()
+        if kind == "json":
+            assert len(json.loads(whole)["events"]) == log.events.count()
+        else:
+            ElementTree.fromstring(whole)
+        same(log, files.read_log(spark, str(tmp_path / f"out.{kind}")))
+        (tmp_path / f"whole.{kind}").write_bytes(whole)
+        same(log, files.read_log(spark, str(tmp_path / f"whole.{kind}")))

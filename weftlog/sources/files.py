@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import sqlite3
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..log import SCHEMAS, Log, rendered, tagged
 
@@ -52,29 +56,94 @@ def _assemble(spark: SparkSession, events: DataFrame, objects: DataFrame, event_
     ev = events.select(F.col("id").alias("ev_id"), F.col("type").alias("ev_type"), F.col("time").cast("timestamp").alias("ev_time"))
     ob = objects.select(F.col("id").alias("ob_id"), F.col("type").alias("ob_type"))
     declared = lambda kind, t: types.where((F.col("kind") == kind) & F.col("attr_name").isNotNull()).select(F.col("type_name").alias(t), F.col("attr_name").alias("name"), "attr_type")
-    ea = event_attrs.withColumnRenamed("id", "ev_id").join(ev.select("ev_id", "ev_type"), "ev_id").join(declared("event", "ev_type"), ["ev_type", "name"], "left")
-    oa = object_attrs.withColumnRenamed("id", "ob_id").join(ob, "ob_id").join(declared("object", "ob_type"), ["ob_type", "name"], "left")
+    # What stands inside its event or object has its type (and time) already. The declared types are as many as names.
+    own = lambda df, base, key, kind: df.where("id is not null").withColumnsRenamed({"id": key, "type": kind}) if "type" in df.columns else df.withColumnRenamed("id", key).join(base, key)
+    ea = own(event_attrs, ev.select("ev_id", "ev_type"), "ev_id", "ev_type").join(F.broadcast(declared("event", "ev_type")), ["ev_type", "name"], "left")
+    oa = own(object_attrs, ob, "ob_id", "ob_type").join(F.broadcast(declared("object", "ob_type")), ["ob_type", "name"], "left")
     ea = ea.select("ev_id", "ev_type", "name", F.col("seq").cast("int").alias("seq"), _typed(F.col("value"), F.coalesce("attr_type", F.lit("string"))).alias("v"))
     oa = oa.select("ob_id", "ob_type", "name", F.col("time").cast("timestamp").alias("time"), F.col("seq").cast("int").alias("seq"), _typed(F.col("value"), F.coalesce("attr_type", F.lit("string"))).alias("v"))
-    links = e2o.join(ev, F.col("a") == F.col("ev_id")).join(ob, F.col("b") == F.col("ob_id")).select("ev_id", "ev_type", "ev_time", "ob_id", "ob_type", "qualifier")
+    of_event = e2o.where("a is not null").select(F.col("a").alias("ev_id"), F.col("type").alias("ev_type"), F.col("time").cast("timestamp").alias("ev_time"), "b", "qualifier") if "type" in e2o.columns else e2o.join(ev, F.col("a") == F.col("ev_id"))
+    links = of_event.join(ob, F.col("b") == F.col("ob_id")).select("ev_id", "ev_type", "ev_time", "ob_id", "ob_type", "qualifier")
     src, tgt = (ob.select(F.col("ob_id").alias(f"{s}_id"), F.col("ob_type").alias(f"{s}_type")) for s in ("src", "tgt"))
-    own = o2o.join(src, F.col("a") == F.col("src_id")).join(tgt, F.col("b") == F.col("tgt_id")).select("src_id", "src_type", "tgt_id", "tgt_type", "qualifier")
-    return Log(ev, ob, ea, oa, links, own, types)
+    of_object = o2o.where("a is not null").select(F.col("a").alias("src_id"), F.col("type").alias("src_type"), "b", "qualifier") if "type" in o2o.columns else o2o.join(src, F.col("a") == F.col("src_id"))
+    return Log(ev, ob, ea, oa, links, of_object.join(tgt, F.col("b") == F.col("tgt_id")).select("src_id", "src_type", "tgt_id", "tgt_type", "qualifier"), types)
+
+
+#: The file beside the parts of a document that says that _written() wrote them: an element a line.
+LINES = "_lines"
+#: Bytes of events, as Spark estimates them, from which a document is written in parts.
+LARGE = 16 << 20
+
+
+def _large(log: Log) -> bool:
+    return int(str(log.events._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= LARGE
+
+
+@contextmanager
+def _once(log: Log, path: str) -> Iterator[Log]:
+    """The log as tables beside the path meanwhile: a document asks for them again and again, and their plans may be long."""
+    folder = f"{path.rstrip('/')}-tables"
+    kept = {}
+    try:
+        for name in SCHEMAS:
+            getattr(log, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+            kept[name] = log.spark.read.parquet(f"{folder}/{name}")
+        yield replace(log, **kept)
+    finally:
+        where = log.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(log.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _written(spark: SparkSession, members: list[tuple[str, str, DataFrame]], path: str, large: bool) -> None:
+    """Text in the folder path: each member's opening, its lines (key, value) and its closing. A small document is one
+    sorted part. Many tasks write a large one: its parts, in the order of their names, are the document; they are
+    compressed by gzip, whose files may be put together as they are."""
+    lines = None
+    for i, (opening, closing, own) in enumerate(members):
+        for place, part in ((2 * i - 0.5, opening), (2 * i, own), (2 * i + 0.5, closing)):
+            rows = spark.createDataFrame([(place, "", part)], "place double, key string, value string").coalesce(1) if isinstance(part, str) else part.select(F.lit(float(place)).alias("place"), "key", "value")
+            lines = rows if lines is None else lines.union(rows)  # a union's partitions are in order
+    if not large:
+        lines = lines.repartition(1).sortWithinPartitions("place", F.asc_nulls_last("key"))
+    lines.select("value").write.mode("overwrite").text(path, compression="gzip" if large else "none")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path, LINES)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where).close()
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """The lines (value) of a document that _written() has written, which many tasks can read; else None."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path, LINES)
+    return spark.read.text(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+
+
+#: The members of a document, in order. An element's line begins with a space more than its member's place (after a comma).
+MEMBERS = ("objectTypes", "eventTypes", "objects", "events")
 
 
 def read_json(spark: SparkSession, path: str) -> Log:
-    raw = spark.read.schema(JSON_SCHEMA).json(path, multiLine=True)
-    events, objects = raw.select(F.inline("events")), raw.select(F.inline("objects"))
-    kinds = lambda column, kind: raw.select(F.inline(column)).select(F.lit(kind).alias("kind"), F.col("name").alias("type_name"), F.inline_outer("attributes")).toDF("kind", "type_name", "attr_name", "attr_type")
-    ea = events.select("id", F.posexplode("attributes").alias("seq", "a")).select("id", "seq", "a.name", "a.value")
-    oa = objects.select("id", F.posexplode("attributes").alias("seq", "a")).select("id", "seq", "a.name", "a.value", "a.time")
-    rel = lambda df: df.select(F.col("id").alias("a"), F.inline("relationships")).toDF("a", "b", "qualifier")
-    return _assemble(spark, events, objects, ea, oa, rel(events), rel(objects), kinds("eventTypes", "event").union(kinds("objectTypes", "object")))
+    """A document is read by one task, but those of write_json() line by line, by many."""
+    if (lines := _lines(spark, path)) is None:
+        raw = spark.read.schema(JSON_SCHEMA).json(path, multiLine=True)
+        member = lambda name: raw.select(F.inline(name))
+    else:
+        schema = {f.name: f.dataType.elementType for f in StructType.fromDDL(JSON_SCHEMA)}
+        element = F.when(F.col("value").startswith(","), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+        member = lambda name: lines.select(element.alias("value")).where(F.col("value").startswith(" " * (MEMBERS.index(name) + 1) + "{")).select(F.from_json("value", schema[name]).alias("x")).select("x.*")
+    events, objects = member("events"), member("objects")
+    kinds = lambda column, kind: member(column).select(F.lit(kind).alias("kind"), F.col("name").alias("type_name"), F.inline_outer("attributes")).toDF("kind", "type_name", "attr_name", "attr_type")
+    ea = events.select("id", "type", F.posexplode("attributes").alias("seq", "a")).select("id", "type", "seq", "a.name", "a.value")
+    oa = objects.select("id", "type", F.posexplode("attributes").alias("seq", "a")).select("id", "type", "seq", "a.name", "a.value", "a.time")
+    rel = lambda df, *own: df.select(F.col("id").alias("a"), *own, F.inline("relationships")).withColumnsRenamed({"objectId": "b"})
+    return _assemble(spark, events, objects, ea, oa, rel(events, "type", "time"), rel(objects, "type"), kinds("eventTypes", "event").union(kinds("objectTypes", "object")))
 
 
 def write_json(log: Log, path: str) -> None:
-    """One JSON document, a line for each type and element. All lines go through one task, as a document is one file, but
-    as a sorted stream: only an element's own attributes and relations are gathered."""
+    """One JSON document, a line for each type and element: see _written()."""
+    with _once(log, path) as once:
+        _written(log.spark, _json_members(once), path, _large(log))
+
+
+def _json_members(log: Log) -> list[tuple[str, str, DataFrame]]:
     rel = lambda df, key, other: df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col(other).alias("objectId"), "qualifier"))).alias("relationships"))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     ea = log.event_attrs.groupBy(F.col("ev_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "name", rendered(F.col("v")).alias("value")))).alias("attributes"))
@@ -91,29 +160,36 @@ def write_json(log: Log, path: str) -> None:
         ("objects", objects.select(F.col("id").alias("key"), F.struct("id", "type", fill("attributes", ("name", "value", "time")), fill("relationships", ("objectId", "qualifier"))).alias("x"))),
         ("events", events.select(F.col("id").alias("key"), F.struct("id", "type", "time", fill("attributes", ("name", "value")), fill("relationships", ("objectId", "qualifier"))).alias("x"))),
     ]
-    lines = None
+    members = []
     for i, (name, df) in enumerate(parts):
-        fixed = log.spark.createDataFrame([(2 * i - 0.5, "", ("{" if i == 0 else ",") + f'"{name}":['), (2 * i + 0.5, "", "]" + ("}" if i == len(parts) - 1 else ""))], "place double, key string, value string")
-        first = df.agg(F.min("key").alias("first"))  # no comma stands before it
-        comma = F.when(F.col("key") == F.col("first"), F.lit("")).otherwise(F.lit(","))
-        own = fixed.union(df.join(F.broadcast(first)).select(F.lit(float(2 * i)).alias("place"), "key", F.concat(comma, F.to_json("x")).alias("value")))
-        lines = own if lines is None else lines.union(own)
-    lines.repartition(1).sortWithinPartitions("place", "key").select("value").write.mode("overwrite").text(path)
+        # The first element has no comma before it; elements of its key stand before the others.
+        first = (log.objects if name == "objects" else log.events if name == "events" else df).agg(F.min({"objects": "ob_id", "events": "ev_id"}.get(name, "key"))).first()[0]
+        shown = lambda x: F.concat(F.lit(" " * (i + 1)), F.to_json(x))  # noqa: B023, E731
+        head = df.where(F.col("key").eqNullSafe(F.lit(first).cast("string"))).agg(F.array_join(F.collect_list(shown("x")), "\n,").alias("value")).where("value <> ''").select(F.lit(first).cast("string").alias("key"), "value")
+        rest = df.where(~(F.col("key").eqNullSafe(F.lit(first).cast("string")))).select("key", F.concat(F.lit(","), shown("x")).alias("value"))
+        members.append((("{" if i == 0 else ",") + f'"{name}":[', "]" + ("}" if i == len(parts) - 1 else ""), head.union(rest)))
+    return members
 
 
 def read_xml(spark: SparkSession, path: str) -> Log:
     """The XML form: object-types, event-types, objects with timed attributes, events."""
     attr = "attributes struct<attribute:array<struct<_name:string,_type:string,_time:string,_VALUE:string>>>"
     rel = "objects struct<relationship:array<struct<`_object-id`:string,_qualifier:string>>>"
-    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").schema(schema).load(path)
+    lines = _lines(spark, path)
+
+    def read(tag: str, schema: str) -> DataFrame:
+        if lines is None:
+            return spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").schema(schema).load(path)
+        return lines.where(F.col("value").startswith(f"<{tag} ")).select(F.from_xml("value", schema, {"rowTag": tag, "attributePrefix": "_"}).alias("x")).select("x.*")
+
     objects = read("object", f"_id string, _type string, {attr}, {rel}").where("_id is not null")
     events = read("event", f"_id string, _type string, _time string, {attr}, {rel}").where("_id is not null")
     kinds = lambda tag, kind: read(tag, f"_name string, {attr}").select(F.lit(kind).alias("kind"), F.col("_name").alias("type_name"), F.explode_outer("attributes.attribute").alias("a")).select("kind", "type_name", F.col("a._name").alias("attr_name"), F.col("a._type").alias("attr_type"))
-    own = lambda df: df.select(F.col("_id").alias("id"), F.posexplode("attributes.attribute").alias("seq", "a")).select("id", "seq", F.col("a._name").alias("name"), F.col("a._VALUE").alias("value"), F.col("a._time").alias("time"))
-    links = lambda df: df.select(F.col("_id").alias("a"), F.explode("objects.relationship").alias("r")).select("a", F.col("r.`_object-id`").alias("b"), F.col("r._qualifier").alias("qualifier"))
+    own = lambda df: df.select(F.col("_id").alias("id"), F.col("_type").alias("type"), F.posexplode("attributes.attribute").alias("seq", "a")).select("id", "type", "seq", F.col("a._name").alias("name"), F.col("a._VALUE").alias("value"), F.col("a._time").alias("time"))
+    links = lambda df, *more: df.select(F.col("_id").alias("a"), F.col("_type").alias("type"), *more, F.explode("objects.relationship").alias("r")).select("*", F.col("r.`_object-id`").alias("b"), F.col("r._qualifier").alias("qualifier")).drop("r")
     ev = events.select(F.col("_id").alias("id"), F.col("_type").alias("type"), F.col("_time").alias("time"))
     ob = objects.select(F.col("_id").alias("id"), F.col("_type").alias("type"))
-    return _assemble(spark, ev, ob, own(events).drop("time"), own(objects), links(events), links(objects), kinds("event-type", "event").union(kinds("object-type", "object")))
+    return _assemble(spark, ev, ob, own(events).drop("time"), own(objects), links(events, F.col("_time").alias("time")), links(objects), kinds("event-type", "event").union(kinds("object-type", "object")))
 
 
 def _escaped(c: Column) -> Column:
@@ -131,8 +207,12 @@ def _tag(name: str, attributes: dict[str, Column], *inside: Column) -> Column:
 
 
 def write_xml(log: Log, path: str) -> None:
-    """The XML form, a line for each type and element. All lines go through one task, as a document is one file, but as a
-    sorted stream: none is gathered with others."""
+    """The XML form, a line for each type and element: see _written()."""
+    with _once(log, path) as once:
+        _written(log.spark, _xml_members(once), path, _large(log))
+
+
+def _xml_members(log: Log) -> list[tuple[str, str, DataFrame]]:
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     inside = lambda name, c: F.concat(F.lit(f"<{name}>"), F.array_join(F.coalesce(c, F.array().cast("array<string>")), ""), F.lit(f"</{name}>"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", c.alias("x")))), lambda x: x["x"])
@@ -144,14 +224,10 @@ def write_xml(log: Log, path: str) -> None:
     objects = log.objects.select(F.col("ob_id").alias("id"), F.col("ob_type").alias("type")).join(oa, "id", "left").join(link(log.o2o, "src_id", "tgt_id"), "id", "left")
     present = log.events.select(F.lit("event").alias("kind"), F.col("ev_type").alias("type_name")).union(log.objects.select(F.lit("object"), "ob_type")).distinct()
     named = present.join(log.types.where("attr_name is not null"), ["kind", "type_name"], "left").groupBy("kind", "type_name").agg(F.array_sort(F.collect_list(F.when(F.col("attr_name").isNotNull(), _tag("attribute", {"name": F.col("attr_name"), "type": F.col("attr_type")})))).alias("attrs"))
-    lines = None
     parts: list[tuple[str, DataFrame, Column]] = [(f"{k}-types", named.where(F.col("kind") == k), _tag(f"{k}-type", {"name": F.col("type_name")}, inside("attributes", F.col("attrs")))) for k in ("object", "event")]
     parts += [("objects", objects, _tag("object", {"id": F.col("id"), "type": F.col("type")}, *body())), ("events", events, _tag("event", {"id": F.col("id"), "type": F.col("type"), "time": F.col("time")}, *body()))]
-    for i, (name, df, line) in enumerate(parts):
-        fixed = log.spark.createDataFrame([(2 * i - 0.5, ("<log>" if i == 0 else "") + f"<{name}>"), (2 * i + 0.5, f"</{name}>" + ("</log>" if i == len(parts) - 1 else ""))], "place double, value string")
-        own = fixed.union(df.select(F.lit(float(2 * i)).alias("place"), line.alias("value")))
-        lines = own if lines is None else lines.union(own)
-    lines.repartition(1).sortWithinPartitions("place", "value").select("value").write.mode("overwrite").text(path)
+    rows = [(name, df.select(line.alias("value")).select(F.col("value").alias("key"), "value")) for name, df, line in parts]
+    return [(("<log>" if i == 0 else "") + f"<{name}>", f"</{name}>" + ("</log>" if i == len(rows) - 1 else ""), own) for i, (name, own) in enumerate(rows)]
 
 
 def write_log(log: Log, path: str, kind: str | None = None) -> None:
