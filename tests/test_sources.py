@@ -133,3 +133,27 @@ def test_a_large_document_is_parts_in_order(spark, tmp_path, monkeypatch):
         same(log, files.read_log(spark, str(tmp_path / f"out.{kind}")))
         (tmp_path / f"whole.{kind}").write_bytes(whole)
         same(log, files.read_log(spark, str(tmp_path / f"whole.{kind}")))
+
+
+def test_what_a_document_shuffled_goes_when_it_is_written(spark, tmp_path):
+    import time
+
+    from test_parts import LOG, same
+
+    from weftlog.sources import files
+
+    def shuffled():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+    (tmp_path / "log.json").write_text(json.dumps(LOG))
+    log = files.read_log(spark, str(tmp_path / "log.json"))
+    for kind in ("json", "xml"):
+        before = shuffled()
+        files.write_log(log, str(tmp_path / f"out.{kind}"))
+        until = time.time() + 10
+        while shuffled() - before and time.time() < until:
+            time.sleep(0.2)
+        assert not shuffled() - before
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+        same(log, files.read_log(spark, str(tmp_path / f"out.{kind}")))

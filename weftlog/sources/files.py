@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import sqlite3
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,6 +70,8 @@ def _assemble(spark: SparkSession, events: DataFrame, objects: DataFrame, event_
 
 #: The file beside the parts of a document that says that _written() wrote them: an element a line.
 LINES = "_lines"
+#: Whether shuffle files go when a query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of events, as Spark estimates them, from which a document is written in parts.
 LARGE = 16 << 20
 
@@ -80,18 +81,29 @@ def _large(log: Log) -> bool:
 
 
 @contextmanager
-def _once(log: Log, path: str) -> Iterator[Log]:
-    """The log as tables beside the path meanwhile: a document asks for them again and again, and their plans may be long."""
+def _once(spark: SparkSession, path: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Puts what a document asks for several times into a table beside the path meanwhile, as its plan may be long. What
+    was shuffled for a table or a document goes from the disks as soon as that is written."""
     folder = f"{path.rstrip('/')}-tables"
-    kept = {}
+    set_before = spark.conf.get(CLEANUP, None)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}", compression="zstd")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    spark.conf.set(CLEANUP, "true")
     try:
-        for name in SCHEMAS:
-            getattr(log, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-            kept[name] = log.spark.read.parquet(f"{folder}/{name}")
-        yield replace(log, **kept)
+        yield kept
     finally:
-        where = log.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(log.spark._jsc.hadoopConfiguration()).delete(where, True)
+        spark.conf.unset(CLEANUP) if set_before is None else spark.conf.set(CLEANUP, set_before)
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _named(log: Log, elements: dict[str, DataFrame], of: Column) -> DataFrame:
+    """kind, type_name, attributes (of each declared one, in order) of the types that elements have."""
+    present = elements["events"].select(F.lit("event").alias("kind"), F.col("type").alias("type_name")).union(elements["objects"].select(F.lit("object"), "type")).distinct()
+    return present.join(log.types.where("attr_name is not null"), ["kind", "type_name"], "left").groupBy("kind", "type_name").agg(F.array_sort(F.collect_list(F.when(F.col("attr_name").isNotNull(), of))).alias("attributes"))
 
 
 def _written(spark: SparkSession, members: list[tuple[str, str, DataFrame]], path: str, large: bool) -> None:
@@ -139,34 +151,33 @@ def read_json(spark: SparkSession, path: str) -> Log:
 
 def write_json(log: Log, path: str) -> None:
     """One JSON document, a line for each type and element: see _written()."""
-    with _once(log, path) as once:
-        _written(log.spark, _json_members(once), path, _large(log))
+    with _once(log.spark, path) as kept:
+        _written(log.spark, _json_members(log, kept), path, _large(log))
 
 
-def _json_members(log: Log) -> list[tuple[str, str, DataFrame]]:
+def _json_members(log: Log, kept: Callable[[DataFrame, str], DataFrame]) -> list[tuple[str, str, DataFrame]]:
     rel = lambda df, key, other: df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col(other).alias("objectId"), "qualifier"))).alias("relationships"))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     ea = log.event_attrs.groupBy(F.col("ev_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "name", rendered(F.col("v")).alias("value")))).alias("attributes"))
     oa = log.object_attrs.groupBy(F.col("ob_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "name", rendered(F.col("v")).alias("value"), stamp("time").alias("time")))).alias("attributes"))
     fill = lambda name, of: F.coalesce(F.transform(name, lambda x: F.struct(*[x[n].alias(n) for n in of])), F.array()).alias(name)
-    events = log.events.select(F.col("ev_id").alias("id"), F.col("ev_type").alias("type"), stamp("ev_time").alias("time")).join(ea, "id", "left").join(rel(log.e2o, "ev_id", "ob_id"), "id", "left")
+    events = log.events.select(F.col("ev_id").alias("id"), F.col("ev_type").alias("type"), stamp("ev_time").alias("time")).join(ea, "id", "left").join(kept(rel(log.e2o, "ev_id", "ob_id"), "relations"), "id", "left")
     objects = log.objects.select(F.col("ob_id").alias("id"), F.col("ob_type").alias("type")).join(oa, "id", "left").join(rel(log.o2o, "src_id", "tgt_id"), "id", "left")
-    present = log.events.select(F.lit("event").alias("kind"), F.col("ev_type").alias("type_name")).union(log.objects.select(F.lit("object"), "ob_type")).distinct()
-    named = present.join(log.types.where("attr_name is not null"), ["kind", "type_name"], "left").groupBy("kind", "type_name").agg(F.array_sort(F.collect_list(F.when(F.col("attr_name").isNotNull(), F.struct(F.col("attr_name").alias("name"), F.col("attr_type").alias("type"))))).alias("attributes"))
-    kinds = lambda k: named.where(F.col("kind") == k).select(F.col("type_name").alias("key"), F.struct(F.col("type_name").alias("name"), "attributes").alias("x"))
-    parts = [
-        ("objectTypes", kinds("object")),
-        ("eventTypes", kinds("event")),
-        ("objects", objects.select(F.col("id").alias("key"), F.struct("id", "type", fill("attributes", ("name", "value", "time")), fill("relationships", ("objectId", "qualifier"))).alias("x"))),
-        ("events", events.select(F.col("id").alias("key"), F.struct("id", "type", "time", fill("attributes", ("name", "value")), fill("relationships", ("objectId", "qualifier"))).alias("x"))),
-    ]
+    shown = lambda df, *own: df.select(F.col("id").alias("key"), "type", F.to_json(F.struct("id", "type", *own)).alias("value"))
+    elements = {
+        "objects": kept(shown(objects, fill("attributes", ("name", "value", "time")), fill("relationships", ("objectId", "qualifier"))), "objects"),
+        "events": kept(shown(events, "time", fill("attributes", ("name", "value")), fill("relationships", ("objectId", "qualifier"))), "events"),
+    }
+    named = kept(_named(log, elements, F.struct(F.col("attr_name").alias("name"), F.col("attr_type").alias("type"))), "types")
+    kinds = lambda k: named.where(F.col("kind") == k).select(F.col("type_name").alias("key"), F.to_json(F.struct(F.col("type_name").alias("name"), "attributes")).alias("value"))
+    parts = [("objectTypes", kinds("object")), ("eventTypes", kinds("event")), ("objects", elements["objects"]), ("events", elements["events"])]
     members = []
     for i, (name, df) in enumerate(parts):
         # The first element has no comma before it; elements of its key stand before the others.
-        first = (log.objects if name == "objects" else log.events if name == "events" else df).agg(F.min({"objects": "ob_id", "events": "ev_id"}.get(name, "key"))).first()[0]
-        shown = lambda x: F.concat(F.lit(" " * (i + 1)), F.to_json(x))  # noqa: B023, E731
-        head = df.where(F.col("key").eqNullSafe(F.lit(first).cast("string"))).agg(F.array_join(F.collect_list(shown("x")), "\n,").alias("value")).where("value <> ''").select(F.lit(first).cast("string").alias("key"), "value")
-        rest = df.where(~(F.col("key").eqNullSafe(F.lit(first).cast("string")))).select("key", F.concat(F.lit(","), shown("x")).alias("value"))
+        first = F.lit(df.agg(F.min("key")).first()[0]).cast("string")
+        line = F.concat(F.lit(" " * (i + 1)), "value")
+        head = df.where(F.col("key").eqNullSafe(first)).agg(F.array_join(F.collect_list(line), "\n,").alias("value")).where("value <> ''").select(first.alias("key"), "value")
+        rest = df.where(~F.col("key").eqNullSafe(first)).select("key", F.concat(F.lit(","), line).alias("value"))
         members.append((("{" if i == 0 else ",") + f'"{name}":[', "]" + ("}" if i == len(parts) - 1 else ""), head.union(rest)))
     return members
 
@@ -208,11 +219,11 @@ def _tag(name: str, attributes: dict[str, Column], *inside: Column) -> Column:
 
 def write_xml(log: Log, path: str) -> None:
     """The XML form, a line for each type and element: see _written()."""
-    with _once(log, path) as once:
-        _written(log.spark, _xml_members(once), path, _large(log))
+    with _once(log.spark, path) as kept:
+        _written(log.spark, _xml_members(log, kept), path, _large(log))
 
 
-def _xml_members(log: Log) -> list[tuple[str, str, DataFrame]]:
+def _xml_members(log: Log, kept: Callable[[DataFrame, str], DataFrame]) -> list[tuple[str, str, DataFrame]]:
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     inside = lambda name, c: F.concat(F.lit(f"<{name}>"), F.array_join(F.coalesce(c, F.array().cast("array<string>")), ""), F.lit(f"</{name}>"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", c.alias("x")))), lambda x: x["x"])
@@ -220,13 +231,14 @@ def _xml_members(log: Log) -> list[tuple[str, str, DataFrame]]:
     oa = log.object_attrs.groupBy(F.col("ob_id").alias("id")).agg(in_order(_tag("attribute", {"name": F.col("name"), "time": stamp(F.col("time"))}, _escaped(F.coalesce(rendered(F.col("v")), F.lit(""))))).alias("attrs"))
     link = lambda df, key, other: df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(_tag("relationship", {"object-id": F.col(other), "qualifier": F.col("qualifier")}))).alias("links"))
     body = lambda: (inside("attributes", F.col("attrs")), inside("objects", F.col("links")))
-    events = log.events.select(F.col("ev_id").alias("id"), F.col("ev_type").alias("type"), stamp(F.col("ev_time")).alias("time")).join(ea, "id", "left").join(link(log.e2o, "ev_id", "ob_id"), "id", "left")
+    events = log.events.select(F.col("ev_id").alias("id"), F.col("ev_type").alias("type"), stamp(F.col("ev_time")).alias("time")).join(ea, "id", "left").join(kept(link(log.e2o, "ev_id", "ob_id"), "relations"), "id", "left")
     objects = log.objects.select(F.col("ob_id").alias("id"), F.col("ob_type").alias("type")).join(oa, "id", "left").join(link(log.o2o, "src_id", "tgt_id"), "id", "left")
-    present = log.events.select(F.lit("event").alias("kind"), F.col("ev_type").alias("type_name")).union(log.objects.select(F.lit("object"), "ob_type")).distinct()
-    named = present.join(log.types.where("attr_name is not null"), ["kind", "type_name"], "left").groupBy("kind", "type_name").agg(F.array_sort(F.collect_list(F.when(F.col("attr_name").isNotNull(), _tag("attribute", {"name": F.col("attr_name"), "type": F.col("attr_type")})))).alias("attrs"))
-    parts: list[tuple[str, DataFrame, Column]] = [(f"{k}-types", named.where(F.col("kind") == k), _tag(f"{k}-type", {"name": F.col("type_name")}, inside("attributes", F.col("attrs")))) for k in ("object", "event")]
-    parts += [("objects", objects, _tag("object", {"id": F.col("id"), "type": F.col("type")}, *body())), ("events", events, _tag("event", {"id": F.col("id"), "type": F.col("type"), "time": F.col("time")}, *body()))]
-    rows = [(name, df.select(line.alias("value")).select(F.col("value").alias("key"), "value")) for name, df, line in parts]
+    shown = lambda df, tag, *own: df.select("type", _tag(tag, {c: F.col(c) for c in ("id", "type", *own)}, *body()).alias("value"))
+    elements = {"objects": kept(shown(objects, "object"), "objects"), "events": kept(shown(events, "event", "time"), "events")}
+    named = kept(_named(log, elements, _tag("attribute", {"name": F.col("attr_name"), "type": F.col("attr_type")})), "types")
+    parts = [(f"{k}-types", named.where(F.col("kind") == k).select(_tag(f"{k}-type", {"name": F.col("type_name")}, inside("attributes", F.col("attributes"))).alias("value"))) for k in ("object", "event")]
+    parts += [("objects", elements["objects"]), ("events", elements["events"])]
+    rows = [(name, df.select(F.col("value").alias("key"), "value")) for name, df in parts]
     return [(("<log>" if i == 0 else "") + f"<{name}>", f"</{name}>" + ("</log>" if i == len(rows) - 1 else ""), own) for i, (name, own) in enumerate(rows)]
 
 
