@@ -157,3 +157,18 @@ def test_what_a_document_shuffled_goes_when_it_is_written(spark, tmp_path):
         assert not shuffled() - before
         assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
         same(log, files.read_log(spark, str(tmp_path / f"out.{kind}")))
+
+
+def test_xml_elements_are_parsed_for_what_is_asked(spark, tmp_path):
+    from test_parts import LOG, same
+
+    from weftlog.sources import files
+
+    (tmp_path / "log.json").write_text(json.dumps(LOG))
+    log = files.read_log(spark, str(tmp_path / "log.json"))
+    files.write_log(log, str(tmp_path / "out.xml"))
+    back = files.read_log(spark, str(tmp_path / "out.xml"))
+    shown = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "StructField(attributes," in shown(back.event_attrs) and "StructField(objects," not in shown(back.event_attrs)
+    assert "StructField(attributes," not in shown(back.events) + shown(back.o2o)
+    same(log, back)

@@ -193,14 +193,15 @@ def read_xml(spark: SparkSession, path: str) -> Log:
             return spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").schema(schema).load(path)
         return lines.where(F.col("value").startswith(f"<{tag} ")).select(F.from_xml("value", schema, {"rowTag": tag, "attributePrefix": "_"}).alias("x")).select("x.*")
 
-    objects = read("object", f"_id string, _type string, {attr}, {rel}").where("_id is not null")
-    events = read("event", f"_id string, _type string, _time string, {attr}, {rel}").where("_id is not null")
+    # Each asks for what it needs: what a schema does not name is passed over.
+    objects = lambda *parts: read("object", ", ".join(("_id string, _type string", *parts))).where("_id is not null")
+    events = lambda *parts: read("event", ", ".join(("_id string, _type string", *parts))).where("_id is not null")
     kinds = lambda tag, kind: read(tag, f"_name string, {attr}").select(F.lit(kind).alias("kind"), F.col("_name").alias("type_name"), F.explode_outer("attributes.attribute").alias("a")).select("kind", "type_name", F.col("a._name").alias("attr_name"), F.col("a._type").alias("attr_type"))
     own = lambda df: df.select(F.col("_id").alias("id"), F.col("_type").alias("type"), F.posexplode("attributes.attribute").alias("seq", "a")).select("id", "type", "seq", F.col("a._name").alias("name"), F.col("a._VALUE").alias("value"), F.col("a._time").alias("time"))
     links = lambda df, *more: df.select(F.col("_id").alias("a"), F.col("_type").alias("type"), *more, F.explode("objects.relationship").alias("r")).select("*", F.col("r.`_object-id`").alias("b"), F.col("r._qualifier").alias("qualifier")).drop("r")
-    ev = events.select(F.col("_id").alias("id"), F.col("_type").alias("type"), F.col("_time").alias("time"))
-    ob = objects.select(F.col("_id").alias("id"), F.col("_type").alias("type"))
-    return _assemble(spark, ev, ob, own(events).drop("time"), own(objects), links(events, F.col("_time").alias("time")), links(objects), kinds("event-type", "event").union(kinds("object-type", "object")))
+    ev = events("_time string").select(F.col("_id").alias("id"), F.col("_type").alias("type"), F.col("_time").alias("time"))
+    ob = objects().select(F.col("_id").alias("id"), F.col("_type").alias("type"))
+    return _assemble(spark, ev, ob, own(events(attr)).drop("time"), own(objects(attr)), links(events("_time string", rel), F.col("_time").alias("time")), links(objects(rel)), kinds("event-type", "event").union(kinds("object-type", "object")))
 
 
 def _escaped(c: Column) -> Column:
