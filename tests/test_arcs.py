@@ -157,3 +157,14 @@ def test_conformance_counts_a_null_object_as_unanswered(spark):
     log = Log(*(getattr(none, n) for n in ("events", "objects", "event_attrs", "object_attrs", "e2o", "o2o", "types")), wide={"a": rows})
     r = declare.conformance(log, Arc.of("a", "a", "EF", each=["x"], all=["y"])).first()
     assert (r["obligations"], r["satisfied"], r["fraction"]) == (4, 1, 0.25)
+
+
+def test_conformance_deals_no_ids(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('e1', 1, 'x', 'y'), ('e2', 2, 'x', 'y'), ('e3', 2, 'x', 'y'), ('e3', 2, 'x', 'y'), (null, 2, 'x', 'y'), (null, 2, 'x', 'y') AS t(ev_id, at, x, y)").selectExpr("ev_id", "timestamp_seconds(at) AS ev_time", "x", "y")
+    none = Log.empty(spark)
+    log = Log(*(getattr(none, n) for n in ("events", "objects", "event_attrs", "object_attrs", "e2o", "o2o", "types")), wide={"a": rows})
+    df = declare.conformance(log, Arc.of("a", "a", "EF", each=["x"], all=["y"]))
+    assert "md5" in df._jdf.queryExecution().analyzed().toString()
+    r = df.first()
+    assert (r["obligations"], r["satisfied"]) == (4, 1)
+    assert sorted(x["ev_id"] or "" for x in declare.obligations(log, Arc.of("a", "a", "EF", each=["x"], all=["y"])).collect()) == ["", "e1", "e2", "e3"]

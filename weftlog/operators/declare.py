@@ -121,12 +121,12 @@ def _answered(rows: DataFrame, keys: list[str], arc: Arc, repeats: bool = False)
     each and when the earliest does. Rows of equal keys pass once, in the order of time: no source meets all targets.
     repeats: rows may be equal, which count once."""
     itself = arc.arrow == "AS" and arc.source == arc.target  # an event does not answer itself
-    ordered = rows.withColumn("order", F.col("at") if arc.arrow in ("EP", "DP") else -F.col("at"))
+    ordered, order = rows, F.col("at").asc_nulls_first() if arc.arrow in ("EP", "DP") else F.col("at").desc_nulls_first()
     by = Window.partitionBy(*keys)
     if repeats:
-        before = by.orderBy("order", "s")
+        before = by.orderBy(order, "s")
         ordered = ordered.withColumn("again", F.lag("s").over(before).eqNullSafe(F.col("s")) & F.lag("at").over(before).eqNullSafe(F.col("at"))).where("not again").drop("again")
-    ahead = by.orderBy("order").rangeBetween(Window.unboundedPreceding, -1)
+    ahead = by.orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
     whole = by if arc.arrow == "AS" else ahead
     hit = F.when((F.col("side") != 0) & reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]), F.col("at"))
     found = ordered.withColumn("targets", F.count(hit).over(whole)).withColumn("earliest", F.min(hit).over(whole))
@@ -144,18 +144,20 @@ def _each(log: Log, arc: Arc) -> DataFrame:
     return _answered(keyed(arc.source, 0).union(keyed(arc.target, 1)), ["ob_id"], arc)
 
 
-def _judged(log: Log, arc: Arc) -> tuple[DataFrame, list[str]]:
+def _judged(log: Log, arc: Arc, named: bool = True) -> tuple[DataFrame, list[str]]:
     """s, own, targets, ms and the names of own: for each source event, and each choice of an object for every "each" of the
     label, how many targets answer it, and the time to the earliest. Where a source has one object for each "any" and
     "all", a target answers it if it has the objects chosen and these: equal keys, which pass in the order of time (an
-    event meets every choice of its own objects). Only sources with more objects there meet their targets pair by pair."""
+    event meets every choice of its own objects). Only sources with more objects there meet their targets pair by pair.
+    Not named: s may be a 128-bit digest of the source's id, which is shorter; nulls stay null."""
     keys = [f"o{k}" for k in range(len(arc.label))]
     own = [f"o{k}" for k, (how, _) in enumerate(arc.label) if how == "each"]
     late = ((F.col("earliest") - F.col("at")) / 1000).cast("bigint").alias("ms")
     beside = [log.wide.get(activity) for activity in (arc.source, arc.target)]
     if all(x is not None and {of for _, of in arc.label} <= {*x.columns} for x in beside):
         sides = (2,) if arc.source == arc.target else (0, 1)
-        rows = reduce(DataFrame.union, [x.select(F.col("ev_id").alias("s"), F.unix_micros("ev_time").alias("at"), *[F.col(of).alias(k) for k, (_, of) in zip(keys, arc.label, strict=True)], F.lit(side).alias("side")) for x, side in zip(beside, sides, strict=False)])
+        name = F.col("ev_id") if named else F.unhex(F.md5("ev_id"))
+        rows = reduce(DataFrame.union, [x.select(name.alias("s"), F.unix_micros("ev_time").alias("at"), *[F.col(of).alias(k) for k, (_, of) in zip(keys, arc.label, strict=True)], F.lit(side).alias("side")) for x, side in zip(beside, sides, strict=False)])
         return _answered(rows, keys, arc, True).select("s", *own, "targets", late), own
     source = target = None
     for k, (how, of) in zip(keys, arc.label, strict=True):
@@ -225,9 +227,9 @@ def _passes(arc: Arc) -> bool:
     return arc.how == "each" and not arc.more and isinstance(arc.object_type, str)
 
 
-def obligations(log: Log, arc: Arc) -> DataFrame:
+def obligations(log: Log, arc: Arc, named: bool = True) -> DataFrame:
     """ev_id, ob_id, targets: for each source event, or each object of it, how many targets answer it. ob_id is the object
-    of the label's first "each" (null without one); others has those of further ones, if the label has several."""
+    of the label's first "each" (null without one); others has those of further ones, if the label has several. Not named: see _judged()."""
     directly = arc.arrow in ("DF", "DP")
     if _passes(arc) and not directly:
         return _each(log, arc).select(F.col("s").alias("ev_id"), "ob_id", "targets")
@@ -236,7 +238,7 @@ def obligations(log: Log, arc: Arc) -> DataFrame:
         n = hits.groupBy(*keys).agg(F.count("*").alias("targets"))
         judged, own = bound.select(*keys).join(n, keys, "left").withColumn("targets", F.coalesce("targets", F.lit(0))), keys[1:]
     else:
-        judged, own = _judged(log, arc)
+        judged, own = _judged(log, arc, named)
     first = F.col(own[0]) if own else F.lit(None).cast("string")
     others = [F.array(*own[1:]).alias("others")] if len(own) > 1 else []
     return judged.select(F.col("s").alias("ev_id"), first.alias("ob_id"), "targets", *others)
@@ -249,7 +251,7 @@ def conformance(log: Log, arc: Arc) -> DataFrame:
         ok = ok & (F.col("targets") >= arc.low)
     if arc.high is not None:
         ok = ok & (F.col("targets") <= arc.high)
-    out = obligations(log, arc).agg(F.count("*").alias("obligations"), F.count(F.when(ok, 1)).alias("satisfied"))
+    out = obligations(log, arc, False).agg(F.count("*").alias("obligations"), F.count(F.when(ok, 1)).alias("satisfied"))
     return out.withColumn("fraction", F.when(F.col("obligations") > 0, F.try_divide("satisfied", "obligations")).otherwise(F.lit(1.0)))
 
 
